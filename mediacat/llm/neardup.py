@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +29,8 @@ WIDTH = 64
 BRANCH, DEPTH = 2, 4
 #: Classes that a node may hold to be compared exhaustively, and classes a side of a block in larger leaves.
 SMALL, BLOCK = 64, 512
+#: Rows of leaves that a task compares at once.
+COMPARE_ROWS = 8192
 #: Ids up to which the list of needed documents is broadcast (16 bytes each).
 MOST_BROADCAST = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -161,24 +162,50 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     return rows.select("src", "dst", "x", "y").mapInArrow(run, "src binary, dst binary")
 
 
-def compare(least: int):
-    """Pairs of one leaf, or of two of its blocks, that agree in `least` coordinates and lie in different components."""
+def compare(leaves: DataFrame, least: int) -> DataFrame:
+    """Pairs (src, dst) of a cell that agree in `least` coordinates and lie in different components.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("set_id").drop_duplicates("set_id")
-        sig = np.stack(part["sig"].to_list())
-        group, _ = pd.factorize(part["component"])
-        ids = part["set_id"].to_numpy()
-        src, dst = [], []
-        for i in range(len(part) - 1):
-            rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-            if len(rest):
-                near = rest[(sig[rest] == sig[i]).sum(axis=1) >= least]
-                src += [ids[i]] * len(near)
-                dst += list(ids[near])
-        return pd.DataFrame({"src": src, "dst": dst}, columns=["src", "dst"], dtype=object)
+    leaves (cell, set_id, component, sig): rows of a cell meet in one task, side by side; a row is compared with those
+    1, 2, ... places on as long as the cell lasts, for all cells of a batch at once.
+    """
+    schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
+
+    def pairs(part: pa.Table) -> pa.RecordBatch:
+        cell = part.column("cell").to_numpy()
+        group = part.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, len(cell)):
+            same = cell[:-d] == cell[d:]
+            if not same.any():
+                break
+            at = np.flatnonzero(same & (group[:-d] != group[d:]))
+            for i in np.array_split(at, len(at) // 20_000 + 1):
+                near = i[(sig[i] == sig[i + d]).sum(axis=1) >= least]
+                left.append(near)
+                right.append(near + d)
+        ids = part.column("set_id").combine_chunks()
+        a, b = (ids.take(pa.array(np.concatenate(x))) for x in (left, right))
+        return pa.RecordBatch.from_arrays([a, b], schema=schema)
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= COMPARE_ROWS:
+                part = pa.Table.from_batches(held)
+                cell = part.column("cell").to_numpy()
+                whole = int(np.searchsorted(cell, cell[-1]))  # rows of cells that are complete
+                yield pairs(part.slice(0, whole))
+                held = part.slice(whole).to_batches()
+                rows -= whole
+        if rows:
+            yield pairs(pa.Table.from_batches(held))
+
+    near = leaves.select("cell", "set_id", "component", "sig").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "src binary, dst binary")
+    return near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
@@ -220,8 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, recall: floa
         groups = known.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).filter("groups > 1")
         known = cut(known.join(groups, "node").select("node", "set_id", "component", "n").join(sigs, "set_id"), "level")
         leaf = known if level == DEPTH else known.filter(F.col("n") <= SMALL)
-        found = leaf.filter(F.col("n") <= BLOCK).groupBy("node").applyInPandas(compare(least), "src binary, dst binary")
-        found = found.unionByName(large_leaves(leaf.filter(F.col("n") > BLOCK), least)).distinct()
+        found = compare(cells(leaf), least)
         pairs = found if pairs is None else pairs.unionByName(found)
         big = known.filter(F.col("n") > SMALL)
         if level == DEPTH or big.isEmpty():
@@ -256,11 +282,12 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return left.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_anti").unionByName(again)
 
 
-def large_leaves(leaf: DataFrame, least: int) -> DataFrame:
-    """Compares leaves of more than BLOCK classes by pairs of blocks, so that no task holds more than two blocks."""
+def cells(leaf: DataFrame) -> DataFrame:
+    """Leaves as cells. One of more than BLOCK classes becomes a cell for each pair of its blocks, so that no task holds
+    more than two blocks of a leaf."""
+    names = ["set_id", "component", "sig"]
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id", F.lit(5)), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = leaf.withColumn("own", own).withColumn("other", other)
-    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    return rows.groupBy("node", "low", "high").applyInPandas(compare(least), "src binary, dst binary")
+    rows = leaf.filter(F.col("n") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *names)
+    return leaf.filter(F.col("n") <= BLOCK).select(F.col("node").alias("cell"), *names).unionByName(large)
