@@ -70,7 +70,8 @@ def latest_earlier(full: DataFrame, asked: DataFrame, blocks: int = BLOCKS) -> D
     full has one row a (key, ts). Of rows of one key at one time none is earlier than another.
     """
     both = cut(asked.distinct().join(full, ["key", "ts"], "full"), "asof")
-    bounds = sorted({x for x in (both.approxQuantile("ts", [i / blocks for i in range(1, blocks)], 0.5 / blocks) if not both.isEmpty() else [])})
+    shares = [i / blocks for i in range(1, blocks)]
+    bounds = sorted(set(both.approxQuantile("ts", shares, 0.5 / blocks))) if shares and not both.isEmpty() else []
     block = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<double>"), lambda b: F.col("ts") > b)) if bounds else F.lit(0)
     rows = both.withColumn("block", block)
     inside = Window.partitionBy("key", "block").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
