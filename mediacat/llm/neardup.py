@@ -2,9 +2,10 @@
 
 Texts with equal shingle sets form a class; one row stands for each. A class has a vector of minwise hashes. In every
 tree, a node picks coordinates at random and a class goes to the child named by its own hash there, so similar classes
-share paths. Nodes of few classes are compared exhaustively; larger ones branch again. Independent trees repeat this
-until the target recall is met. Two shortcuts change no result: links to the smallest class of a node, confirmed
-first, join most copies, and later only pairs whose ends are not yet in one component are compared. Every link is
+share paths. Nodes of few classes, and nodes whose classes are alike (branching would not part them), are compared
+exhaustively; the others branch again. Independent trees repeat this until the target recall is met. Shortcuts that
+lose no component: links to random classes of each node, confirmed first, join most copies; later only pairs whose
+ends are not yet in one component are compared, and only in the first compared root that both share. Every link is
 confirmed on full shingle sets.
 """
 
@@ -23,14 +24,18 @@ from mediacat.llm.common import bounded_batches, cut, record, text_groups
 from mediacat.llm.components import connected_components
 from mediacat.llm.pieces import POWERS
 
-#: Coordinates of a class's minwise vector.
-WIDTH = 64
+#: Coordinates of a class's minwise vector, those that trees branch on, and bits kept of each for estimates.
+WIDTH, PATHS = 128, 32
 #: Children that a node opens, and levels below the roots.
 BRANCH, DEPTH = 2, 4
-#: Classes that a node may hold to be compared exhaustively, and classes a side of a block in larger leaves.
+#: Classes that a node may hold to be compared exhaustively, and classes a side of a block in larger leaves. A larger
+#: node counts as alike if this share of its classes is near its pivot.
+ALIKE = 0.2
 SMALL, BLOCK = 64, 512
+#: Rounds of links to random classes of each root.
+STARS = 2
 #: Rows of leaves that a task compares at once.
-COMPARE_ROWS = 8192
+COMPARE_ROWS, COMPARE_BYTES = 8192, 64_000_000
 #: Ids up to which the list of needed documents is broadcast (16 bytes each).
 MOST_BROADCAST = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -92,33 +97,34 @@ def set_id(x: np.ndarray) -> bytes | None:
     return hashlib.md5(x.tobytes()).digest() if len(x) else None
 
 
-def minwise(sets: list[np.ndarray]) -> list[np.ndarray | None]:
-    """WIDTH minwise hashes of each set (None if it is empty)."""
+def minwise(sets: list[np.ndarray]) -> tuple[list[np.ndarray | None], list[bytes | None]]:
+    """Of each set the first PATHS minwise hashes, and 16 bits of each of all WIDTH (None if it is empty)."""
     full = [x for x in sets if len(x)]
     if not full:
-        return [None] * len(sets)
+        return [None] * len(sets), [None] * len(sets)
     flat = np.concatenate(full)
     at = np.cumsum([0, *map(len, full[:-1])])
     out = np.empty((len(full), WIDTH), np.int32)
     for i in range(WIDTH):
         out[:, i] = np.minimum.reduceat((flat * FACTORS[i] + SHIFTS[i]) >> np.uint64(33), at).astype(np.int32)
-    rows = iter(out)
-    return [next(rows) if len(x) else None for x in sets]
+    paths, sketch = iter(out[:, :PATHS]), iter((out & 0xFFFF).astype(np.uint16))
+    return [next(paths) if len(x) else None for x in sets], [next(sketch).tobytes() if len(x) else None for x in sets]
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sig) of every row."""
+    """(doc_id, n_shingles, set_id, sig, sketch) of every row."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.list_(pa.int32())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in text_groups(texts):
                 sets = shingle_sets(texts[a:b], k)
-                yield record({"doc_id": batch.column(0).slice(a, b - a), "n_shingles": [len(x) for x in sets], "set_id": [set_id(x) for x in sets], "sig": minwise(sets)}, schema)
+                sig, sketch = minwise(sets)
+                yield record({"doc_id": batch.column(0).slice(a, b - a), "n_shingles": [len(x) for x in sets], "set_id": [set_id(x) for x in sets], "sig": sig, "sketch": sketch}, schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig array<int>, sketch binary")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
@@ -137,6 +143,17 @@ def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "set_id binary, items binary").dropDuplicates(["set_id"])
 
 
+def alike(x: bytes, y: bytes, percent: int) -> bool:
+    """100 * intersection >= percent * union of two full sets."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (src, dst) of classes with 100 * intersection >= percent * union of their full sets."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()
@@ -147,14 +164,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             src, dst, x, y = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for i in range(len(src)):
-                a, b = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    keep.append(i)
+            keep = [i for i in range(len(src)) if alike(x[i], y[i], percent)]
             yield record({"src": [src[i] for i in keep], "dst": [dst[i] for i in keep]}, schema)
 
     rows = pairs.join(sets.select(F.col("set_id").alias("src"), F.col("items").alias("x")), "src")
@@ -162,57 +172,175 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     return rows.select("src", "dst", "x", "y").mapInArrow(run, "src binary, dst binary")
 
 
-def compare(leaves: DataFrame, least: int) -> DataFrame:
-    """Pairs (src, dst) of a cell that agree in `least` coordinates and lie in different components.
+def grid(column: pa.ChunkedArray) -> np.ndarray:
+    """A row of 16-bit numbers for each sketch."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, WIDTH)
 
-    leaves (cell, set_id, component, sig): rows of a cell meet in one task, side by side; a row is compared with those
-    1, 2, ... places on as long as the cell lasts, for all cells of a batch at once.
-    """
-    schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
 
-    def pairs(part: pa.Table) -> pa.RecordBatch:
-        cell = part.column("cell").to_numpy()
-        group = part.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, len(cell)):
-            same = cell[:-d] == cell[d:]
-            if not same.any():
-                break
-            at = np.flatnonzero(same & (group[:-d] != group[d:]))
-            for i in np.array_split(at, len(at) // 20_000 + 1):
-                near = i[(sig[i] == sig[i + d]).sum(axis=1) >= least]
-                left.append(near)
-                right.append(near + d)
-        ids = part.column("set_id").combine_chunks()
-        a, b = (ids.take(pa.array(np.concatenate(x))) for x in (left, right))
-        return pa.RecordBatch.from_arrays([a, b], schema=schema)
+def near_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """Of (src, dst, x, y, ...) the rows whose sketches x and y agree in `least` coordinates, as (src, dst)."""
+    schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= COMPARE_ROWS:
-                part = pa.Table.from_batches(held)
-                cell = part.column("cell").to_numpy()
-                whole = int(np.searchsorted(cell, cell[-1]))  # rows of cells that are complete
-                yield pairs(part.slice(0, whole))
+            near = pa.array((grid(batch.column(2)) == grid(batch.column(3))).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], schema=schema)
+
+    return rows.select("src", "dst", "x", "y").mapInArrow(run, "src binary, dst binary")
+
+
+LEAF = pa.schema([("cell", pa.int64()), ("root", pa.int64()), ("roots", pa.list_(pa.int64())), ("set_id", pa.binary()), ("component", pa.binary()), ("sketch", pa.binary()), ("dst", pa.binary())])
+LEAF_DDL = "cell long, root long, roots array<long>, set_id binary, component binary, sketch binary, dst binary"
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of complete cells from batches that are sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= COMPARE_ROWS or size >= COMPARE_BYTES:
+            part = pa.Table.from_batches(held)
+            cell = part.column("cell").to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1]))
+            if whole:
+                yield part.slice(0, whole)
                 held = part.slice(whole).to_batches()
-                rows -= whole
-        if rows:
-            yield pairs(pa.Table.from_batches(held))
+                rows, size = rows - whole, sum(x.nbytes for x in held)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(part: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one cell, two and two, that agree in `least` coordinates and lie in different components.
+
+    A row is compared with those 1, 2, ... places on as long as the cell lasts, for all cells at once. A pair counts only
+    where `root` is the first of the roots that both have at one place; below the roots all are 0 and it always counts.
+    """
+    cell, root = part.column("cell").to_numpy(), part.column("root").to_numpy()
+    roots = part.column("roots").combine_chunks().flatten().to_numpy().reshape(len(cell), -1)
+    group = part.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    sketch = grid(part.column("sketch"))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, len(cell)):
+        same = cell[:-d] == cell[d:]
+        if not same.any():
+            break
+        at = np.flatnonzero(same & (group[:-d] != group[d:]))
+        for i in np.array_split(at, len(at) // 20_000 + 1):
+            if len(i):
+                both = (roots[i] == roots[i + d]) & (roots[i] != 0)
+                i = i[roots[i, both.argmax(axis=1)] == root[i]]
+            near = i[(sketch[i] == sketch[i + d]).sum(axis=1) >= least]
+            left.append(near)
+            right.append(near + d)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def by_cell(leaves: DataFrame) -> DataFrame:
+    return leaves.repartition("cell").sortWithinPartitions("cell")
+
+
+def compare(leaves: DataFrame, least: int) -> DataFrame:
+    """Candidate pairs of cells (cell, root, roots, set_id, component, sketch), as rows with set_id and dst.
+
+    A cell with more than two pairs a row gives none; instead its rows that have a partner are returned, without dst,
+    for `confirm_dense`. So the result has at most twice the rows of the leaves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_cells(batches):
+            left, right = candidates(part, least)
+            _, code = np.unique(part.column("cell").to_numpy(), return_inverse=True)
+            dense = np.bincount(code[left], minlength=len(code)) > 2 * np.bincount(code, minlength=len(code))
+            few = ~dense[code[left]]
+            ids = part.column("set_id").combine_chunks()
+            n = int(few.sum())
+            empty = {f.name: pa.nulls(n, f.type) for f in LEAF}
+            yield pa.RecordBatch.from_arrays(list((empty | {"set_id": ids.take(pa.array(left[few])), "dst": ids.take(pa.array(right[few]))}).values()), schema=LEAF)
+            rows = np.unique(np.concatenate([left[~few], right[~few]]))
+            if len(rows):
+                kept = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), f.type) if f.name == "dst" else kept.column(f.name).combine_chunks().cast(f.type) for f in LEAF], schema=LEAF)
+
+    return by_cell(leaves.select("cell", "root", "roots", "set_id", "component", "sketch")).mapInArrow(run, LEAF_DDL)
+
+
+def confirm_dense(dense: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+    """Links (src, dst) in cells of many alike classes, confirmed on full sets inside the task; of links within one cell
+    only those that join components further are returned."""
+    needed = cut(classes.select("set_id", "doc_id").join(dense.select("set_id").distinct(), "set_id"), "needed")
+    sets = cut(full_sets(docs, needed, k), "sets")
+    schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_cells(batches):
+            left, right = candidates(part, least)
+            ids, items = part.column("set_id").to_pylist(), part.column("items").to_pylist()
+            up: dict[object, object] = {}
+
+            def root(x: object) -> object:
+                while (y := up.get(x, x)) != x:
+                    up[x] = x = up.get(y, y)
+                return x
+
+            cell, group = part.column("cell").to_pylist(), part.column("component").to_pylist()
+            src, dst = [], []
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                a, b = root((cell[i], group[i])), root((cell[j], group[j]))
+                if a != b and alike(items[i], items[j], percent):
+                    up[a] = b
+                    src.append(ids[i])
+                    dst.append(ids[j])
+            yield record({"src": src, "dst": dst}, schema)
 
-    near = leaves.select("cell", "set_id", "component", "sig").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "src binary, dst binary")
-    return near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return by_cell(dense.join(sets, "set_id").select("cell", "root", "roots", "set_id", "component", "sketch", "items")).mapInArrow(run, "src binary, dst binary")
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
-    """(node, set_id, sig) -> a row for each child: the node picks BRANCH coordinates by its own hash."""
-    picks = [(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(WIDTH)) + j * (WIDTH // BRANCH)) % WIDTH for j in range(BRANCH)]
-    names = [F.xxhash64("node", F.lit(level), p, F.get("sig", p.cast("int"))) for p in picks]
-    return rows.select(F.explode(F.array(*names)).alias("node"), "set_id")
+    """(node, slot, set_id, sig) -> a row for each child: the node picks BRANCH coordinates by its own hash."""
+    picks = [(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PATHS)) + j * (PATHS // BRANCH)) % PATHS for j in range(BRANCH)]
+    names = [F.struct(F.xxhash64("node", F.lit(level), p, F.get("sig", p.cast("int"))).alias("node"), (F.col("slot") * BRANCH + j).alias("slot")) for j, p in enumerate(picks)]
+    return rows.select(F.explode(F.array(*names)).alias("c"), "set_id").select("c.node", "c.slot", "set_id")
+
+
+def shared(tree: DataFrame) -> DataFrame:
+    """Without nodes of one class."""
+    return tree.join(tree.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "node")
+
+
+def with_components(tree: DataFrame, joined: DataFrame) -> DataFrame:
+    """tree with `component` of each class and size `n` of its node, without nodes of one component."""
+    known = tree.join(joined, tree["set_id"] == joined["id"], "left").select("node", "slot", "set_id", F.coalesce("component", "set_id").alias("component"))
+    sizes = known.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).filter("groups > 1")
+    return known.join(sizes.select("node", "n"), "node")
+
+
+def to_pivots(known: DataFrame, salt: int) -> DataFrame:
+    """(node, src, dst): each class with a class of its node that a hash picks, if their components differ."""
+    pick = known.groupBy("node").agg(F.min_by(F.struct("set_id", "component"), F.xxhash64("set_id", "node", F.lit(salt))).alias("p"))
+    rows = known.join(pick, "node").filter(F.col("component") != F.col("p.component"))
+    return rows.select("node", F.col("p.set_id").alias("src"), F.col("set_id").alias("dst"))
+
+
+def with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    rows = pairs.join(classes.select(F.col("set_id").alias("src"), F.col("sketch").alias("x")), "src")
+    return rows.join(classes.select(F.col("set_id").alias("dst"), F.col("sketch").alias("y")), "dst")
+
+
+def alike_nodes(known: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Nodes of more than SMALL classes of which a share of ALIKE agrees with a pivot in `least` coordinates, by a
+    sample of every eighth class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("near", pa.int32())])
+        for batch in batches:
+            yield record({"node": batch.column(0), "near": ((grid(batch.column(1)) == grid(batch.column(2))).sum(axis=1) >= least).astype(np.int32)}, schema)
+
+    sample = to_pivots(known.filter(F.col("n") > SMALL), -1).filter(F.xxhash64("dst", "node") % 8 == 0)
+    near = with_sketches(sample, classes).select("node", "x", "y").mapInArrow(run, "node long, near int")
+    return near.groupBy("node").agg(F.avg("near").alias("share")).filter(F.col("share") >= ALIKE).select("node", F.lit(True).alias("alike"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, recall: float = 1 - 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,38 +353,54 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, recall: floa
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(signatures(docs, k), "signatures")
     usable = rows.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
     similarity = percent / 100
-    roots = trees_for(recall, similarity)
-    sigs = classes.select("set_id", "sig")
-
-    seeds = classes.select("set_id", "sig", F.explode(F.array(*[F.lit(t) for t in range(roots)])).alias("node"))
-    tree = cut(children(seeds.select(F.xxhash64("node", F.lit("root")).alias("node"), "set_id", "sig"), 0), "tree")
-    sizes = tree.groupBy("node").agg(F.count("*").alias("n"), F.min("set_id").alias("pivot")).filter("n > 1")
-    tree = cut(tree.join(sizes, "node").select("node", "set_id", "pivot"), "tree")
-
-    stars = tree.filter("set_id != pivot").groupBy("pivot", "set_id").agg(F.count("*").alias("n")).filter(F.col("n") >= math.ceil(0.6 * roots * BRANCH))
-    links = cut(confirmed(cut(stars.select(F.col("pivot").alias("src"), F.col("set_id").alias("dst")), "pairs"), docs, classes, k, percent), "links")
-    joined = cut(connected_components(links), "joined")
-
-    least = max(1, math.floor(WIDTH * similarity - 4.7 * math.sqrt(WIDTH * similarity * (1 - similarity))))
-    pairs = None
-    tree = tree.select("node", "set_id")
+    trees = trees_for(recall, similarity)
+    least = max(1, math.floor(WIDTH * similarity - 4.2 * math.sqrt(WIDTH * similarity * (1 - similarity))))
+
+    seeds = classes.select("set_id", "sig", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("node"))
+    tree = children(seeds.select(F.xxhash64("node", F.lit("root")).alias("node"), F.col("node").alias("slot"), "set_id", "sig"), 0)
+    tree = cut(shared(tree), "tree")
+
+    joined = classes.select(F.col("set_id").alias("id"), F.col("set_id").alias("component")).limit(0)
+    links = None
+    for salt in range(STARS):
+        stars = to_pivots(with_components(tree, joined), salt).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        found = confirmed(cut(near_pairs(with_sketches(stars, classes), least), "stars"), docs, classes, k, percent)
+        links = cut(found if links is None else links.unionByName(found), "links")
+        joined = cut(connected_components(links), "joined")
+
+    pairs = dense = None
     for level in range(1, DEPTH + 1):
-        known = tree.join(joined, tree["set_id"] == joined["id"], "left").select("node", "set_id", F.coalesce("component", "set_id").alias("component"))
-        groups = known.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).filter("groups > 1")
-        known = cut(known.join(groups, "node").select("node", "set_id", "component", "n").join(sigs, "set_id"), "level")
-        leaf = known if level == DEPTH else known.filter(F.col("n") <= SMALL)
-        found = compare(cells(leaf), least)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        big = known.filter(F.col("n") > SMALL)
-        if level == DEPTH or big.isEmpty():
+        known = cut(with_components(tree, joined), "level")
+        if known.isEmpty():
+            break
+        if level < DEPTH:
+            alike = cut(alike_nodes(known, classes, math.floor(0.7 * least)), "alike")
+            known = known.join(alike, "node", "left").withColumn("leaf", (F.col("n") <= SMALL) | F.coalesce("alike", F.lit(False)))
+        else:
+            known = known.withColumn("leaf", F.lit(True))
+        leaf = known.filter("leaf")
+        if level == 1:  # all pairs of these roots are compared, so one of the roots that a pair shares is enough
+            own = leaf.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "node"))).alias("own"))
+            roots = F.transform(F.sequence(F.lit(0), F.lit(trees * BRANCH - 1)), lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0)))
+            leaf = leaf.join(own.select("set_id", roots.alias("roots")), "set_id").withColumn("root", F.col("node"))
+        else:
+            leaf = leaf.withColumn("roots", F.array_repeat(F.lit(0).cast("long"), trees * BRANCH)).withColumn("root", F.lit(0).cast("long"))
+        found = cut(compare(cells(leaf.join(classes.select("set_id", "sketch"), "set_id")), least), "pairs")
+        few = found.filter("dst is not null").select(F.least("set_id", "dst").alias("src"), F.greatest("set_id", "dst").alias("dst"))
+        pairs = few if pairs is None else pairs.unionByName(few)
+        many = found.filter("dst is null")
+        dense = many if dense is None else dense.unionByName(many)
+        if level == DEPTH:
             break
-        tree = children(big, level)
-        sizes = tree.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        tree = cut(tree.join(sizes, "node").select("node", "set_id"), "tree")
-    more = confirmed(cut(pairs.distinct(), "pairs"), docs, classes, k, percent)
-    linked = connected_components(links.unionByName(more))
+        big = known.filter(~F.col("leaf")).select("node", "slot", "set_id").join(classes.select("set_id", "sig"), "set_id")
+        tree = cut(shared(children(big, level)), "tree")
+    if pairs is not None:
+        links = links.unionByName(confirmed(cut(pairs.distinct(), "pairs"), docs, classes, k, percent))
+        if not dense.isEmpty():
+            links = links.unionByName(confirm_dense(dense, docs, classes, k, percent, least))
+    linked = connected_components(links)
 
     owner = usable.select("doc_id", "set_id").join(linked, F.col("set_id") == F.col("id")).groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = linked.join(owner, "component").select("id", "least")
@@ -285,7 +429,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def cells(leaf: DataFrame) -> DataFrame:
     """Leaves as cells. One of more than BLOCK classes becomes a cell for each pair of its blocks, so that no task holds
     more than two blocks of a leaf."""
-    names = ["set_id", "component", "sig"]
+    names = ["root", "roots", "set_id", "component", "sketch"]
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id", F.lit(5)), blocks).cast("int")
     rows = leaf.filter(F.col("n") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
