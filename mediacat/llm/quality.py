@@ -65,14 +65,13 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 0.5) -> np.ndarray:
-    """Log of the target model over the raw model; both are smoothed towards the raw one."""
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 64.0) -> np.ndarray:
+    """Log of the target model over the raw model. Both get `prior` further occurrences of each bucket, so that rare
+    n-grams, which a sample of good texts may simply lack, say little."""
     if not target.sum() or not raw.sum():
         return np.zeros(len(raw))
-    p = (raw + smooth) / (raw + smooth).sum()
-    weight = smooth * len(raw)
-    q = (target + weight * p) / (target.sum() + weight)
-    return np.log(q) - np.log(p)
+    expected = raw / raw.sum() * target.sum()
+    return np.log((target + prior) / (expected + prior))
 
 
 def target_texts(docs: DataFrame, labels: DataFrame, most_target: int) -> DataFrame:
@@ -86,8 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_target: int = 20_000) -> np.nda
     return log_ratio(bucket_counts(target_texts(docs, labels, most_target)), bucket_counts(docs.select("text")))
 
 
-def weight_column(spark: SparkSession, ratio: np.ndarray, text: Column, scale: float) -> Column:
-    """Struct of a text's log_weight, n_grams and sample_key (log_weight over scale plus Gumbel noise from a hash)."""
+def weight_column(spark: SparkSession, ratio: np.ndarray, text: Column, scale: float, bonus: float) -> Column:
+    """Struct of a text's log_weight, n_grams and sample_key: log_weight with a bonus a gram, over scale, plus Gumbel
+    noise from a hash."""
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(ratio)  # 2**BITS numbers whatever the input
 
@@ -98,7 +98,7 @@ def weight_column(spark: SparkSession, ratio: np.ndarray, text: Column, scale: f
 
     noise = (F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 12) + F.lit(0.5)) / F.lit(float(2**52))
     got = run(text)
-    return F.struct(got["log_weight"].alias("log_weight"), got["n_grams"].alias("n_grams"), (got["log_weight"] / scale - F.log(-F.log(noise))).alias("sample_key"))
+    return F.struct(got["log_weight"].alias("log_weight"), got["n_grams"].alias("n_grams"), ((got["log_weight"] + bonus * got["n_grams"]) / scale - F.log(-F.log(noise))).alias("sample_key"))
 
 
 def top_k_threshold(keys: DataFrame, column: str, k: int, bins: int = 1024, rounds: int = 8) -> float | None:
@@ -129,16 +129,16 @@ def top_k_threshold(keys: DataFrame, column: str, k: int, bins: int = 1024, roun
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, most_target: int = 20_000, slack: float = 4.0, scale: float = 0.25) -> tuple[Column, float | None]:
+def resample(docs: DataFrame, labels: DataFrame, most_target: int = 20_000, slack: float = 4.0, bonus: float = 0.02, scale: float = 0.25) -> tuple[Column, float | None]:
     """The weight struct of a document's text, and the least sample_key that stays (None: all stay).
 
-    k is the number of documents whose log weight is at least -slack; the k largest keys stay. Equal texts have equal
+    k is the number of documents whose log weight, with a bonus a gram, is at least -slack; the k largest keys stay. Equal texts have equal
     keys and share their fate, so a tie at the edge stays whole. Null and empty texts weigh 0. With no labelled good
     text all ratios are 0 and every document stays. An empty table keeps nothing.
     """
-    weight = weight_column(docs.sparkSession, fit(docs, labels, most_target), F.col("text"), scale)
-    keys = cut(docs.select(weight.alias("w")).select("w.log_weight", "w.sample_key"), "quality-weights")
-    k = keys.filter(F.col("log_weight") >= -slack).count()
+    weight = weight_column(docs.sparkSession, fit(docs, labels, most_target), F.col("text"), scale, bonus)
+    keys = cut(docs.select(weight.alias("w")).select("w.log_weight", "w.n_grams", "w.sample_key"), "quality-weights")
+    k = keys.filter(F.col("log_weight") + bonus * F.col("n_grams") >= -slack).count()
     return weight, top_k_threshold(keys, "sample_key", k)
 
 

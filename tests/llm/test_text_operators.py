@@ -131,7 +131,7 @@ def test_quality_equals_brute_force(spark):
     ratio = quality.log_ratio(count(good), count(texts))
     for i, t in enumerate(texts):
         assert got[i]["log_weight"] == pytest.approx(float(ratio[quality.buckets(t)].sum()), abs=1e-6)
-    k = sum(r["log_weight"] >= -4 for r in got.values())
+    k = sum(r["log_weight"] + 0.02 * r["n_grams"] >= -4 for r in got.values())
     edge = sorted((r["sample_key"] for r in got.values()), reverse=True)[k - 1]
     assert all(r["kept"] == (r["sample_key"] >= edge) for r in got.values())
     assert all(got[i]["kept"] for i in range(60)) and not any(got[i]["kept"] for i in range(60, 80))
