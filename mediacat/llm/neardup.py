@@ -416,14 +416,15 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of repeated rows of one id and text one stays. Rows without id or words stay.
     """
     found = cut(near_duplicates(docs, k, percent), "near")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.filter("not kept").select("doc_id").distinct()
     few = gone.count() <= MOST_BROADCAST
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    twice = cut(found.filter("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice")), "twice")
+    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    twice = cut(found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return left
-    again = left.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_anti").unionByName(again)
+    same = left["doc_id"].cast("long") == twice["doc_id"]
+    again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").unionByName(again)
 
 
 def cells(leaf: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from mediacat.llm import quality
 from mediacat.llm.common import cut
 
 from test_links import brute_near
@@ -50,7 +51,8 @@ def test_stages(spark, folder):
     good, clean, first, pack = (f for _, f in corpus_pipeline.STAGES)
     one = cut(good(spark, docs, root), "one")
     texts = {r["doc_id"]: r["text"] for r in one.collect()}
-    assert one.columns == columns and set(texts) == {i for i, (t, q) in enumerate(rows) if q or (t or "").startswith("loop")} | {i for i in texts if rows[i][1]}
+    assert one.columns == columns and set(texts) == {r["doc_id"] for r in quality.score(docs, spark.read.parquet(f"{root}/labels.parquet")).filter("kept").collect()}
+    assert {i for i, (_, q) in enumerate(rows) if q} <= set(texts) and not any("%%%" in (t or "") for t in texts.values())
     two = cut(clean(spark, one, root), "two")
     kept = {r["doc_id"] for r in two.collect()}
     assert two.columns == columns and kept == {i for i, t in texts.items() if brute_rules(t)[-1]}
