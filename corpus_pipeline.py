@@ -1,4 +1,9 @@
-"""A corpus pipeline of four stages: quality, rules, near duplicates, packing."""
+"""A corpus pipeline of four stages: quality, rules, near duplicates, packing.
+
+The first three return the columns of their input, whatever their names. Rows with a null id are judged like others and
+are never duplicates; null and empty texts pass the classifier (they weigh 0) and fail the rules; of repeated rows one
+stays after the third stage; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
