@@ -1,7 +1,8 @@
 """Toxicity: logistic regression over character n-grams scaled by naive Bayes log-count ratios.
 
-Fitting uses a bounded sample of labelled rows (`most_positive`, `most_negative`, chosen by a hash of the id); scoring
-reads every whole text. Ids, sources, languages and labels are never inputs of a score.
+A text scores as its highest window: windows of 2 * STEP bytes, each a half over the next, cover every whole text, so a
+clean rest does not outvote a passage. Fitting uses a bounded sample of labelled rows (`most_positive`,
+`most_negative`, chosen by a hash of the id); each stands for its highest window too. Ids, sources, languages and labels are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import bounded_batches, record
+from mediacat.llm.common import bounded_batches, cut, record
 
 ORDERS = (4, 5, 6)
 BITS = 20
+#: Bytes from the start of a window to the start of the next; a window holds the n-grams that begin in two such steps.
+STEP = 256
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
@@ -48,6 +51,34 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def starts(n_grams: int) -> np.ndarray:
+    """Byte at which each of the n-grams that `grams` gives begins."""
+    size = (n_grams + sum(ORDERS) - len(ORDERS)) // len(ORDERS)
+    if size < max(ORDERS):  # shorter texts lack some orders
+        size = next((x for x in range(max(ORDERS)) if sum(max(0, x - n + 1) for n in ORDERS) == n_grams), 0)
+    return np.concatenate([np.arange(max(0, size - n + 1), dtype=np.int32) for n in ORDERS])
+
+
+def highest_window(at: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """The largest sum of weights of the distinct n-grams of a window, and those n-grams, weightless ones too."""
+    high, best, step = window_sums(at, weights)
+    return high, np.unique(at[(step >= best) & (step <= best + 1)])
+
+
+def window_sums(at: np.ndarray, weights: np.ndarray) -> tuple[float, int, np.ndarray]:
+    """The largest sum of weights, its window, and the step in which each n-gram begins."""
+    step = starts(len(at)) // STEP
+    n = max(1, int(step.max(initial=0)))
+    known = np.flatnonzero(weights[at])
+    pairs = step[known].astype(np.int64)
+    first, second = np.minimum(pairs, n - 1), np.flatnonzero((pairs >= 1) & (pairs < n))
+    key = np.sort(np.concatenate([first << BITS | at[known], (pairs[second] - 1) << BITS | at[known[second]]]))
+    key = key[np.diff(key, prepend=-1) != 0]
+    sums = np.bincount(key >> BITS, weights=weights[key & ((1 << BITS) - 1)].astype(np.float64), minlength=n)
+    best = int(sums.argmax())
+    return float(sums[best]), best, step
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_negative: int) -> DataFrame:
     """(label, text) of at most so many rows of each class; which ones is settled by a hash of the id."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -58,21 +89,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most
     return texts.join(F.broadcast(picked), "doc_id").select("label", "text")  # broadcast: most_positive + most_negative pairs of numbers
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_negative: int = 12000, least_docs: int = 4, least_ratio: float = 1.0, steps: int = 300) -> Model:
-    """Counts documents per n-gram and class, keeps those of at least `least_docs` documents and a log-count ratio of
-    `least_ratio` either way, and fits logistic weights on presence times ratio.
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_negative: int = 12000, least_docs: int = 4, least_ratio: float = 1.0, steps: int = 300, rounds: int = 2) -> Model:
+    """Fits on whole texts first, then `rounds` times on the window of each text that the last model puts highest.
 
     Without rows of both classes every score is the smoothed share of label 1.
     """
     bounded_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, most_positive, most_negative)
+    sample = cut(labelled_sample(docs, labels, most_positive, most_negative), "toxicity-sample")  # each round reads it twice
+    model = fit_once(sample, None, least_docs, least_ratio, steps)
+    for _ in range(rounds if model.weights.any() else 0):
+        model = fit_once(sample, model, least_docs, least_ratio, steps)
+    return model
+
+
+def fit_once(sample: DataFrame, last: Model | None, least_docs: int, least_ratio: float, steps: int) -> Model:
+    """Counts texts (highest windows by `last`) per n-gram and class, keeps n-grams of at least `least_docs` texts and a
+    log-count ratio of `least_ratio` either way, and fits logistic weights on presence times ratio."""
+    shared = None if last is None else sample.sparkSession.sparkContext.broadcast(last.weights)  # 4 MiB whatever the input
+
+    def chosen(text: str | None) -> np.ndarray:
+        at = grams(text)
+        return np.unique(at) if shared is None else highest_window(at, shared.value)[1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
         total = [0, 0]
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label, np.unique(grams(text))] += 1
+                seen[label, chosen(text)] += 1
                 total[label] += 1
         at = np.flatnonzero(seen.any(axis=0))
         schema = pa.schema([("gram", pa.int32()), ("neg", pa.int64()), ("pos", pa.int64())])
@@ -98,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_nega
         for batch in batches:
             hits = []
             for text in batch.column(1).to_pylist():
-                at = place[grams(text)]
-                hits.append(np.unique(at[at >= 0]))
+                at = place[chosen(text)]
+                hits.append(at[at >= 0])
             yield record({"label": batch.column(0), "at": hits}, schema)
 
     seen = sample.mapInArrow(present, "label int, at array<int>").toPandas()
@@ -130,9 +174,7 @@ def logistic(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray,
 
 
 def score_text(text: str | None, weights: np.ndarray, bias: float) -> float:
-    at = grams(text)
-    at = np.unique(at[weights[at] != 0])
-    return float(1 / (1 + np.exp(-np.clip(weights[at].astype(np.float64).sum() + bias, -30, 30))))
+    return float(1 / (1 + np.exp(-np.clip(window_sums(grams(text), weights)[0] + bias, -30, 30))))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

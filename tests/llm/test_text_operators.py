@@ -107,6 +107,31 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score_text("x " * 100_000, np.zeros(1 << toxicity.BITS, np.float32), 0.0) == 0.5
 
 
+def test_toxic_passage_in_long_text(spark):
+    texts, toxic = labelled()
+    model = toxicity.fit(documents(spark, texts), spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int"))
+    scores = lambda part: [toxicity.score_text(t, model.weights, model.bias) for t in part]
+    clean = " ".join(t for t, y in zip(texts, toxic, strict=True) if not y)
+    passages = [t for i, (t, y) in enumerate(zip(texts, toxic, strict=True)) if y and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(clean) > 10_000 and len(passages) > 5 and scores([clean])[0] < 0.5
+    for joined in (lambda t: clean + " " + t, lambda t: t + " " + clean, lambda t: clean + " " + t + " " + clean):
+        assert np.mean(np.array(scores(map(joined, passages))) >= 0.5) > 0.9
+
+
+@given(text=st.text(ALPHABET, max_size=2000))
+@settings(max_examples=60, deadline=None)
+def test_highest_window_equals_brute_force(text):
+    weights = np.random.default_rng(len(text)).normal(size=1 << toxicity.BITS)
+    data = (" " + text.lower() + " ").encode(errors="replace")
+    at = toxicity.grams(text)
+    begins = [p for n in toxicity.ORDERS for p in range(len(data) - n + 1)]
+    assert toxicity.starts(len(at)).tolist() == begins
+    last = max(begins, default=0) // toxicity.STEP
+    windows = [{g for g, p in zip(at.tolist(), begins, strict=True) if k <= p // toxicity.STEP <= k + 1} for k in range(max(1, last))]
+    best, inside = toxicity.highest_window(at, weights)
+    assert best == pytest.approx(max(sum(weights[g] for g in w) for w in windows)) and set(inside.tolist()) in windows
+
+
 # -- quality ----------------------------------------------------------------------------------------------------------
 
 
