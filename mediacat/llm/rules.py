@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from mediacat.llm.common import bounded_batches
 
 #: (bytes from, lowest ratio, highest ratio) for whole texts; the last row whose size is reached holds.
-WHOLE_BANDS = ((0, 0.0, 9.0), (256, 0.20, 0.90), (1024, 0.16, 0.80), (4096, 0.12, 0.75), (16384, 0.10, 0.70))
+#: Upper limits lie between prose of the tables (at most 0.82, 0.72, 0.60, 0.53, 0.48 from 256, 512, 1024, 2048, 4096
+#: bytes) and random words of letters and digits (0.91, 0.81, 0.76, 0.74, 0.73). Random hex digits (0.52) stay inside.
+WHOLE_BANDS = ((0, 0.0, 9.0), (256, 0.20, 0.88), (512, 0.20, 0.78), (1024, 0.16, 0.70), (4096, 0.12, 0.68), (16384, 0.10, 0.66))
 #: The same for chunks; the last chunk of a text may be shorter and is judged by its own size.
-CHUNK_BANDS = ((0, 0.0, 9.0), (1024, 0.10, 0.90))
+CHUNK_BANDS = ((0, 0.0, 9.0), (256, 0.10, 0.88), (512, 0.10, 0.78), (1024, 0.10, 0.70), (4096, 0.10, 0.68))
 CHUNK_BYTES = 4096
-#: Share of the judged chunks that may lie outside their band.
-CHUNK_SHARE = 0.5
+#: Share of the judged chunks (those of a size that has limits) that may lie outside their band.
+CHUNK_SHARE = 0.2
 LEVEL = 3
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 SPACE = b" \t\n\v\f\r"
@@ -58,7 +60,7 @@ def ratios(data: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, int,
             part = data[at : at + CHUNK_BYTES]
             least, most = band(len(part), CHUNK_BANDS)
             ratio = len(squeeze.compress(part)) / len(part)
-            n, low, high = n + 1, low + (ratio < least), high + (ratio > most)
+            n, low, high = n + (len(part) >= CHUNK_BANDS[1][0]), low + (ratio < least), high + (ratio > most)
     return whole, n, low, high
 
 

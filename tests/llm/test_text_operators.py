@@ -218,6 +218,25 @@ def test_bands_reject_repetition_and_noise():
     assert rules.ratios(noise, z)[0] > rules.band(len(noise), rules.WHOLE_BANDS)[1]
 
 
+def test_bands_reject_partial_noise_and_repetition():
+    z = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n // 5))[:n]
+    noise = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(4, 11))) for _ in range(n // 5))[:n]
+    base64 = lambda n: "\n".join("".join(rng.choice(letters + "+/") for _ in range(76)) for _ in range(n // 77))
+    loop = prose(350) + " "
+    for n in (2000, 6000, 12_000, 40_000):
+        assert rules.judge(prose(n), z)[-1] and not rules.judge(noise(n), z)[-1]
+    for n in (12_000, 40_000):
+        for share in (0.5, 1.0, 2.0):
+            assert not rules.judge(prose(n) + "\n" + base64(int(share * n)), z)[-1]
+        assert rules.judge(prose(n) + "\n" + base64(300), z)[-1]
+    assert rules.ratios((prose(40_000) + loop * 60).encode(), z)[2] >= 3 and not rules.judge(prose(40_000) + loop * 60, z)[-1]
+    assert rules.ratios(prose(4096 * 3 + 100).encode(), z)[1] == 3
+
+
 # -- packing ----------------------------------------------------------------------------------------------------------
 
 
