@@ -1,8 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 The raw model counts every document; the target model counts documents labelled good (a sample of at most
-`most_target`, chosen by a hash of the id). A document's weight is the sum over its n-grams of the log ratio of the
-two models; its key adds Gumbel noise that a hash of its text settles. The k largest keys are kept.
+`most_target`, chosen by a hash of the id). A document's weight is the mean log ratio of the two models over the n-grams
+of its lowest window, so neither length nor a good rest makes up for a junk passage; its key adds Gumbel noise that a hash of its text settles. The k largest keys are kept.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from mediacat.llm.common import bounded_batches, cut, record, text_groups
 
 BITS = 16
+#: N-grams in a window; the next window begins half of it later, and a shorter text is averaged over as many.
+WINDOW = 100
 #: Letters and digits in runs, other visible characters in runs.
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -65,11 +67,13 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 64.0) -> np.ndarray:
-    """Log of the target model over the raw model. Both get `prior` further occurrences of each bucket, so that rare
-    n-grams, which a sample of good texts may simply lack, say little."""
+def log_ratio(target: np.ndarray, raw: np.ndarray, share: float = 2.0, least: float = 16.0) -> np.ndarray:
+    """Log of the target model over the raw model. Both get further occurrences, the same for each bucket: `share` times the
+    target's mass in all, and `least` a bucket, since chance in the counts of a small target does not shrink with it.
+    Rare n-grams, which a sample of good texts may simply lack, then say little."""
     if not target.sum() or not raw.sum():
         return np.zeros(len(raw))
+    prior = share * target.sum() / len(target) + least
     expected = raw / raw.sum() * target.sum()
     return np.log((target + prior) / (expected + prior))
 
@@ -85,20 +89,31 @@ def fit(docs: DataFrame, labels: DataFrame, most_target: int = 20_000) -> np.nda
     return log_ratio(bucket_counts(target_texts(docs, labels, most_target)), bucket_counts(docs.select("text")))
 
 
-def weight_column(spark: SparkSession, ratio: np.ndarray, text: Column, scale: float, bonus: float) -> Column:
-    """Struct of a text's log_weight, n_grams and sample_key: log_weight with a bonus a gram, over scale, plus Gumbel
-    noise from a hash."""
+def lowest_mean(x: np.ndarray) -> float:
+    """The least mean over a window of the log ratios of a text, in the order of `buckets` (words, then pairs)."""
+    line = np.empty(len(x))
+    line[0::2], line[1::2] = x[: (len(x) + 1) // 2], x[(len(x) + 1) // 2 :]  # each word, then its pair with the next one
+    if len(x) <= WINDOW:
+        return float(line.sum() / WINDOW)
+    upto = np.concatenate([[0.0], np.cumsum(line)])
+    start = np.append(np.arange(0, len(x) - WINDOW, WINDOW // 2), len(x) - WINDOW)
+    return float((upto[start + WINDOW] - upto[start]).min() / WINDOW)
+
+
+def weight_column(spark: SparkSession, ratio: np.ndarray, text: Column, scale: float) -> Column:
+    """Struct of a text's log_weight (sum over all n-grams), n_grams, low_mean (mean of the lowest window) and
+    sample_key: low_mean over scale, plus Gumbel noise from a hash."""
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(ratio)  # 2**BITS numbers whatever the input
 
-    @F.pandas_udf("struct<log_weight: double, n_grams: long>")
+    @F.pandas_udf("struct<log_weight: double, n_grams: long, low_mean: double>")
     def run(texts: pd.Series) -> pd.DataFrame:
         got = [shared.value[buckets(t)] for t in texts]
-        return pd.DataFrame({"log_weight": [float(x.sum()) for x in got], "n_grams": [len(x) for x in got]})
+        return pd.DataFrame({"log_weight": [float(x.sum()) for x in got], "n_grams": [len(x) for x in got], "low_mean": [lowest_mean(x) for x in got]})
 
     noise = (F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 12) + F.lit(0.5)) / F.lit(float(2**52))
     got = run(text)
-    return F.struct(got["log_weight"].alias("log_weight"), got["n_grams"].alias("n_grams"), ((got["log_weight"] + bonus * got["n_grams"]) / scale - F.log(-F.log(noise))).alias("sample_key"))
+    return F.struct(*[got[c].alias(c) for c in ("log_weight", "n_grams", "low_mean")], (got["low_mean"] / scale - F.log(-F.log(noise))).alias("sample_key"))
 
 
 def top_k_threshold(keys: DataFrame, column: str, k: int, bins: int = 1024, rounds: int = 8) -> float | None:
@@ -129,16 +144,16 @@ def top_k_threshold(keys: DataFrame, column: str, k: int, bins: int = 1024, roun
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, most_target: int = 20_000, slack: float = 4.0, bonus: float = 0.02, scale: float = 0.25) -> tuple[Column, float | None]:
+def resample(docs: DataFrame, labels: DataFrame, most_target: int = 20_000, slack: float = 0.06, scale: float = 0.004) -> tuple[Column, float | None]:
     """The weight struct of a document's text, and the least sample_key that stays (None: all stay).
 
-    k is the number of documents whose log weight, with a bonus a gram, is at least -slack; the k largest keys stay. Equal texts have equal
-    keys and share their fate, so a tie at the edge stays whole. Null and empty texts weigh 0. With no labelled good
+    k is the number of documents whose lowest window has a mean log ratio of at least -slack; the k largest keys stay.
+    Equal texts have equal keys and share their fate, so a tie at the edge stays whole. Null and empty texts weigh 0. With no labelled good
     text all ratios are 0 and every document stays. An empty table keeps nothing.
     """
-    weight = weight_column(docs.sparkSession, fit(docs, labels, most_target), F.col("text"), scale, bonus)
-    keys = cut(docs.select(weight.alias("w")).select("w.log_weight", "w.n_grams", "w.sample_key"), "quality-weights")
-    k = keys.filter(F.col("log_weight") + bonus * F.col("n_grams") >= -slack).count()
+    weight = weight_column(docs.sparkSession, fit(docs, labels, most_target), F.col("text"), scale)
+    keys = cut(docs.select(weight.alias("w")).select("w.low_mean", "w.sample_key"), "quality-weights")
+    k = keys.filter(F.col("low_mean") >= -slack).count()
     return weight, top_k_threshold(keys, "sample_key", k)
 
 

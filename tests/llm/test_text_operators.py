@@ -167,6 +167,22 @@ def test_quality_equals_brute_force(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def test_quality_has_no_credit_for_length(spark):
+    rng = random.Random(8)
+    make = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    sun, junk = ["sun", "moon", "river", "stone", "tree"], ["xq", "zz%", "wv", "kk"]
+    good = [make(sun, n) for n in (40, 400, 20_000) for _ in range(10)]
+    bad = [make(junk, n) for n in (200, 400, 20_000) for _ in range(5)]
+    mixed = [make(sun, n) + " " + make(junk, 200) + " " + make(sun, n) for n in (200, 2000, 10_000)]
+    docs = documents(spark, good + bad + mixed)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(good))], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.score(docs, labels).filter("kept").collect()}
+    assert kept == set(range(len(good)))
+    few, raw = np.array([3e6, 0, 5e6, 0]), np.array([9.0, 4, 5, 1])
+    assert np.allclose(quality.log_ratio(few, raw), quality.log_ratio(1000 * few, raw), atol=1e-4)
+    assert quality.lowest_mean(np.concatenate([np.ones(500), -np.ones(100), np.ones(500), -np.ones(99)])) < 0
+
+
 # -- rules ------------------------------------------------------------------------------------------------------------
 
 
