@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import bounded_batches, cut, record, text_groups
-from mediacat.llm.pieces import POWERS, Encoder, encoder
+from mediacat.llm.common import Scratch, map_batches, record, text_groups
+from mediacat.llm.pieces import Encoder, encoder
+from mediacat.llm.words import mix
+from mediacat.operators.joins import spread_join
 
 #: Characters under the rolling hash, bits that must be 0 at a cut, and least characters of a chunk.
 WINDOW, CUT_BITS, LEAST = 16, 8, 64
@@ -31,22 +33,16 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def chunks_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the chunks of a text (n + 1 numbers) and a 64-bit hash of each."""
-    code = np.frombuffer(text.encode("utf-32-le", errors="replace"), np.uint32).astype(np.uint64)
-    code = (code + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    code ^= code >> np.uint64(29)
-    n = len(code)
-    up, down = POWERS.upto(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(code * up[:n], out=total[1:])
-    if n > WINDOW:
-        roll = (total[WINDOW:] - total[:-WINDOW]) * down[: n + 1 - WINDOW]
-        roll ^= roll >> np.uint64(32)
-        roll *= np.uint64(0x9E3779B97F4A7C15)
-        places = np.flatnonzero(roll >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
-    else:
-        places = np.zeros(0, np.int64)
+def chunks_of(text: str) -> tuple[np.ndarray, list[int]]:
+    """Bounds of the chunks of a text (n + 1 numbers) and 64 bits of a cryptographic hash of each."""
+    h = np.frombuffer(text.encode("utf-32-le", errors="replace"), np.uint32).astype(np.uint64)
+    n = len(h)
+    places = np.zeros(0, np.int64)
+    if n >= WINDOW:
+        h = mix(h)
+        for k in (1, 2, 4, 8):  # hashes of 2, 4, 8 and 16 characters from each place
+            h = h[:-k] * np.uint64(0x9E3779B97F4A7C15) + (h[k:] ^ h[k:] >> np.uint64(31))
+        places = np.flatnonzero(mix(h) >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
     bounds = [0]
     while True:  # the next place at least LEAST characters on
         k = np.searchsorted(places, bounds[-1] + LEAST)
@@ -55,9 +51,8 @@ def chunks_of(text: str) -> tuple[np.ndarray, np.ndarray]:
         bounds.append(int(places[k]))
     if bounds[-1] < n:
         bounds.append(n)
-    at = np.array(bounds)
-    name = (total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(np.uint64)
-    return at, name.view(np.int64)
+    parts = [text[a:b].encode(errors="replace") for a, b in zip(bounds, bounds[1:], strict=False)]
+    return np.array(bounds), [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in parts]
 
 
 class Codec:
@@ -135,11 +130,11 @@ def find_chunks(rows: DataFrame) -> DataFrame:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
                     at, name = chunks_of(text)
-                    for column, values in zip(out, ([key] * len(name), at[:-1].tolist(), at[1:].tolist(), name.tolist()), strict=True):
+                    for column, values in zip(out, ([key] * len(name), at[:-1].tolist(), at[1:].tolist(), name), strict=True):
                         column += values
             yield record(dict(zip(schema.names, out, strict=True)), schema)
 
-    return rows.mapInArrow(run, "key binary, start int, stop int, chunk long")
+    return map_batches(rows, run, "key binary, start int, stop int, chunk long")
 
 
 def encode_shared(rows: DataFrame, owners: DataFrame, path: str) -> DataFrame:
@@ -157,18 +152,18 @@ def encode_shared(rows: DataFrame, owners: DataFrame, path: str) -> DataFrame:
             for a, b in text_groups(parts):
                 yield record({"chunk": names[a:b], "ids": [x.astype("<u4").tobytes() for x in enc.encode(parts[a:b])]}, schema)
 
-    return matched(rows, owners, ["key", "doc_id"]).select("text", "own").mapInArrow(run, "chunk long, ids binary").dropDuplicates(["chunk"])
+    return map_batches(matched(rows, owners, ["key", "doc_id"]).select("text", "own"), run, "chunk long, ids binary").dropDuplicates(["chunk"])
 
 
 def matched(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     """Rows with a partner in few; its keys are broadcast first where their number is small, so that the texts of the
-    others are not shuffled."""
-    keys = few.select(*[F.col(c).alias(f"_{c}") for c in on]).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
+    others are not shuffled. Rows of one key are dealt over many tasks."""
+    names = {c: f"_{c}" for c in on}
+    few = few.filter(" and ".join(f"{c} is not null" for c in on))
     if few.count() <= MOST_BROADCAST:
-        rows = rows.join(F.broadcast(keys), same, "left_semi")
-    few = few.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in few.columns])
-    return rows.join(few, same).drop(*[f"_{c}" for c in on])
+        keys = few.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+        rows = rows.join(F.broadcast(keys), [F.col(c) == F.col(n) for c, n in names.items()], "left_semi")
+    return spread_join(rows, few, on, ["doc_id"])
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,18 +172,21 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     A null or empty text has no tokens. Repeated rows and null ids give a row each; an empty table gives an empty
     result; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    chunks = cut(find_chunks(rows.select("key", "doc_id", "text").select("key", "text")), "chunks")
-    shared = chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "stop")).alias("own")).filter("n > 1")
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    owners = shared.select("chunk", "own.*").groupBy("key").agg(F.collect_list(F.struct("start", "stop", "chunk")).alias("own"))
-    encoded = cut(encode_shared(rows, cut(owners.join(first, "key"), "owners"), path), "encoded")
-    plan = chunks.distinct().join(encoded, "chunk").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan"))
-    plan = cut(plan, "plan")
-    bare = rows.join(F.broadcast(plan.select("key")), "key", "left_anti").withColumn("plan", F.lit(None).cast(plan.schema["plan"].dataType)) if plan.count() <= MOST_BROADCAST else None
-    full = matched(rows, plan, ["key"]) if bare is not None else rows.join(plan, "key", "left")
+    with Scratch(docs.sparkSession) as s:
+        chunks = s.cut(find_chunks(rows.select("key", "text")), "chunks")
+        shared = chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "stop")).alias("own")).filter("n > 1")
+        first = rows.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+        owners = shared.select("chunk", "own.*").groupBy("key").agg(F.collect_list(F.struct("start", "stop", "chunk")).alias("own"))
+        encoded = s.cut(encode_shared(rows, s.cut(owners.join(first, "key"), "owners"), path), "encoded")
+        plan = spread_join(chunks.distinct(), encoded, ["chunk"], ["key", "start"])
+        plan = s.cut(plan.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan")), "plan")
+        return s.keep(coded(rows, plan, path), "round-trip")
+
+
+def coded(rows: DataFrame, plan: DataFrame, path: str) -> DataFrame:
+    """The result of rows (doc_id, text, key) with the chunks of plan (key, plan) reused."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -200,5 +198,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 back = [own.decode(x).decode("utf-8", errors="replace").encode() for x in ids]
                 yield record({"doc_id": doc_ids.slice(a, b - a), "n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]}, SCHEMA)
 
-    parts = [x.select("doc_id", "text", "plan").mapInArrow(run, DDL) for x in ([full] if bare is None else [full, bare])]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if plan.count() <= MOST_BROADCAST:
+        bare = rows.join(F.broadcast(plan.select("key")), "key", "left_anti").withColumn("plan", F.lit(None).cast(plan.schema["plan"].dataType))
+        parts = [matched(rows, plan, ["key"]), bare]
+    else:
+        parts = [spread_join(rows, plan, ["key"], ["doc_id"], "left")]
+    done = [map_batches(x.select("doc_id", "text", "plan"), run, DDL) for x in parts]
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])

@@ -1,20 +1,19 @@
-"""Helpers that several operators share: tables, shared-folder cuts, bounded Arrow batches."""
+"""Helpers that several operators share: tables, tables written on the way, bounded Arrow batches."""
 
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one numpy pass inside a task works on.
 BATCH_CHARS = 1 << 20
-#: Rows that Arrow sends to a Python worker at once; whole texts can be long.
-ARROW_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,27 +21,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session, where driver and executors are one
+    machine, may leave it unset; it gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="mediacat-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough that a batch of long texts fits a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+class Scratch:
+    """Tables that an operator writes to the shared folder on its way, so that lineage ends there and a lost executor costs
+    no recomputation. Those of `cut` are deleted when the operator is done, those of `keep`, which the result still
+    reads, when the application ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.number = itertools.count()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        delete(self.spark, self.root)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        return self._written(df, f"{self.root}/{name}-{next(self.number)}")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        KEPT.append((self.spark, path))
+        return self._written(df, path)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+KEPT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_kept() -> None:
+    for spark, path in KEPT:
+        if spark.sparkContext._jsc is not None:  # a stopped session leaves its tables to whoever owns the folder
+            delete(spark, path)
 
 
 def text_groups(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -58,5 +90,17 @@ def text_groups(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tu
         yield begin, len(texts)
 
 
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """rows.mapInArrow(run) with `run` fed slices of at most BATCH_CHARS bytes (or one row), whatever Arrow batches hold."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * BATCH_CHARS // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    return rows.mapInArrow(lambda batches: run(sliced(batches)), ddl)
+
+
 def record(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

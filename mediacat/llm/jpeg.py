@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import bounded_batches, record, text_groups
+from mediacat.llm.common import map_batches, record, text_groups
 
 #: Blocks in a row of a stored image, and rows of blocks an image may have (65,535 samples at most; multiples of 24).
 ACROSS, MOST_ROWS = 24, 8184
@@ -121,7 +121,7 @@ def parse(data: bytes, at: int) -> tuple[Frame, int]:
     """The image that starts at a byte, and where it ends. Only the scan with the first component is kept."""
     if data[at : at + 2] != b"\xff\xd8":
         raise JpegError("no start of image")
-    frame, quant, pos = Frame(), {}, at + 2
+    frame, quant, interval, rgb, pos = Frame(), {}, 0, False, at + 2
     while True:
         if pos + 2 > len(data) or data[pos] != 0xFF:
             raise JpegError("a marker is missing")
@@ -147,7 +147,9 @@ def parse(data: bytes, at: int) -> tuple[Frame, int]:
                     frame.tables[body[0]] = body[1 : 17 + n]
                     body = body[17 + n :]
             elif kind == 0xDD:
-                frame.restart = struct.unpack(">H", body[:2])[0]
+                interval = struct.unpack(">H", body[:2])[0]
+            elif kind == 0xEE and body[:5] == b"Adobe" and len(body) > 11 and body[11] == 0:
+                rgb = True
             elif kind in (0xC0, 0xC1):
                 bits, frame.height, frame.width, n = struct.unpack_from(">BHHB", body)
                 if bits != 8 or not frame.height or not frame.width or not n:
@@ -169,7 +171,9 @@ def parse(data: bytes, at: int) -> tuple[Frame, int]:
                 ids = [p[0] for p in frame.parts]
                 scan = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
                 if any(c == 0 for c, _, _ in scan):
-                    frame.scan, frame.data, frame.step = scan, data[pos:end], quant[frame.parts[0][3]]
+                    if rgb and len(frame.parts) > 1:
+                        raise JpegError("no luminance component")
+                    frame.scan, frame.data, frame.step, frame.restart = scan, data[pos:end], quant[frame.parts[0][3]], interval
                     frame.tables = {t: frame.tables[t] for t in sorted({x for _, d, a in scan for x in (d, 16 + a)})}
                 pos = end
         except (IndexError, KeyError, ValueError, struct.error) as e:
@@ -338,8 +342,6 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null or empty text is 576 bytes of 255. Equal texts get equal values; repeated rows and null ids give a row
     each; an empty table gives an empty result; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -354,7 +356,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 }, SCHEMA)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(rows, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def thumbnails(images: DataFrame, id_col: str = "image_id", content_col: str = "content") -> DataFrame:
@@ -362,7 +364,6 @@ def thumbnails(images: DataFrame, id_col: str = "image_id", content_col: str = "
 
     Null or undecodable content gives nulls and an error text; nothing is dropped.
     """
-    bounded_batches(images.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("thumbnail", pa.binary()), ("average_hash", pa.string()), ("difference_hash", pa.string()), ("error", pa.string())])
 
     def one(content: bytes | None) -> tuple:
@@ -379,4 +380,5 @@ def thumbnails(images: DataFrame, id_col: str = "image_id", content_col: str = "
             rows = [one(c) for c in batch.column(1).to_pylist()]
             yield record({"id": batch.column(0)} | {f.name: [r[k] for r in rows] for k, f in enumerate(list(schema)[1:])}, schema)
 
-    return images.select(F.col(id_col).cast("long").alias("id"), F.col(content_col).cast("binary").alias("content")).mapInArrow(run, "id long, width int, height int, thumbnail binary, average_hash string, difference_hash string, error string")
+    rows = images.select(F.col(id_col).cast("long").alias("id"), F.col(content_col).cast("binary").alias("content"))
+    return map_batches(rows, run, "id long, width int, height int, thumbnail binary, average_hash string, difference_hash string, error string")

@@ -1,12 +1,15 @@
 """Near duplicates by a chosen-path set similarity join over word shingles.
 
-Texts with equal shingle sets form a class; one row stands for each. A class has a vector of minwise hashes. In every
-tree, a node picks coordinates at random and a class goes to the child named by its own hash there, so similar classes
-share paths. Nodes of few classes, and nodes whose classes are alike (branching would not part them), are compared
+Texts with equal shingle sets form a class; one row stands for each. A class has a vector of minwise hashes. The root of
+every tree has coordinates of its own, further nodes pick theirs at random, and a class goes to the child named by its
+own hash there, so similar classes share paths. Nodes of few classes, and nodes whose classes are alike (branching would not part them), are compared
 exhaustively; the others branch again. Independent trees repeat this until the target recall is met. Shortcuts that
 lose no component: links to random classes of each node, confirmed first, join most copies; later only pairs whose
 ends are not yet in one component are compared, and only in the first compared root that both share. Every link is
-confirmed on full shingle sets.
+confirmed on full shingle sets; a shingle is 64 bits of a mix of its words' names.
+
+Recall of the branching for a pair of similarity 0.8, measured over random pairs (tests): all of 20,000 where roots are
+compared, at least 0.9999 at every deeper level.
 """
 
 from __future__ import annotations
@@ -20,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import bounded_batches, cut, record, text_groups
+from mediacat.llm.common import Scratch, map_batches, record, text_groups
 from mediacat.llm.components import connected_components
-from mediacat.llm.pieces import POWERS
+from mediacat.llm.words import joined, mix, names
+from mediacat.operators.joins import spread_join
 
 #: Coordinates of a class's minwise vector, those that trees branch on, and bits kept of each for estimates.
-WIDTH, PATHS = 128, 32
+WIDTH, PATHS = 128, 64
 #: Children that a node opens, and levels below the roots.
 BRANCH, DEPTH = 2, 4
-#: Classes that a node may hold to be compared exhaustively, and classes a side of a block in larger leaves. A larger
-#: node counts as alike if this share of its classes is near its pivot.
+#: Classes that a node may hold to be compared exhaustively, and classes in a block of larger leaves. A larger node
+#: counts as alike if this share of its classes is near its pivot.
 ALIKE = 0.2
 SMALL, BLOCK = 64, 512
 #: Rounds of links to random classes of each root.
@@ -63,22 +67,18 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for a, b in text_groups(texts):
         part = [(t or "").encode(errors="replace").translate(LOWER) for t in texts[a:b]]
-        data = np.frombuffer(b"\n".join([*part, b""]), np.uint8)
-        space = np.append(IS_SPACE[data], True)
+        data, ends = joined(part)
+        space = IS_SPACE[data[: ends[-1] + 1]]
+        space[ends] = True
         edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
         begin, stop = edge[::2], edge[1::2]
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-        first = np.searchsorted(begin, np.append(0, ends))
-        up, down = POWERS.upto(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(POWERS.value[data] * up[: len(data)], out=total[1:])
-        word = (total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64)
-        word = (word ^ (word >> np.uint64(29))) * MIX
+        first = np.searchsorted(begin, np.append(0, ends + 1))
+        word = names(data, begin, stop - begin)
         n = max(0, len(word) - k + 1)
         wide = np.zeros(n, np.uint64)
         for i in range(k):
             wide = (wide ^ (wide >> np.uint64(31))) * MIX + word[i : i + n]
-        wide = (wide ^ (wide >> np.uint64(33))) * MIX
+        wide = mix(wide)
         for row in range(len(part)):
             lo, hi = first[row], first[row + 1]
             if hi - lo >= k:
@@ -112,19 +112,16 @@ def minwise(sets: list[np.ndarray]) -> tuple[list[np.ndarray | None], list[bytes
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sig, sketch) of every row."""
-    bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.list_(pa.int32())), ("sketch", pa.binary())])
+    """(doc_id, n_shingles, set_id, sig, sketch, key) of every row (doc_id, text, key)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.list_(pa.int32())), ("sketch", pa.binary()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_groups(texts):
-                sets = shingle_sets(texts[a:b], k)
-                sig, sketch = minwise(sets)
-                yield record({"doc_id": batch.column(0).slice(a, b - a), "n_shingles": [len(x) for x in sets], "set_id": [set_id(x) for x in sets], "sig": sig, "sketch": sketch}, schema)
+            sets = shingle_sets(batch.column(1).to_pylist(), k)
+            sig, sketch = minwise(sets)
+            yield record({"doc_id": batch.column(0), "n_shingles": [len(x) for x in sets], "set_id": [set_id(x) for x in sets], "sig": sig, "sketch": sketch, "key": batch.column(2)}, schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig array<int>, sketch binary")
+    return map_batches(docs.select("doc_id", "text", "key"), run, "doc_id long, n_shingles long, set_id binary, sig array<int>, sketch binary, key binary")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
@@ -134,13 +131,12 @@ def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in text_groups(texts):
-                rows = [(w, x.tobytes()) for w, x in zip(wanted[a:b], shingle_sets(texts[a:b], k), strict=True) if set_id(x) == w]
-                yield record({"set_id": [r[0] for r in rows], "items": [r[1] for r in rows]}, schema)
+            rows = [(w, x.tobytes()) for w, x in zip(wanted, shingle_sets(texts, k), strict=True) if set_id(x) == w]
+            yield record({"set_id": [r[0] for r in rows], "items": [r[1] for r in rows]}, schema)
 
     few = needed.count() <= MOST_BROADCAST
     rows = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("set_id", "text")
-    return rows.mapInArrow(run, "set_id binary, items binary").dropDuplicates(["set_id"])
+    return map_batches(rows, run, "set_id binary, items binary").dropDuplicates(["set_id"])
 
 
 def alike(x: bytes, y: bytes, percent: int) -> bool:
@@ -154,11 +150,11 @@ def alike(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, s: Scratch) -> DataFrame:
     """The pairs (src, dst) of classes with 100 * intersection >= percent * union of their full sets."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()
-    needed = cut(classes.select("set_id", "doc_id").join(ends, "set_id"), "needed")
-    sets = cut(full_sets(docs, needed, k), "sets")
+    needed = s.cut(classes.select("set_id", "doc_id").join(ends, "set_id"), "needed")
+    sets = s.cut(full_sets(docs, needed, k), "sets")
     schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +163,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
             keep = [i for i in range(len(src)) if alike(x[i], y[i], percent)]
             yield record({"src": [src[i] for i in keep], "dst": [dst[i] for i in keep]}, schema)
 
-    rows = pairs.join(sets.select(F.col("set_id").alias("src"), F.col("items").alias("x")), "src")
-    rows = rows.join(sets.select(F.col("set_id").alias("dst"), F.col("items").alias("y")), "dst")
-    return rows.select("src", "dst", "x", "y").mapInArrow(run, "src binary, dst binary")
+    rows = spread_join(pairs, sets.select(F.col("set_id").alias("src"), F.col("items").alias("x")), ["src"], ["dst"])
+    rows = spread_join(rows, sets.select(F.col("set_id").alias("dst"), F.col("items").alias("y")), ["dst"], ["src"])
+    return map_batches(rows.select("src", "dst", "x", "y"), run, "src binary, dst binary")
 
 
 def grid(column: pa.ChunkedArray) -> np.ndarray:
@@ -267,11 +263,11 @@ def compare(leaves: DataFrame, least: int) -> DataFrame:
     return by_cell(leaves.select("cell", "root", "roots", "set_id", "component", "sketch")).mapInArrow(run, LEAF_DDL)
 
 
-def confirm_dense(dense: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+def confirm_dense(dense: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, least: int, s: Scratch) -> DataFrame:
     """Links (src, dst) in cells of many alike classes, confirmed on full sets inside the task; of links within one cell
     only those that join components further are returned."""
-    needed = cut(classes.select("set_id", "doc_id").join(dense.select("set_id").distinct(), "set_id"), "needed")
-    sets = cut(full_sets(docs, needed, k), "sets")
+    needed = s.cut(classes.select("set_id", "doc_id").join(dense.select("set_id").distinct(), "set_id"), "needed")
+    sets = s.cut(full_sets(docs, needed, k), "sets")
     schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,34 +295,39 @@ def confirm_dense(dense: DataFrame, docs: DataFrame, classes: DataFrame, k: int,
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
-    """(node, slot, set_id, sig) -> a row for each child: the node picks BRANCH coordinates by its own hash."""
-    picks = [(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PATHS)) + j * (PATHS // BRANCH)) % PATHS for j in range(BRANCH)]
+    """(node, slot, set_id, sig) -> a row for each child. Roots (level 0) take BRANCH coordinates by their slot, which no
+    other root takes; other nodes pick BRANCH different ones by their own hash."""
+    if level == 0:
+        picks = [F.pmod(F.col("slot") * BRANCH + j, F.lit(PATHS)) for j in range(BRANCH)]
+    else:
+        first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PATHS))
+        picks = [first] + [(first + 1 + (j - 1) * ((PATHS - 1) // (BRANCH - 1)) + F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit((PATHS - 1) // (BRANCH - 1)))) % PATHS for j in range(1, BRANCH)]
     names = [F.struct(F.xxhash64("node", F.lit(level), p, F.get("sig", p.cast("int"))).alias("node"), (F.col("slot") * BRANCH + j).alias("slot")) for j, p in enumerate(picks)]
     return rows.select(F.explode(F.array(*names)).alias("c"), "set_id").select("c.node", "c.slot", "set_id")
 
 
 def shared(tree: DataFrame) -> DataFrame:
     """Without nodes of one class."""
-    return tree.join(tree.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "node")
+    return spread_join(tree, tree.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), ["node"], ["set_id"])
 
 
 def with_components(tree: DataFrame, joined: DataFrame) -> DataFrame:
     """tree with `component` of each class and size `n` of its node, without nodes of one component."""
-    known = tree.join(joined, tree["set_id"] == joined["id"], "left").select("node", "slot", "set_id", F.coalesce("component", "set_id").alias("component"))
-    sizes = known.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).filter("groups > 1")
-    return known.join(sizes.select("node", "n"), "node")
+    known = tree.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select("node", "slot", "set_id", F.coalesce("component", "set_id").alias("component"))
+    sizes = known.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return spread_join(known, sizes.select("node", "n"), ["node"], ["set_id"])
 
 
 def to_pivots(known: DataFrame, salt: int) -> DataFrame:
     """(node, src, dst): each class with a class of its node that a hash picks, if their components differ."""
     pick = known.groupBy("node").agg(F.min_by(F.struct("set_id", "component"), F.xxhash64("set_id", "node", F.lit(salt))).alias("p"))
-    rows = known.join(pick, "node").filter(F.col("component") != F.col("p.component"))
+    rows = spread_join(known, pick, ["node"], ["set_id"]).filter(F.col("component") != F.col("p.component"))
     return rows.select("node", F.col("p.set_id").alias("src"), F.col("set_id").alias("dst"))
 
 
 def with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    rows = pairs.join(classes.select(F.col("set_id").alias("src"), F.col("sketch").alias("x")), "src")
-    return rows.join(classes.select(F.col("set_id").alias("dst"), F.col("sketch").alias("y")), "dst")
+    rows = spread_join(pairs, classes.select(F.col("set_id").alias("src"), F.col("sketch").alias("x")), ["src"], ["dst"])
+    return spread_join(rows, classes.select(F.col("set_id").alias("dst"), F.col("sketch").alias("y")), ["dst"], ["src"])
 
 
 def alike_nodes(known: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -343,96 +344,117 @@ def alike_nodes(known: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return near.groupBy("node").agg(F.avg("near").alias("share")).filter(F.col("share") >= ALIKE).select("node", F.lit(True).alias("alike"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, recall: float = 1 - 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id) of every row.
-
-    Rows with no word link to nothing. Rows with a null id link to nothing, have a null component and are kept.
-    Repeated rows share a class; rows that share an id share its component only if their sets are linked. An empty
-    table gives an empty result; other columns are ignored.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(signatures(docs, k), "signatures")
+def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch) -> DataFrame:
+    """doc_id, n_shingles, component_id and key of every row (doc_id, text, key)."""
+    rows = s.cut(signatures(docs, k), "signatures")
     usable = rows.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
+    classes = s.cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
     similarity = percent / 100
     trees = trees_for(recall, similarity)
     least = max(1, math.floor(WIDTH * similarity - 4.2 * math.sqrt(WIDTH * similarity * (1 - similarity))))
 
-    seeds = classes.select("set_id", "sig", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("node"))
-    tree = children(seeds.select(F.xxhash64("node", F.lit("root")).alias("node"), F.col("node").alias("slot"), "set_id", "sig"), 0)
-    tree = cut(shared(tree), "tree")
+    roots = classes.select("set_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("slot"))
+    tree = s.cut(shared(children(roots.withColumn("node", F.lit(0).cast("long")), 0)), "tree")
 
     joined = classes.select(F.col("set_id").alias("id"), F.col("set_id").alias("component")).limit(0)
     links = None
     for salt in range(STARS):
         stars = to_pivots(with_components(tree, joined), salt).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        found = confirmed(cut(near_pairs(with_sketches(stars, classes), least), "stars"), docs, classes, k, percent)
-        links = cut(found if links is None else links.unionByName(found), "links")
-        joined = cut(connected_components(links), "joined")
+        found = confirmed(s.cut(near_pairs(with_sketches(stars, classes), least), "stars"), docs, classes, k, percent, s)
+        links = s.cut(found if links is None else links.unionByName(found), "links")
+        joined = s.cut(connected_components(links, s), "joined")
 
-    pairs = dense = None
+    leaves = None
     for level in range(1, DEPTH + 1):
-        known = cut(with_components(tree, joined), "level")
+        known = s.cut(with_components(tree, joined), "level")
         if known.isEmpty():
             break
         if level < DEPTH:
-            alike = cut(alike_nodes(known, classes, math.floor(0.7 * least)), "alike")
-            known = known.join(alike, "node", "left").withColumn("leaf", (F.col("n") <= SMALL) | F.coalesce("alike", F.lit(False)))
+            alike = s.cut(alike_nodes(known, classes, math.floor(0.7 * least)), "alike")
+            known = spread_join(known, alike, ["node"], ["set_id"], "left").withColumn("leaf", (F.col("n") <= SMALL) | F.coalesce("alike", F.lit(False)))
         else:
             known = known.withColumn("leaf", F.lit(True))
         leaf = known.filter("leaf")
         if level == 1:  # all pairs of these roots are compared, so one of the roots that a pair shares is enough
             own = leaf.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "node"))).alias("own"))
-            roots = F.transform(F.sequence(F.lit(0), F.lit(trees * BRANCH - 1)), lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0)))
-            leaf = leaf.join(own.select("set_id", roots.alias("roots")), "set_id").withColumn("root", F.col("node"))
+            shared_roots = F.transform(F.sequence(F.lit(0), F.lit(trees * BRANCH - 1)), lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0)))
+            leaf = leaf.join(own.select("set_id", shared_roots.alias("roots")), "set_id").withColumn("root", F.col("node"))
         else:
             leaf = leaf.withColumn("roots", F.array_repeat(F.lit(0).cast("long"), trees * BRANCH)).withColumn("root", F.lit(0).cast("long"))
-        found = cut(compare(cells(leaf.join(classes.select("set_id", "sketch"), "set_id")), least), "pairs")
-        few = found.filter("dst is not null").select(F.least("set_id", "dst").alias("src"), F.greatest("set_id", "dst").alias("dst"))
-        pairs = few if pairs is None else pairs.unionByName(few)
-        many = found.filter("dst is null")
-        dense = many if dense is None else dense.unionByName(many)
+        part = s.cut(cells(leaf), "leaves")
+        leaves = part if leaves is None else leaves.unionByName(part)
         if level == DEPTH:
             break
         big = known.filter(~F.col("leaf")).select("node", "slot", "set_id").join(classes.select("set_id", "sig"), "set_id")
-        tree = cut(shared(children(big, level)), "tree")
-    if pairs is not None:
-        links = links.unionByName(confirmed(cut(pairs.distinct(), "pairs"), docs, classes, k, percent))
+        tree = s.cut(shared(children(big, level)), "tree")
+    if leaves is not None:
+        found = s.cut(compare(leaves.join(classes.select("set_id", "sketch"), "set_id"), least), "pairs")
+        pairs = found.filter("dst is not null").select(F.least("set_id", "dst").alias("src"), F.greatest("set_id", "dst").alias("dst")).distinct()
+        links = links.unionByName(confirmed(s.cut(pairs, "pairs"), docs, classes, k, percent, s))
+        dense = found.filter("dst is null")
         if not dense.isEmpty():
-            links = links.unionByName(confirm_dense(dense, docs, classes, k, percent, least))
-    linked = connected_components(links)
+            links = links.unionByName(confirm_dense(dense, docs, classes, k, percent, least, s))
+    linked = s.cut(connected_components(links, s), "linked")
+
+    owner = classes.join(linked, F.col("set_id") == F.col("id")).groupBy("component").agg(F.min("doc_id").alias("least"))
+    linked = spread_join(linked, owner, ["component"], ["id"]).select(F.col("id").alias("set_id"), "least")
+    known = classes.select("set_id", "doc_id").join(linked, "set_id", "left").select("set_id", F.coalesce("least", "doc_id").alias("least"))
+    out = spread_join(rows.select("doc_id", "n_shingles", "set_id", "key"), known, ["set_id"], ["doc_id"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "key")
 
-    owner = usable.select("doc_id", "set_id").join(linked, F.col("set_id") == F.col("id")).groupBy("component").agg(F.min("doc_id").alias("least"))
-    linked = linked.join(owner, "component").select("id", "least")
-    lone = classes.select(F.col("set_id").alias("class"), F.col("doc_id").alias("own")).join(linked, F.col("class") == F.col("id"), "left").select("class", F.coalesce("least", "own").alias("least"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(lone, F.col("set_id") == F.col("class"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, recall: float = 1 - 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id) of every row.
+
+    Rows with no word link to nothing. Rows with a null id link to nothing, have a null component and are kept.
+    Repeated rows share a class; rows that share an id share its component only if their sets are linked. An empty
+    table gives an empty result; other columns are ignored. recall is what the number of trees is reckoned from.
+    """
+    with Scratch(docs.sparkSession) as s:
+        rows = linked_rows(keyed(docs, id_col, text_col), k, percent, recall, s)
+        return s.keep(rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near")
 
 
-def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 1 - 1e-6) -> DataFrame:
     """The rows of docs, with all their columns, that are alone in their component or have its smallest id.
 
-    Of repeated rows of one id and text one stays. Rows without id or words stay.
+    Of rows of one id in one component one stays. A row goes by its id and text, so another text under the same id is
+    judged by itself. Rows without id or words stay.
     """
-    found = cut(near_duplicates(docs, k, percent), "near")
-    gone = found.filter("not kept").select("doc_id").distinct()
+    with Scratch(docs.sparkSession) as s:
+        found = s.cut(linked_rows(keyed(docs), k, percent, recall, s).filter("n_shingles > 0 and doc_id is not null"), "near")
+        kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
+        kept = s.cut(kept.filter("n > 1"), "twice")  # one id more than once in its component
+        others = found.join(kept.select("doc_id", "first"), "doc_id").filter("doc_id = component_id and key <> first")
+        gone = s.keep(found.filter("doc_id <> component_id").select("doc_id", "key").unionByName(others.select("doc_id", "key")).distinct(), "gone")
+        again = s.keep(kept.select("doc_id", "first"), "again")
     few = gone.count() <= MOST_BROADCAST
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    twice = cut(found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    left = docs.join(F.broadcast(gone) if few else gone, (docs["doc_id"].cast("long") == gone["_id"]) & (key == gone["_key"]), "left_anti")
+    if again.isEmpty():
         return left
-    same = left["doc_id"].cast("long") == twice["doc_id"]
-    again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, same, "left_anti").unionByName(again)
+    same = (left["doc_id"].cast("long") == again["doc_id"]) & (F.unhex(F.md5(F.coalesce(left["text"], F.lit("")))) == again["first"])
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cells(leaf: DataFrame) -> DataFrame:
-    """Leaves as cells. One of more than BLOCK classes becomes a cell for each pair of its blocks, so that no task holds
-    more than two blocks of a leaf."""
-    names = ["root", "roots", "set_id", "component", "sketch"]
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id", F.lit(5)), blocks).cast("int")
-    rows = leaf.filter(F.col("n") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *names)
-    return leaf.filter(F.col("n") <= BLOCK).select(F.col("node").alias("cell"), *names).unionByName(large)
+    """Leaves (node, n, root, roots, set_id, component) as cells. The classes of a leaf of more than BLOCK are dealt into
+    blocks, those of its largest component apart from the others, and every pair of blocks that may hold different
+    components becomes a cell. So no task holds more than two blocks of a leaf, and a family that is joined already is
+    copied once for each block of classes outside it."""
+    names = ["root", "roots", "set_id", "component"]
+    large = leaf.filter(F.col("n") > BLOCK)
+    sizes = large.groupBy("node", "component").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("node").agg(F.max(F.struct("m", "component")).alias("main"))
+    rows = spread_join(large, main, ["node"], ["set_id"])
+    others, inner = (F.ceil(c / BLOCK).cast("int") for c in (F.col("n") - F.col("main.m"), F.col("main.m")))
+    inside = F.col("component") == F.col("main.component")
+    own = F.when(inside, others + F.pmod(F.xxhash64("set_id", F.lit(5)), inner)).otherwise(F.pmod(F.xxhash64("set_id", F.lit(5)), others)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others + F.when(inside, 0).otherwise(inner) - 1)))
+    dealt = rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *names)
+    return leaf.filter(F.col("n") <= BLOCK).select(F.col("node").alias("cell"), *names).unionByName(dealt)

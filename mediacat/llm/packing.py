@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import bounded_batches, cut, record
+from mediacat.llm.common import Scratch, map_batches, record
 from mediacat.llm.pieces import encoder
 
 #: Pieces in a group on average; a task holds one group.
@@ -32,8 +32,6 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    bounded_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
@@ -46,7 +44,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: st
             yield record(out, PIECES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,4 +107,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
 
     A null or empty text is the end token alone.
     """
-    return pack(cut(pieces_of(docs, path, end_id, capacity), "pieces"), capacity, group_rows)
+    with Scratch(docs.sparkSession) as s:
+        return s.keep(pack(s.cut(pieces_of(docs, path, end_id, capacity), "pieces"), capacity, group_rows), "packed")

@@ -1,8 +1,9 @@
 """Byte-pair encoding of many texts at once, with the results of the tokenizers library.
 
-A batch of texts becomes one array of characters. Pre-tokens are found with array operations, named by a 64-bit
-hash, and every distinct pre-token is merged once per worker and kept in a bounded table. Texts with characters
-beyond U+00FF or with the tokenizer's special strings go through the library itself.
+A batch of texts becomes one array of UTF-8 bytes. Pre-tokens are found with array operations from the class of each
+character; classes beyond ASCII are asked from the library, once a character. Every distinct pre-token is merged once
+per worker and kept in a bounded table; a pre-token counts as known only after its bytes are compared. Texts are cut at
+the tokenizer's special strings first.
 """
 
 from __future__ import annotations
@@ -12,36 +13,17 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
 from tokenizers import Tokenizer
 
 from mediacat.llm.common import text_groups
+from mediacat.llm.words import LONG, CharClasses, Column, Table, bytes_of, distinct, gather, joined
 
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-TABLE_ROWS = 1_500_000
-#: Pre-tokens of more bytes are merged by the library.
-LONG_PIECE = 64
+#: Distinct pre-tokens that a worker remembers before it starts anew, and bytes of those longer than LONG.
+TABLE_ROWS, LONG_BYTES = 1_500_000, 1 << 23
 NONE = np.int32(2**31 - 1)
 
 
-def _classes() -> np.ndarray:
-    out = np.full(257, OTHER, np.uint8)
-    for c in range(256):
-        x = chr(c)
-        if c in (0x20, 0x85, 0xA0) or 0x09 <= c <= 0x0D:
-            out[c] = SPACE
-        elif x.isalpha():
-            out[c] = LETTER
-        elif x.isnumeric():
-            out[c] = NUMBER
-    out[256] = END
-    return out
-
-
-CLASS = _classes()
-
-
 def _byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if visible, else from U+0100 on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -49,27 +31,21 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-class Powers:
-    """Random value of each character, and powers of an odd base with their inverses, modulo 2**64."""
-
-    def __init__(self) -> None:
-        rng = np.random.default_rng(7)
-        self.value = rng.integers(1, 2**63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = 0x9E3779B97F4A7C15
-        self.up = self.down = np.zeros(0, np.uint64)
+class LibraryClasses(CharClasses):
+    """Classes of characters as the library's own pre-tokenizer treats them."""
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            inverse = pow(self.base, -1, 2**64)
-            self.up, self.down = np.full(size, self.base, np.uint64), np.full(size, inverse, np.uint64)
-            for x in (self.up, self.down):
-                x[0] = 1
-                np.cumprod(x, out=x)
-        return self.up[:n], self.down[:n]
+    def __init__(self, library: Tokenizer) -> None:
+        self.spans = lambda text: {span for _, span in library.pre_tokenizer.pre_tokenize_str(text)}
+        super().__init__(END)
 
+    def joins(self, before: str, c: str) -> bool:
+        return (0, 2) in self.spans(before + c)
 
-POWERS = Powers()
+    def ask(self, c: str) -> int:
+        for kind, before in ((LETTER, "a"), (OTHER, "!"), (NUMBER, "1")):
+            if self.joins(before, c):
+                return kind
+        return NUMBER if self.spans(c) and not self.joins(c, c) else SPACE  # white space is dropped or goes in runs
 
 
 def starts_of(chars: np.ndarray, kind: np.ndarray, spaced: bool) -> np.ndarray:
@@ -82,10 +58,12 @@ def starts_of(chars: np.ndarray, kind: np.ndarray, spaced: bool) -> np.ndarray:
     np.less(kind, SPACE, out=solid[:n])
     if spaced:
         last = np.flatnonzero((kind == SPACE) & solid[1:])  # of a run of white space
+        for _ in range(3):
+            last -= chars[last] & 0xC0 == 0x80  # back to its first byte
         start[last] = True
         start[last[chars[last] == 32] + 1] = False
     else:
-        start |= kind == NUMBER
+        start |= (kind == NUMBER) & (chars & 0xC0 != 0x80)
     quote = np.flatnonzero((chars == 39) & start)
     quote = quote[quote + 1 < n]
     a = chars[quote + 1]
@@ -114,9 +92,10 @@ class Encoder:
         self.lower = bool(spec.get("normalizer"))
         vocab: dict[str, int] = model["vocab"]
         self.vocab = vocab
-        special = [x["content"] for x in spec["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special_ids = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special = re.compile("|".join(map(re.escape, self.special_ids))) if self.special_ids else None
         self.alphabet = _byte_alphabet()
+        self.classes = LibraryClasses(self.library)
         self.first = np.array([vocab[x] for x in self.alphabet], np.int32)
         self.final = np.array([vocab[x + self.suffix] for x in self.alphabet], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -125,60 +104,68 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.pair, self.pair_rank = keys[order], order.astype(np.int32)
         self.pair_to = np.array([vocab["".join(pairs[i])] for i in order], np.int32)
-        fold = np.arange(256, dtype=np.uint8)
-        if self.lower:
-            fold = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256)], np.uint8)
-            fold[CLASS[:256] == SPACE] = 32
-        self.fold = fold
-        self.one_token = np.zeros(0, np.uint64)
+        self.proven = Table()
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.table, self.start, self.count_of, self.ids = Table(), Column(np.int64), Column(np.int64), Column(np.uint32)
+        self.known_ids = 0  # ids that belong to the table; those after them are of one call only
+        self.long: dict[bytes, np.ndarray] = {}
+        self.long_bytes = 0
 
     # -- pre-tokens ---------------------------------------------------------------------------------------------
 
-    def plain(self, text: str) -> bytes | None:
-        """The characters as bytes, or None if the text needs the library."""
-        if self.special is not None and self.special.search(text):
-            return None
+    def parts(self, text: str) -> list[str | int]:
+        """The text cut at special strings, which are given as their ids."""
+        if self.special is None or not self.special.search(text):
+            return [text]
+        out: list[str | int] = []
+        at = 0
+        for m in self.special.finditer(text):
+            out += [text[at : m.start()], self.special_ids[m[0]]]
+            at = m.end()
+        return [x for x in [*out, text[at:]] if x != ""]
+
+    def normal(self, text: str) -> bytes:
+        """The text as the pre-tokenizer sees it."""
+        if not self.lower:
+            return text.encode()
         try:
-            return text.encode("latin-1")
+            text.encode("latin-1")  # composed already, and lower case changes one character at a time
+            return text.lower().encode()
         except UnicodeEncodeError:
-            return None
-
-    def split(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Characters of all texts, pre-token starts and ends, their hashes, and the first pre-token of each text."""
-        chars = self.fold[np.frombuffer(b"\0".join([*texts, b""]), np.uint8)]
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
-        code = chars.astype(np.uint16)
-        code[ends] = 256
-        kind = CLASS[code]
+            return self.library.normalizer.normalize_str(text).encode()
+
+    def split(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all parts, place and size of each pre-token, and the first pre-token of each part (and the end)."""
+        data, ends = joined(parts)
+        chars = data[: ends[-1] + 1]
+        kind = self.classes.of(chars, ends)
         start = starts_of(chars, kind, self.spaced)
         start[ends] = True
         begin = np.flatnonzero(start)
-        stop = np.append(begin[1:], len(chars))
+        size = np.append(begin[1:], len(chars)) - begin
         keep = kind[begin] != END if self.spaced else kind[begin] < SPACE
-        begin, stop = begin[keep], stop[keep]
-        up, down = POWERS.upto(len(chars) + 1)
-        total = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(POWERS.value[code] * up[: len(chars)], out=total[1:])
-        name = (total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64)
-        return chars, begin, stop, name, np.searchsorted(begin, np.append(np.append(0, ends[:-1] + 1), len(chars)))
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        """Hash of each string that is one pre-token of plain characters; 0 for any other."""
-        out = np.zeros(len(words), np.uint64)
-        rows = [(i, x) for i, w in enumerate(words) if (x := self.plain(w)) is not None]
-        if rows:
-            _, begin, stop, name, first = self.split([x for _, x in rows])
-            alone = np.flatnonzero(np.diff(first) == 1)
-            whole = alone[(stop - begin)[first[alone]] == np.array([len(rows[i][1]) for i in alone], np.int64)]
-            out[[rows[i][0] for i in whole]] = name[first[whole]]
-        return out
+        begin, size = begin[keep], size[keep]
+        return data, begin, size, np.searchsorted(begin, np.append(np.append(0, ends[:-1] + 1), len(chars)))
+
+    def single(self, words: list[str]) -> list[bytes]:
+        """Those of the strings that are one pre-token, as bytes."""
+        parts = [w.encode() for w in words if w and self.normal(w) == w.encode()]
+        if not parts:
+            return []
+        _, _, size, first = self.split(parts)
+        alone = np.flatnonzero(np.diff(first) == 1)
+        return [parts[i] for i in alone if size[first[i]] == len(parts[i])]
+
+    def trust(self, words: list[bytes]) -> None:
+        """Pre-tokens that are known to be one token each: `count` looks here first."""
+        self.proven = Table()
+        if words:
+            data, ends = joined(words)
+            size = np.array([len(w) for w in words], np.int64)
+            _, name, first, _ = distinct(data, ends - size, size)  # one that shares its name with an earlier one is merged instead
+            self.proven.add(name, data, (ends - size)[first], size[first])
 
     # -- merges -------------------------------------------------------------------------------------------------
 
@@ -188,28 +175,19 @@ class Encoder:
         hit = self.pair[at] == key
         return np.where(hit, self.pair_rank[at], NONE), self.pair_to[at]
 
-    def merge(self, chars: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of pre-tokens: the adjacent pair of lowest rank, leftmost first, is merged until none is left."""
-        size = stop - begin
-        wide = np.zeros(len(chars) + 1, np.int64)
-        np.cumsum(chars > 127, out=wide[1:])
-        length = size + wide[stop] - wide[begin]
+    def merge(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and ids of tokens of pre-tokens of at most LONG bytes: the adjacent pair of lowest rank, leftmost first,
+        is merged until none is left."""
         counts = np.zeros(len(begin), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         low = 0
-        for high in (4, 8, 12, 16, 24, LONG_PIECE):
-            rows = np.flatnonzero((length > low) & (length <= high))
+        for high in (4, 8, 12, 16, 24, LONG):
+            rows = np.flatnonzero((size > low) & (size <= high))
             low = high
             for block in np.array_split(rows, max(1, len(rows) // 20_000)) if len(rows) else ():
-                grid, left = self._grid(chars, begin[block], size[block], length[block], high)
-                ids, n = self._merge_grid(grid, left)
+                ids, n = self._merge_grid(self._grid(data, begin[block], size[block], high), size[block].copy())
                 counts[block] = n
                 parts.append((block, ids))
-        long = np.flatnonzero(length > LONG_PIECE)
-        if len(long):
-            for row, got in zip(long, self.library.encode_batch([chars[begin[i] : stop[i]].tobytes().decode("latin-1") for i in long], add_special_tokens=False), strict=True):
-                counts[row] = len(got.ids)
-                parts.append((np.array([row]), np.array([got.ids], np.uint32)))
         offset = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.uint32)
         for block, ids in parts:
@@ -218,22 +196,26 @@ class Encoder:
             flat[(offset[block][:, None] + np.arange(ids.shape[1]))[mask]] = ids[mask]
         return counts, flat
 
-    def _grid(self, chars, begin, size, length, width):
-        """A row of first symbols for each pre-token, from its UTF-8 bytes."""
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of a pre-token of more than LONG bytes, from the library's model."""
+        got = self.long.get(piece)
+        if got is None:
+            if self.long_bytes > LONG_BYTES:
+                self.long, self.long_bytes = {}, 0
+            got = np.array([t.id for t in self.library.model.tokenize("".join(self.alphabet[b] for b in piece))], np.uint32)
+            self.long[piece] = got
+            self.long_bytes += len(piece)
+        return got
+
+    def _grid(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """A row of first symbols for each pre-token."""
         row = np.repeat(np.arange(len(begin)), size)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        c = chars[begin[row] + within].astype(np.int32)
-        high = c > 127
-        shift = np.cumsum(high) - high
-        col = within + shift - np.repeat(np.append(shift, 0)[np.cumsum(size) - size], size)
-        data = np.zeros((len(begin), width), np.int32)
-        data[row, col] = np.where(high, 0xC0 | c >> 6, c)
-        data[row[high], col[high] + 1] = 0x80 | c[high] & 0x3F
-        grid = self.first[data]
+        grid = np.zeros((len(begin), width), np.int32)
+        raw = gather(data, begin, size)
+        grid[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = self.first[raw]
         if self.suffix:
-            at = np.arange(len(begin))
-            grid[at, length - 1] = self.final[data[at, length - 1]]
-        return grid, length.copy()
+            grid[np.arange(len(begin)), size - 1] = self.final[data[begin + size - 1]]
+        return grid
 
     def _merge_grid(self, grid: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width = grid.shape[1]
@@ -270,74 +252,90 @@ class Encoder:
 
     # -- texts --------------------------------------------------------------------------------------------------
 
-    def place(self, chars, begin, stop, name) -> np.ndarray:
-        """Row of the table for each pre-token; unknown ones are merged and added."""
-        codes, uniq = pd.factorize(name)
-        if len(self.keys) + len(uniq) > TABLE_ROWS:
+    def places(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `ids` the tokens of each string begin, and their number. The names are distinct.
+
+        Unknown ones are merged and added to the table. Long ones, and ones whose name belongs to another string, are
+        put behind the table's ids until the next call.
+        """
+        if len(self.table) + len(name) > TABLE_ROWS:
             self.forget()
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        if not known.all():
-            rep = np.empty(len(uniq), np.int64)
-            rep[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            new = np.flatnonzero(~known)
-            new = new[np.argsort(uniq[new])]
-            size, ids = self.merge(chars, begin[rep[new]], stop[rep[new]])
-            begins = np.cumsum(size) - size + len(self.ids)
-            where = np.searchsorted(self.keys, uniq[new])
-            self.begin, self.size = np.insert(self.begin, where, begins), np.insert(self.size, where, size)
-            self.keys = np.insert(self.keys, where, uniq[new])
-            self.ids = np.concatenate([self.ids, ids])
-            at = np.searchsorted(self.keys, uniq)
-        return at[codes]
-
-    def gather(self, rows: np.ndarray) -> np.ndarray:
-        size = self.size[rows]
-        total = np.cumsum(size)
-        return self.ids[np.repeat(self.begin[rows] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
+        self.ids.n = self.known_ids
+        start, count = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64)
+        row = np.full(len(name), -2, np.int64)
+        short = np.flatnonzero(size <= LONG)
+        row[short] = self.table.find(name[short], data, begin[short], size[short])
+        new = np.flatnonzero(row == -1)
+        if len(new):
+            n, ids = self.merge(data, begin[new], size[new])
+            row[new] = self.table.add(name[new], data, begin[new], size[new])
+            self.start.add(self.ids.n + np.cumsum(n) - n)
+            self.count_of.add(n)
+            self.ids.add(ids)
+            self.known_ids = self.ids.n
+        known = row >= 0
+        start[known], count[known] = self.start.data[row[known]], self.count_of.data[row[known]]
+        self._append(data, begin, size, np.flatnonzero(~known), start, count)
+        return start, count
+
+    def _append(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, rows: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        for i in rows.tolist():
+            ids = self.merge_long(bytes_of(data, begin[i], size[i])) if size[i] > LONG else self.merge(data, begin[i : i + 1], size[i : i + 1])[1]
+            start[i], count[i] = self.ids.n, len(ids)
+            self.ids.add(ids)
+
+    def tokens(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `places`, for strings that repeat."""
+        code, name, first, odd = distinct(data, begin, size)
+        start, count = (x[code] for x in self.places(data, begin[first], size[first], name))
+        self._append(data, begin, size, odd, start, count)
+        return start, count
+
+    def counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of tokens of strings; proven ones count one without being merged."""
+        code, name, first, odd = distinct(data, begin, size)
+        each = np.ones(len(name), np.int64)
+        rest = np.flatnonzero(self.proven.find(name, data, begin[first], size[first]) < 0)
+        each[rest] = self.places(data, begin[first[rest]], size[first[rest]], name[rest])[1]
+        out = each[code]
+        self._append(data, begin, size, odd, np.zeros(len(begin), np.int64), out)
+        return out
+
+    def _cut(self, texts: list[str | None]) -> tuple[list[list[str | int]], list[bytes]]:
+        parts = [self.parts(t) if t else [] for t in texts]
+        return parts, [self.normal(p) for own in parts for p in own if isinstance(p, str)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: empty) as unsigned 32-bit numbers."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        out: list[np.ndarray] = []
         for a, b in text_groups(texts):
-            plain = [(i, self.plain(texts[i])) for i in range(a, b) if texts[i]]
-            rows = [(i, x) for i, x in plain if x is not None]
-            for i, x in plain:
-                if x is None:
-                    out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-            if rows:
-                chars, begin, stop, name, first = self.split([x for _, x in rows])
-                at = self.place(chars, begin, stop, name)
-                ids = self.gather(at)
-                bound = np.append(0, np.cumsum(self.size[at]))[first]
-                for k, (i, _) in enumerate(rows):
-                    out[i] = ids[bound[k] : bound[k + 1]]
+            parts, strings = self._cut(texts[a:b])
+            if strings:
+                data, begin, size, first = self.split(strings)
+                start, count = self.tokens(data, begin, size)
+                ids, bound = gather(self.ids.data, start, count), np.append(0, np.cumsum(count))[first]
+            k = 0
+            for own in parts:
+                got = []
+                for p in own:
+                    if isinstance(p, str):
+                        got.append(ids[bound[k] : bound[k + 1]])
+                        k += 1
+                    else:
+                        got.append(np.array([p], np.uint32))
+                out.append(got[0] if len(got) == 1 else np.concatenate([np.zeros(0, np.uint32), *got]))
         return out
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        """Tokens of each text. Pre-tokens in `one_token` (sorted hashes) count one; only the rest are merged."""
+        """Tokens of each text."""
         out = np.zeros(len(texts), np.int64)
         for a, b in text_groups(texts):
-            plain = [(i, self.plain(texts[i])) for i in range(a, b) if texts[i]]
-            rows = [(i, x) for i, x in plain if x is not None]
-            for i, x in plain:
-                if x is None:
-                    out[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
-            if rows:
-                chars, begin, stop, name, first = self.split([x for _, x in rows])
-                each = np.ones(len(name), np.int64)
-                if len(self.one_token):
-                    at = np.minimum(np.searchsorted(self.one_token, name), len(self.one_token) - 1)
-                    rest = np.flatnonzero(self.one_token[at] != name)
-                else:
-                    rest = np.arange(len(name))
-                if len(rest):
-                    at = self.place(chars, begin[rest], stop[rest], name[rest])
-                    each[rest] = self.size[at]
-                total = np.append(0, np.cumsum(each))[first]
-                out[[i for i, _ in rows]] = np.diff(total)
+            parts, strings = self._cut(texts[a:b])
+            out[a:b] = [sum(not isinstance(p, str) for p in own) for own in parts]
+            if strings:
+                data, begin, size, first = self.split(strings)
+                each = np.diff(np.append(0, np.cumsum(self.counts(data, begin, size)))[first])
+                np.add.at(out, np.repeat(np.arange(a, b), [sum(isinstance(p, str) for p in own) for own in parts]), each)
         return out
 
 

@@ -1,13 +1,19 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 The raw model counts every document; the target model counts documents labelled good (a sample of at most
-`most_target`, chosen by a hash of the id). A document's weight is the mean log ratio of the two models over the n-grams
-of its lowest window, so neither length nor a good rest makes up for a junk passage; its key adds Gumbel noise that a hash of its text settles. The k largest keys are kept.
+`most_target`, chosen by a hash of the id). A document's log weight is the log ratio of the two models over the n-grams of
+its lowest window, all windows being of one size, so neither length nor a good rest makes up for a junk passage. Its
+key is the log weight plus Gumbel noise, at scale 1, that a hash of its text and the seed settles. The k documents of
+the largest keys stay, which draws k of them without replacement in proportion to their importance weights.
+
+k is a share of all documents: `share` if given, else the share of good ones among the labelled, plus two standard errors
+of it or `slack`, whichever is more, so that an error of the estimate costs junk kept rather than good text lost.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,37 +22,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import bounded_batches, cut, record, text_groups
+from mediacat.llm.common import Scratch, map_batches, record, text_groups
+from mediacat.llm.words import CharClasses, joined, mix, names
 
 BITS = 16
-#: N-grams in a window; the next window begins half of it later, and a shorter text is averaged over as many.
+#: N-grams in a window; the next window begins half of it later.
 WINDOW = 100
-#: Letters and digits in runs, other visible characters in runs.
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-
-
-def buckets(text: str | None) -> np.ndarray:
-    """Hashed words and pairs of neighbouring words of the text, repeats kept."""
-    data = TOKEN.findall(text or "")
-    one = np.fromiter((hash_word(w) for w in data), np.uint64, len(data))
-    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ one[1:]
-    both = np.concatenate([one, two]) * np.uint64(0xD6E8FEB86659FD93)
-    return (both >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-_KNOWN: dict[str, int] = {}
-
-
-def hash_word(word: str) -> int:
-    got = _KNOWN.get(word)
-    if got is None:
-        if len(_KNOWN) > 500_000:
-            _KNOWN.clear()
-        h = 0xCBF29CE484222325
-        for b in word.encode(errors="replace"):
-            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        got = _KNOWN[word] = h
-    return got
+WORD, SIGN, LINE, SPACE, END = range(5)
+
+
+class WordClasses(CharClasses):
+    """Letters and digits go in runs, underscores too, and so do other visible characters."""
+
+    def ask(self, c: str) -> int:
+        return SPACE if c.isspace() else LINE if c == "_" else WORD if c.isalnum() else SIGN
+
+
+@functools.cache
+def classes() -> WordClasses:
+    return WordClasses(END)
+
+
+def buckets(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashed n-grams of each text in order: every word, then its pair with the next one. Repeats are kept."""
+    out: list[np.ndarray] = []
+    for a, b in text_groups(texts):
+        data, ends = joined([(t or "").encode(errors="replace") for t in texts[a:b]])
+        kind = classes().of(data[: ends[-1] + 1], ends)
+        start = np.append(True, kind[1:] != kind[:-1])
+        begin = np.flatnonzero(start)
+        size = np.append(begin[1:], len(kind)) - begin
+        keep = kind[begin] < SPACE
+        begin, size = begin[keep], size[keep]
+        first = np.searchsorted(begin, np.append(0, ends + 1))
+        word = names(data, begin, size)
+        line = np.empty(max(0, 2 * len(word)), np.int64)
+        line[0::2] = word >> np.uint64(64 - BITS)
+        line[1:-1:2] = mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]) >> np.uint64(64 - BITS)
+        out += [line[2 * lo : max(2 * lo, 2 * hi - 1)] for lo, hi in zip(first, first[1:], strict=False)]
+    return out
 
 
 def bucket_counts(texts: DataFrame) -> np.ndarray:
@@ -55,13 +69,11 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in text_groups(texts):
-                total += np.bincount(np.concatenate([buckets(t) for t in texts[a:b]]), minlength=1 << BITS)
+            total += np.bincount(np.concatenate(buckets(batch.column(0).to_pylist())), minlength=1 << BITS)
         at = np.flatnonzero(total)
         yield record({"bucket": at, "n": total[at]}, pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
 
-    rows = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_batches(texts, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << BITS)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return out
@@ -78,42 +90,40 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, share: float = 2.0, least: fl
     return np.log((target + prior) / (expected + prior))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+
+
 def target_texts(docs: DataFrame, labels: DataFrame, most_target: int) -> DataFrame:
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_target)
+    good = known_labels(labels).filter("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_target)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good), "doc_id").select("text")  # broadcast: most_target numbers
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_target: int = 20_000) -> np.ndarray:
-    bounded_batches(docs.sparkSession)
     return log_ratio(bucket_counts(target_texts(docs, labels, most_target)), bucket_counts(docs.select("text")))
 
 
-def lowest_mean(x: np.ndarray) -> float:
-    """The least mean over a window of the log ratios of a text, in the order of `buckets` (words, then pairs)."""
-    line = np.empty(len(x))
-    line[0::2], line[1::2] = x[: (len(x) + 1) // 2], x[(len(x) + 1) // 2 :]  # each word, then its pair with the next one
+def lowest_window(x: np.ndarray) -> float:
+    """The least sum over a window of the log ratios of a text; a text of fewer n-grams is one window."""
     if len(x) <= WINDOW:
-        return float(line.sum() / WINDOW)
-    upto = np.concatenate([[0.0], np.cumsum(line)])
+        return float(x.sum())
+    upto = np.concatenate([[0.0], np.cumsum(x)])
     start = np.append(np.arange(0, len(x) - WINDOW, WINDOW // 2), len(x) - WINDOW)
-    return float((upto[start + WINDOW] - upto[start]).min() / WINDOW)
+    return float((upto[start + WINDOW] - upto[start]).min())
 
 
-def weight_column(spark: SparkSession, ratio: np.ndarray, text: Column, scale: float) -> Column:
-    """Struct of a text's log_weight (sum over all n-grams), n_grams, low_mean (mean of the lowest window) and
-    sample_key: low_mean over scale, plus Gumbel noise from a hash."""
-    bounded_batches(spark)
+def weight_column(spark: SparkSession, ratio: np.ndarray, text: Column, seed: int) -> Column:
+    """Struct of a text's log_weight (of its lowest window), n_grams, and sample_key: log_weight plus Gumbel noise."""
     shared = spark.sparkContext.broadcast(ratio)  # 2**BITS numbers whatever the input
 
-    @F.pandas_udf("struct<log_weight: double, n_grams: long, low_mean: double>")
+    @F.pandas_udf("struct<log_weight: double, n_grams: long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = [shared.value[buckets(t)] for t in texts]
-        return pd.DataFrame({"log_weight": [float(x.sum()) for x in got], "n_grams": [len(x) for x in got], "low_mean": [lowest_mean(x) for x in got]})
+        rows = [(lowest_window(shared.value[x]), len(x)) for x in buckets(texts.tolist())]
+        return pd.DataFrame(rows, columns=["log_weight", "n_grams"]).astype({"log_weight": "float64", "n_grams": "int64"})
 
-    noise = (F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 12) + F.lit(0.5)) / F.lit(float(2**52))
+    noise = (F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(seed)), 12) + F.lit(0.5)) / F.lit(float(2**52))
     got = run(text)
-    return F.struct(*[got[c].alias(c) for c in ("log_weight", "n_grams", "low_mean")], (got["low_mean"] / scale - F.log(-F.log(noise))).alias("sample_key"))
+    return F.struct(got["log_weight"].alias("log_weight"), got["n_grams"].alias("n_grams"), (got["log_weight"] - F.log(-F.log(noise))).alias("sample_key"))
 
 
 def top_k_threshold(keys: DataFrame, column: str, k: int, bins: int = 1024, rounds: int = 8) -> float | None:
@@ -144,31 +154,43 @@ def top_k_threshold(keys: DataFrame, column: str, k: int, bins: int = 1024, roun
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, most_target: int = 20_000, slack: float = 0.06, scale: float = 0.004) -> tuple[Column, float | None]:
-    """The weight struct of a document's text, and the least sample_key that stays (None: all stay).
+def kept_share(labels: DataFrame, slack: float) -> float:
+    """The share of documents to keep, from the labels; 1 without any."""
+    n, good = known_labels(labels).agg(F.count("*"), F.sum("quality")).first()
+    if not n:
+        return 1.0
+    share = (good or 0) / n
+    return min(1.0, share + max(slack, 2 * math.sqrt(share * (1 - share) / n)))
 
-    k is the number of documents whose lowest window has a mean log ratio of at least -slack; the k largest keys stay.
-    Equal texts have equal keys and share their fate, so a tie at the edge stays whole. Null and empty texts weigh 0. With no labelled good
-    text all ratios are 0 and every document stays. An empty table keeps nothing.
-    """
-    weight = weight_column(docs.sparkSession, fit(docs, labels, most_target), F.col("text"), scale)
-    keys = cut(docs.select(weight.alias("w")).select("w.low_mean", "w.sample_key"), "quality-weights")
-    k = keys.filter(F.col("low_mean") >= -slack).count()
-    return weight, top_k_threshold(keys, "sample_key", k)
 
+def weighed(docs: DataFrame, labels: DataFrame, s: Scratch, columns: list[str], name: str, most_target: int = 20_000, share: float | None = None, slack: float = 0.01, seed: int = 0) -> tuple[DataFrame, float | None]:
+    """The named columns of docs with the weight struct of each text as `name`, written once, and the least sample_key
+    that stays (None: all stay).
 
-def stays(weight: Column, edge: float | None) -> Column:
-    return F.lit(True) if edge is None else weight["sample_key"] >= F.lit(edge)
+    Equal texts have equal keys and share their fate, so a tie at the edge stays whole. Null and empty texts weigh 0.
+    With no labelled good text all ratios are 0. Every document stays if none is labelled.
+    """
+    weight = weight_column(docs.sparkSession, fit(docs, labels, most_target), F.col("text"), seed)
+    rows = s.keep(docs.select(*columns, weight.alias(name)), "quality-weights")
+    keys = rows.select(F.col(f"{name}.sample_key").alias("key"))
+    wanted = kept_share(labels, slack) if share is None else share
+    return rows, top_k_threshold(keys, "key", math.ceil(wanted * keys.count()))
 
 
 def score(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
-    """doc_id, log_weight, n_grams, sample_key, kept of every document; repeated rows and null ids give a row each."""
-    weight, edge = resample(docs, labels, **settings)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), weight.alias("w"))
-    return rows.select("doc_id", "w.log_weight", "w.n_grams", "w.sample_key", stays(F.col("w"), edge).alias("kept"))
+    """doc_id, log_weight, n_grams, sample_key, kept of every document.
+
+    Repeated rows and null ids give a row each; an empty table gives an empty result; other columns are ignored.
+    """
+    with Scratch(docs.sparkSession) as s:
+        rows, edge = weighed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, s, ["doc_id"], "w", **settings)
+    kept = F.lit(True) if edge is None else F.col("w.sample_key") >= F.lit(edge)
+    return rows.select("doc_id", "w.log_weight", "w.n_grams", "w.sample_key", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
     """The rows of docs, with all their columns, that importance resampling keeps."""
-    weight, edge = resample(docs, labels, **settings)
-    return docs if edge is None else docs.filter(stays(weight, edge))
+    name = next(n for n in (f"_weight{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    with Scratch(docs.sparkSession) as s:
+        rows, edge = weighed(docs, labels, s, docs.columns, name, **settings)
+    return (rows if edge is None else rows.filter(F.col(f"{name}.sample_key") >= F.lit(edge))).drop(name)

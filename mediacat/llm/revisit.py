@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import cut
+from mediacat.llm.common import Scratch
 from mediacat.llm.urls import UPPER, LOWER, after_scheme, host_of, path_of
 
 #: Blocks of time for a whole table; the driver holds so many bounds.
@@ -69,7 +69,7 @@ def latest_earlier(full: DataFrame, asked: DataFrame, blocks: int = BLOCKS) -> D
 
     full has one row a (key, ts). Of rows of one key at one time none is earlier than another.
     """
-    both = cut(asked.distinct().join(full, ["key", "ts"], "full"), "asof")
+    both = Scratch(full.sparkSession).keep(asked.distinct().join(full, ["key", "ts"], "full"), "asof")
     shares = [i / blocks for i in range(1, blocks)]
     bounds = sorted(set(both.approxQuantile("ts", shares, 0.5 / blocks))) if shares and not both.isEmpty() else []
     block = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<double>"), lambda b: F.col("ts") > b)) if bounds else F.lit(0)

@@ -11,11 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import bounded_batches
-
 #: (bytes from, lowest ratio, highest ratio) for whole texts; the last row whose size is reached holds.
 #: Upper limits lie between prose of the tables (at most 0.82, 0.72, 0.60, 0.53, 0.48 from 256, 512, 1024, 2048, 4096
 #: bytes) and random words of letters and digits (0.91, 0.81, 0.76, 0.74, 0.73). Random hex digits (0.52) stay inside.
@@ -26,7 +24,7 @@ CHUNK_BYTES = 4096
 #: Share of the judged chunks (those of a size that has limits) that may lie outside their band.
 CHUNK_SHARE = 0.2
 LEVEL = 3
-SYMBOLS = b"[#*$%&|<>]"[1:-1]
+SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "whole_ratio": "double", "n_chunks": "long", "low_chunks": "long", "high_chunks": "long", "kept": "boolean"}
 
@@ -79,9 +77,8 @@ def judge(text: str | None, squeeze: zstandard.ZstdCompressor) -> tuple:
     return len(words), word_chars, n_symbols, len(lines) - len(set(lines)), repeats, base, whole, n, low, high, kept
 
 
-def rule_column(spark: SparkSession, text: Column) -> Column:
+def rule_column(text: Column) -> Column:
     """Struct of COLUMNS for a text."""
-    bounded_batches(spark)
     kinds = {"long": "int64", "double": "float64", "boolean": "bool"}
 
     @F.pandas_udf("struct<" + ", ".join(f"{k}: {v}" for k, v in COLUMNS.items()) + ">")
@@ -99,9 +96,9 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     A null text counts as empty: no words, base_failed, not kept. Repeated rows get equal values, null ids give a row
     each; an empty table gives an empty result; other columns are ignored. Nothing is shuffled.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), rule_column(docs.sparkSession, F.col("text")).alias("r")).select("doc_id", "r.*")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), rule_column(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that pass the rules."""
-    return docs.filter(rule_column(docs.sparkSession, F.col("text"))["kept"])
+    return docs.filter(rule_column(F.col("text"))["kept"])

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediacat.llm import neardup, revisit, urls
+from mediacat.llm.common import Scratch, shared_dir
 from mediacat.llm.components import connected_components
 from mediacat.llm.queries import URL_RULES
 
@@ -39,9 +40,9 @@ def test_components(spark):
     for a, b in edges:
         if a is not None and b is not None and a != b:
             groups.join(a, b)
-    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark)).collect()}
     assert got == {x: groups.find(x) for x in groups.up}
-    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark)).count() == 0
 
 
 def brute_near(texts, ids, k, percent):
@@ -99,6 +100,67 @@ def test_chain_of_near_copies(spark):
     assert [(i, got[i]) for i in range(20)] == [(i, c) for i, _, c in brute_near(texts, list(range(20)), 4, 80)]
 
 
+def test_words_of_equal_polynomial_hashes_are_not_linked(spark):
+    def doubled(times, a, b):
+        text = a
+        for _ in range(times):
+            text += text.translate(str.maketrans(a + b, b + a))
+        return text
+
+    texts = [f"x y z {doubled(n, *order)}" for n in (10, 12) for order in ("ae", "ea")]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(4)]
+
+
+def test_recall_of_the_branching(spark):
+    """Pairs whose coordinates agree with chance 0.8: the share that some node of a level holds together."""
+    rng, n = np.random.default_rng(4), 20_000
+    one = rng.integers(0, 2**31, (n, neardup.PATHS))
+    two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 2**31, one.shape))
+    rows = [(2 * i + k, x.tolist()) for i in range(n) for k, x in enumerate((one[i], two[i]))]
+    sets = spark.createDataFrame(rows, "set_id long, sig array<int>")
+    trees = neardup.trees_for(1 - 1e-6, 0.8)
+    tree = sets.select("set_id", "sig", F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("slot"))
+    recall = []
+    s = Scratch(spark)
+    for level in range(neardup.DEPTH):
+        tree = s.cut(neardup.children(tree, level), "recall")
+        met = tree.groupBy("node", (F.floor(F.col("set_id") / 2)).alias("pair")).agg(F.count_distinct("set_id").alias("ends")).filter("ends = 2").select("pair").distinct().count()
+        recall.append(met / n)
+        tree = tree.join(sets, "set_id")
+    assert recall[0] == 1.0 and min(recall) >= 0.9999, recall
+
+
+def test_large_leaf_is_not_squared(spark):
+    """One family that is joined but for one class is copied once, whatever its size; all pairs across components meet."""
+    n = 5 * neardup.BLOCK
+    rows = [(1, n, 0, [0], i.to_bytes(4, "big"), b"a" if i else b"b") for i in range(n)] + [(2, 40, 0, [0], b"x", b"y")]
+    leaf = spark.createDataFrame(rows, "node long, n long, root long, roots array<long>, set_id binary, component binary")
+    got = neardup.cells(leaf)
+    assert got.count() == (n - 1) + (1 + 5) + 1  # the lone class meets its own block and five others
+    mixed = [(1, n, 0, [0], i.to_bytes(4, "big"), b"abc"[i % 3 : i % 3 + 1]) for i in range(n)]
+    cells_of = neardup.cells(spark.createDataFrame(mixed, leaf.schema)).groupBy("set_id").agg(F.collect_set("cell").alias("cells")).collect()
+    where = {int.from_bytes(r["set_id"], "big"): set(r["cells"]) for r in cells_of}
+    rng = random.Random(2)
+    assert all(where[a] & where[b] for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(3000)) if a % 3 != b % 3)
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    before = set(Path(shared_dir(spark)).glob("scratch-*"))
+    neardup.near_duplicates(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")).count()
+    assert set(Path(shared_dir(spark)).glob("scratch-*")) == before
+
+
+def test_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base), (5, base + " z"), (5, "another text that stands alone here"), (1, base + " y"), (7, "q w e r t y"), (7, "q w e r t y")]
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(map(tuple, kept))
+    assert (5, "another text that stands alone here") in got and (7, "q w e r t y") in got and len(got) == 3 and got[0][0] == 1
+
+
 def test_keep_first(spark):
     base = " ".join(f"w{i}" for i in range(80))
     rows = [(5, base, "a"), (3, base + " z", "b"), (3, base + " z", "c"), (9, "other text of some words here", "d"), (None, base, "e"), (7, "", "f"), (8, None, "g")]
@@ -157,6 +219,32 @@ def test_url_filters(spark):
     assert urls.filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_propagation_over_hubs_chains_and_a_giant_component(spark):
+    """100,000 edges: a hub, long chains and a giant random component, against union-find."""
+    rng = random.Random(5)
+    name = lambda i: f"http://h{i % 997}.test/p{i}"
+    edges = [(0, i) for i in range(1, 30_000)]  # hub
+    edges += [(i, i + 1) for i in range(100_000, 101_500)] + [(i, i + 1) for i in range(102_000, 102_300)]  # chains
+    edges += [(200_000 + rng.randrange(30_000), 200_000 + rng.randrange(30_000)) for _ in range(68_200)]  # giant
+    groups = Groups()
+    for a, b in edges:
+        if a != b:
+            groups.join(a, b)
+    blocked, allowed = {7: "http://x.org/es/a", 100_900: "http://y.com/en/1", 200_001: "http://z.net/de/"}, {100_901: "http://example.com/en/7"}
+    seeds = blocked | allowed
+    links = [(name(a), name(b)) for a, b in edges] + [(name(i), u) for i, u in seeds.items()]
+    decided = {}
+    for i in blocked:
+        decided[groups.find(i)] = "block"
+    for i in allowed:
+        decided[groups.find(i)] = "allow"
+    ids = sorted({*rng.sample(range(30_000), 200), *range(100_000, 101_500, 50), *range(102_000, 102_300, 50), *rng.sample(range(200_000, 230_000), 200)})
+    pages = spark.createDataFrame([(i, name(i), "") for i in ids], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, URL_RULES, spark.createDataFrame(links, "src string, dst string")).collect()}
+    assert len(edges) >= 100_000 - 1 and got == {i: decided.get(groups.find(i), "allow") for i in ids}
+    assert set(got.values()) == {"allow", "block"}
+
+
 CAPTURES = "record_id long, url string, ts long, status int, headers map<string,string>, digest string"
 
 
