@@ -1,9 +1,10 @@
 """Connected components with DataFrame operations only.
 
 Every round maps each vertex to the smallest of itself and its neighbours, by the vertex itself in even rounds and by a
-hash of vertex and round in odd ones, and contracts the edges. Hubs are reduced by partial aggregates, and where one
-vertex or label has very many rows they are dealt over many tasks; long chains halve in the odd rounds. Rounds are cut
-through the shared folder; the driver only learns whether edges are left.
+hash of vertex and round in odd ones, and contracts the edges. Hubs are reduced by partial aggregates; long chains halve
+in the odd rounds. Where one vertex or label has very many rows, they are dealt over many tasks: beforehand if `spread`
+is set, else by Spark's own splitting of skewed join partitions, which keeps plans short. Rounds are cut through the
+shared folder; the driver only learns whether edges are left.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from mediacat.llm.common import Scratch
 from mediacat.operators.joins import spread_join
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, spread: bool = True, most_rounds: int = 200) -> DataFrame:
     """edges (src, dst) of one orderable type -> (id, component), component being the smallest id of the component.
 
     Loops, repeated edges and edges with a null end count for nothing; ids that have no other edge are not returned.
     The result reads tables of `scratch`.
     """
+    def join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str) -> DataFrame:
+        return spread_join(rows, table, [key], [by], how) if spread else rows.join(table, key, how)
+
     left = edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     left = scratch.cut(left.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
     label = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("at", F.col("id"))
@@ -31,11 +35,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
         both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         near = both.groupBy("src").agg(F.min(F.struct(key("dst").alias("k"), F.col("dst").alias("v"))).alias("m"))
         step = scratch.cut(near.filter(F.col("m.k") < key("src")).select("src", F.col("m.v").alias("to")), "step")
-        left = spread_join(left, step, ["src"], ["dst"], "left").select(F.coalesce("to", "src").alias("src"), "dst")
-        left = spread_join(left, step.withColumnRenamed("src", "dst"), ["dst"], ["src"], "left").select("src", F.coalesce("to", "dst").alias("dst"))
+        left = join(left, step, "src", "dst", "left").select(F.coalesce("to", "src").alias("src"), "dst")
+        left = join(left, step.withColumnRenamed("src", "dst"), "dst", "src", "left").select("src", F.coalesce("to", "dst").alias("dst"))
         left = scratch.cut(left.filter(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
-        label = scratch.cut(spread_join(label, step.withColumnRenamed("src", "at"), ["at"], ["id"], "left").select("id", F.coalesce("to", "at").alias("at")), "label")
+        label = scratch.cut(join(label, step.withColumnRenamed("src", "at"), "at", "id", "left").select("id", F.coalesce("to", "at").alias("at")), "label")
     else:
         raise RuntimeError(f"edges are left after {most_rounds} rounds")
     least = label.groupBy("at").agg(F.min("id").alias("component"))
-    return spread_join(label, least, ["at"], ["id"]).select("id", "component")
+    return join(label, least, "at", "id", "inner").select("id", "component")

@@ -36,7 +36,7 @@ BRANCH, DEPTH = 2, 4
 #: counts as alike if this share of its classes is near its pivot.
 ALIKE = 0.2
 SMALL, BLOCK = 64, 512
-#: Rounds of links to random classes of each root.
+#: Random classes of each root that the others are linked to first.
 STARS = 2
 #: Rows of leaves that a task compares at once.
 COMPARE_ROWS, COMPARE_BYTES = 8192, 64_000_000
@@ -325,6 +325,13 @@ def to_pivots(known: DataFrame, salt: int) -> DataFrame:
     return rows.select("node", F.col("p.set_id").alias("src"), F.col("set_id").alias("dst"))
 
 
+def to_stars(tree: DataFrame) -> DataFrame:
+    """Distinct (src, dst): each class with STARS classes of its node that hashes pick; src is the lesser."""
+    pick = tree.groupBy("node").agg(F.array(*[F.min_by("set_id", F.xxhash64("set_id", "node", F.lit(i))) for i in range(STARS)]).alias("picks"))
+    pairs = spread_join(tree, pick, ["node"], ["set_id"]).select("set_id", F.explode("picks").alias("p")).filter("set_id <> p")
+    return pairs.select(F.least("set_id", "p").alias("src"), F.greatest("set_id", "p").alias("dst")).distinct()
+
+
 def with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = spread_join(pairs, classes.select(F.col("set_id").alias("src"), F.col("sketch").alias("x")), ["src"], ["dst"])
     return spread_join(rows, classes.select(F.col("set_id").alias("dst"), F.col("sketch").alias("y")), ["dst"], ["src"])
@@ -356,24 +363,21 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
     roots = classes.select("set_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("slot"))
     tree = s.cut(shared(children(roots.withColumn("node", F.lit(0).cast("long")), 0)), "tree")
 
-    joined = classes.select(F.col("set_id").alias("id"), F.col("set_id").alias("component")).limit(0)
-    links = None
-    for salt in range(STARS):
-        stars = to_pivots(with_components(tree, joined), salt).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        found = confirmed(s.cut(near_pairs(with_sketches(stars, classes), least), "stars"), docs, classes, k, percent, s)
-        links = s.cut(found if links is None else links.unionByName(found), "links")
-        joined = s.cut(connected_components(links, s), "joined")
+    stars = s.cut(near_pairs(with_sketches(to_stars(tree), classes), least), "stars")
+    links = s.cut(confirmed(stars, docs, classes, k, percent, s), "links")
+    joined = s.cut(connected_components(links, s, spread=False), "joined")
 
     leaves = None
     for level in range(1, DEPTH + 1):
         known = s.cut(with_components(tree, joined), "level")
         if known.isEmpty():
             break
-        if level < DEPTH:
+        last = level == DEPTH or known.filter(F.col("n") > SMALL).isEmpty()
+        if last:
+            known = known.withColumn("leaf", F.lit(True))
+        else:
             alike = s.cut(alike_nodes(known, classes, math.floor(0.7 * least)), "alike")
             known = spread_join(known, alike, ["node"], ["set_id"], "left").withColumn("leaf", (F.col("n") <= SMALL) | F.coalesce("alike", F.lit(False)))
-        else:
-            known = known.withColumn("leaf", F.lit(True))
         leaf = known.filter("leaf")
         if level == 1:  # all pairs of these roots are compared, so one of the roots that a pair shares is enough
             own = leaf.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "node"))).alias("own"))
@@ -383,7 +387,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
             leaf = leaf.withColumn("roots", F.array_repeat(F.lit(0).cast("long"), trees * BRANCH)).withColumn("root", F.lit(0).cast("long"))
         part = s.cut(cells(leaf), "leaves")
         leaves = part if leaves is None else leaves.unionByName(part)
-        if level == DEPTH:
+        if last:
             break
         big = known.filter(~F.col("leaf")).select("node", "slot", "set_id").join(classes.select("set_id", "sig"), "set_id")
         tree = s.cut(shared(children(big, level)), "tree")
@@ -394,7 +398,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
         dense = found.filter("dst is null")
         if not dense.isEmpty():
             links = links.unionByName(confirm_dense(dense, docs, classes, k, percent, least, s))
-    linked = s.cut(connected_components(links, s), "linked")
+    linked = s.cut(connected_components(links, s, spread=False), "linked")
 
     owner = classes.join(linked, F.col("set_id") == F.col("id")).groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = spread_join(linked, owner, ["component"], ["id"]).select(F.col("id").alias("set_id"), "least")
