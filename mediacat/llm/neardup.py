@@ -150,8 +150,9 @@ def alike(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, s: Scratch) -> DataFrame:
-    """The pairs (src, dst) of classes with 100 * intersection >= percent * union of their full sets."""
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, s: Scratch, hot: bool) -> DataFrame:
+    """The pairs (src, dst) of classes with 100 * intersection >= percent * union of their full sets. hot: one src may have
+    very many pairs."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()
     needed = s.cut(classes.select("set_id", "doc_id").join(ends, "set_id"), "needed")
     sets = s.cut(full_sets(docs, needed, k), "sets")
@@ -163,8 +164,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
             keep = [i for i in range(len(src)) if alike(x[i], y[i], percent)]
             yield record({"src": [src[i] for i in keep], "dst": [dst[i] for i in keep]}, schema)
 
-    rows = spread_join(pairs, sets.select(F.col("set_id").alias("src"), F.col("items").alias("x")), ["src"], ["dst"])
-    rows = spread_join(rows, sets.select(F.col("set_id").alias("dst"), F.col("items").alias("y")), ["dst"], ["src"])
+    one, two = sets.select(F.col("set_id").alias("src"), F.col("items").alias("x")), sets.select(F.col("set_id").alias("dst"), F.col("items").alias("y"))
+    rows = (spread_join(pairs, one, ["src"], ["dst"]) if hot else pairs.join(one, "src")).join(two, "dst")
     return map_batches(rows.select("src", "dst", "x", "y"), run, "src binary, dst binary")
 
 
@@ -306,11 +307,6 @@ def children(rows: DataFrame, level: int) -> DataFrame:
     return rows.select(F.explode(F.array(*names)).alias("c"), "set_id").select("c.node", "c.slot", "set_id")
 
 
-def shared(tree: DataFrame) -> DataFrame:
-    """Without nodes of one class."""
-    return spread_join(tree, tree.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), ["node"], ["set_id"])
-
-
 def with_components(tree: DataFrame, joined: DataFrame) -> DataFrame:
     """tree with `component` of each class and size `n` of its node, without nodes of one component."""
     known = tree.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select("node", "slot", "set_id", F.coalesce("component", "set_id").alias("component"))
@@ -318,23 +314,16 @@ def with_components(tree: DataFrame, joined: DataFrame) -> DataFrame:
     return spread_join(known, sizes.select("node", "n"), ["node"], ["set_id"])
 
 
-def to_pivots(known: DataFrame, salt: int) -> DataFrame:
-    """(node, src, dst): each class with a class of its node that a hash picks, if their components differ."""
-    pick = known.groupBy("node").agg(F.min_by(F.struct("set_id", "component"), F.xxhash64("set_id", "node", F.lit(salt))).alias("p"))
-    rows = spread_join(known, pick, ["node"], ["set_id"]).filter(F.col("component") != F.col("p.component"))
-    return rows.select("node", F.col("p.set_id").alias("src"), F.col("set_id").alias("dst"))
-
-
-def to_stars(tree: DataFrame) -> DataFrame:
-    """Distinct (src, dst): each class with STARS classes of its node that hashes pick; src is the lesser."""
-    pick = tree.groupBy("node").agg(F.array(*[F.min_by("set_id", F.xxhash64("set_id", "node", F.lit(i))) for i in range(STARS)]).alias("picks"))
-    pairs = spread_join(tree, pick, ["node"], ["set_id"]).select("set_id", F.explode("picks").alias("p")).filter("set_id <> p")
-    return pairs.select(F.least("set_id", "p").alias("src"), F.greatest("set_id", "p").alias("dst")).distinct()
-
-
-def with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    rows = spread_join(pairs, classes.select(F.col("set_id").alias("src"), F.col("sketch").alias("x")), ["src"], ["dst"])
-    return spread_join(rows, classes.select(F.col("set_id").alias("dst"), F.col("sketch").alias("y")), ["dst"], ["src"])
+def pivot_pairs(tree: DataFrame, classes: DataFrame, salts: list[int]) -> DataFrame:
+    """(node, src, dst, x, y): each class, dst, with the classes src that hashes pick in its node, and their sketches. A
+    pivot's sketch is joined to its node first, and a large node's rows are dealt over many tasks."""
+    sketches = classes.select("set_id", "sketch")
+    pick = tree.groupBy("node").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by("set_id", F.xxhash64("set_id", "node", F.lit(i))) for i in salts])).alias("picks"))
+    pick = pick.filter("n > 1").select("node", F.explode("picks").alias("src")).join(sketches.toDF("src", "x"), "src")
+    pick = pick.groupBy("node").agg(F.collect_list(F.struct("src", "x")).alias("picks"))
+    rows = spread_join(tree.select("node", "set_id"), pick, ["node"], ["set_id"]).join(sketches.toDF("set_id", "y"), "set_id")
+    rows = rows.select("node", F.explode("picks").alias("p"), F.col("set_id").alias("dst"), "y").filter("p.src <> dst")
+    return rows.select("node", "p.src", "dst", "p.x", "y")
 
 
 def alike_nodes(known: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -346,8 +335,8 @@ def alike_nodes(known: DataFrame, classes: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             yield record({"node": batch.column(0), "near": ((grid(batch.column(1)) == grid(batch.column(2))).sum(axis=1) >= least).astype(np.int32)}, schema)
 
-    sample = to_pivots(known.filter(F.col("n") > SMALL), -1).filter(F.xxhash64("dst", "node") % 8 == 0)
-    near = with_sketches(sample, classes).select("node", "x", "y").mapInArrow(run, "node long, near int")
+    sample = known.filter((F.col("n") > SMALL) & (F.xxhash64("set_id", "node") % 8 == 0))
+    near = pivot_pairs(sample, classes, [-1]).select("node", "x", "y").mapInArrow(run, "node long, near int")
     return near.groupBy("node").agg(F.avg("near").alias("share")).filter(F.col("share") >= ALIKE).select("node", F.lit(True).alias("alike"))
 
 
@@ -361,18 +350,19 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
     least = max(1, math.floor(WIDTH * similarity - 4.2 * math.sqrt(WIDTH * similarity * (1 - similarity))))
 
     roots = classes.select("set_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("slot"))
-    tree = s.cut(shared(children(roots.withColumn("node", F.lit(0).cast("long")), 0)), "tree")
+    tree = children(roots.withColumn("node", F.lit(0).cast("long")), 0)
 
-    stars = s.cut(near_pairs(with_sketches(to_stars(tree), classes), least), "stars")
-    links = s.cut(confirmed(stars, docs, classes, k, percent, s), "links")
+    stars = s.cut(near_pairs(pivot_pairs(tree, classes, list(range(STARS))), least).distinct(), "stars")
+    links = s.cut(confirmed(stars, docs, classes, k, percent, s, hot=True), "links")
     joined = s.cut(connected_components(links, s, spread=False), "joined")
 
     leaves = None
     for level in range(1, DEPTH + 1):
         known = s.cut(with_components(tree, joined), "level")
-        if known.isEmpty():
+        most = known.agg(F.max("n")).first()[0]
+        if most is None:
             break
-        last = level == DEPTH or known.filter(F.col("n") > SMALL).isEmpty()
+        last = level == DEPTH or most <= SMALL
         if last:
             known = known.withColumn("leaf", F.lit(True))
         else:
@@ -385,16 +375,16 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
             leaf = leaf.join(own.select("set_id", shared_roots.alias("roots")), "set_id").withColumn("root", F.col("node"))
         else:
             leaf = leaf.withColumn("roots", F.array_repeat(F.lit(0).cast("long"), trees * BRANCH)).withColumn("root", F.lit(0).cast("long"))
-        part = s.cut(cells(leaf), "leaves")
+        part = s.cut(cells(leaf, most > BLOCK), "leaves")
         leaves = part if leaves is None else leaves.unionByName(part)
         if last:
             break
         big = known.filter(~F.col("leaf")).select("node", "slot", "set_id").join(classes.select("set_id", "sig"), "set_id")
-        tree = s.cut(shared(children(big, level)), "tree")
+        tree = children(big, level)
     if leaves is not None:
         found = s.cut(compare(leaves.join(classes.select("set_id", "sketch"), "set_id"), least), "pairs")
         pairs = found.filter("dst is not null").select(F.least("set_id", "dst").alias("src"), F.greatest("set_id", "dst").alias("dst")).distinct()
-        links = links.unionByName(confirmed(s.cut(pairs, "pairs"), docs, classes, k, percent, s))
+        links = links.unionByName(confirmed(s.cut(pairs, "pairs"), docs, classes, k, percent, s, hot=False))
         dense = found.filter("dst is null")
         if not dense.isEmpty():
             links = links.unionByName(confirm_dense(dense, docs, classes, k, percent, least, s))
@@ -446,16 +436,18 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 1
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
-def cells(leaf: DataFrame) -> DataFrame:
+def cells(leaf: DataFrame, large: bool = True) -> DataFrame:
     """Leaves (node, n, root, roots, set_id, component) as cells. The classes of a leaf of more than BLOCK are dealt into
     blocks, those of its largest component apart from the others, and every pair of blocks that may hold different
     components becomes a cell. So no task holds more than two blocks of a leaf, and a family that is joined already is
     copied once for each block of classes outside it."""
     names = ["root", "roots", "set_id", "component"]
-    large = leaf.filter(F.col("n") > BLOCK)
-    sizes = large.groupBy("node", "component").agg(F.count("*").alias("m"))
+    if not large:
+        return leaf.select(F.col("node").alias("cell"), *names)
+    crowd = leaf.filter(F.col("n") > BLOCK)
+    sizes = crowd.groupBy("node", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("node").agg(F.max(F.struct("m", "component")).alias("main"))
-    rows = spread_join(large, main, ["node"], ["set_id"])
+    rows = spread_join(crowd, main, ["node"], ["set_id"])
     others, inner = (F.ceil(c / BLOCK).cast("int") for c in (F.col("n") - F.col("main.m"), F.col("main.m")))
     inside = F.col("component") == F.col("main.component")
     own = F.when(inside, others + F.pmod(F.xxhash64("set_id", F.lit(5)), inner)).otherwise(F.pmod(F.xxhash64("set_id", F.lit(5)), others)).cast("int")
