@@ -140,8 +140,12 @@ def custom_date(name: Column, patterns: list[CustomPattern]) -> Column:
 
 
 def best_name_date(name: Column, patterns: list[CustomPattern], excluded: Column) -> Column:
-    """Custom patterns first, then the built-in ones; none at all for excluded names."""
-    return F.when(~F.coalesce(excluded, F.lit(False)), F.coalesce(custom_date(name, patterns), name_date(name)))
+    """Custom patterns first, then the built-in ones; none at all for excluded names.
+
+    The name is bound by `transform`, so that the long expression is not compiled again wherever the date is used.
+    """
+    found = F.get(F.transform(F.array(name), lambda n: F.coalesce(custom_date(n, patterns), name_date(n))), 0)
+    return F.when(~F.coalesce(excluded, F.lit(False)), found)
 
 
 def epoch_of(value: Column) -> Column:

@@ -104,6 +104,13 @@ def names_sidecar_of(json_name: Column, base: Column) -> Column:
     return (base != "") & F.startswith(json_name, base) & rest.rlike(r"\A(\([0-9]+\))?(\.supplemental-metadata|\.metadata)?\.json\z")
 
 
+def bases_of_sidecar(json_name: Column) -> Column:
+    """All bases that `names_sidecar_of` accepts for a sidecar's name."""
+    bare = F.when(F.endswith(json_name, F.lit(".json")), F.regexp_replace(json_name, r"\.json\z", ""))
+    plain = F.regexp_replace(bare, r"(\.supplemental-metadata|\.metadata)\z", "")
+    return F.array_distinct(F.filter(F.array(bare, plain, without_index(bare), without_index(plain)), lambda b: b != ""))
+
+
 def name_shape(name: Column) -> Column:
     """Digit runs as #, separators as _, ASCII letters in lower case."""
     return F.translate(F.regexp_replace(name, "[0-9]+", "#"), " -." + UPPER, "___" + LOWER)

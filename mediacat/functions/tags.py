@@ -9,8 +9,12 @@ from mediacat.functions.dates import tag_time
 from mediacat.functions.names import extension_fits, is_video, is_writable, trimmed
 
 
-def origin_label(origin: Column, prefix: str = "gphotos:") -> Column:
-    """Ordered parts of an origin struct; empty if there are none."""
+#: Prefix of origin labels unless a caller chooses another.
+ORIGIN = "origin:"
+
+
+def origin_label(origin: Column, prefix: str) -> Column:
+    """The prefix and the ordered parts of an origin struct; empty if there are none."""
     def named(label: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(label + "="), value))
 
@@ -24,10 +28,10 @@ def origin_label(origin: Column, prefix: str = "gphotos:") -> Column:
 def has_writable_meta(meta: Column) -> Column:
     """Whether anything in a metadata struct can be written; spans of a place and absent flags do not count."""
     some = lambda c: F.coalesce(c != "", F.lit(False))
-    return meta["taken"].isNotNull() | meta["creation"].isNotNull() | meta["geo"].isNotNull() | some(meta["description"]) | F.coalesce(meta["favorited"], F.lit(False)) | F.coalesce(F.size(meta["people"]) > 0, F.lit(False)) | some(meta["url"]) | some(meta["app_source"]) | (origin_label(meta["origin"]) != "")
+    return meta["taken"].isNotNull() | meta["creation"].isNotNull() | meta["geo"].isNotNull() | some(meta["description"]) | F.coalesce(meta["favorited"], F.lit(False)) | F.coalesce(F.size(meta["people"]) > 0, F.lit(False)) | some(meta["url"]) | some(meta["app_source"]) | (origin_label(meta["origin"], "") != "")
 
 
-def tag_list(meta: Column, ext: Column, kind: Column) -> Column:
+def tag_list(meta: Column, ext: Column, kind: Column, label_prefix: str = ORIGIN) -> Column:
     """Array of (tag, op, value) for a file of an extension (lower case, with dot) and sniffed kind; empty if the
     extension is not writable, does not fit the kind, or nothing is to be written."""
 
@@ -38,7 +42,7 @@ def tag_list(meta: Column, ext: Column, kind: Column) -> Column:
     taken, creation, geo = meta["taken"], meta["creation"], meta["geo"]
     video = taken.isNotNull() & is_video(ext)
     number = lambda c: F.format_string("%f", c)
-    label = origin_label(meta["origin"])
+    label = origin_label(meta["origin"], label_prefix)
     first = F.array(
         tag("DateTimeOriginal", tag_time(taken), taken.isNotNull()), tag("CreateDate", tag_time(taken), taken.isNotNull()), tag("MediaCreateDate", tag_time(taken), video), tag("TrackCreateDate", tag_time(taken), video),
         tag("XMP:CreateDate", tag_time(creation), creation.isNotNull()), *[tag(f"GPS{n}", number(geo[c]), geo.isNotNull()) for n, c in (("Latitude", "lat"), ("Longitude", "lon"), ("Altitude", "alt"))],

@@ -1,8 +1,8 @@
-"""Which sidecar belongs to which media file: seven ranked rules as one equi-join and one join within folders.
+"""Which sidecar belongs to which media file: seven ranked rules as equi-joins.
 
-Every media file asks for keys, every sidecar offers keys of four kinds (title, filename key, normalized title, folder).
-Title, key and normalized rules hold over all folders; the prefix rule only within one. The best offer by rule, then by
-the position of the asked key, then by whether the sidecar's name fits, then by walk order, wins.
+Every media file asks for keys, every sidecar offers keys of three kinds (title, filename key, normalized title), which
+hold over all folders. The best offer by rule, then by the position of the asked key, then by whether the sidecar's
+name fits, then by walk order, wins. The prefix rule holds within a folder, for files that no stronger rule settles.
 """
 
 from __future__ import annotations
@@ -11,16 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.functions import names as N
+from mediacat.operators.joins import spread_join
 
 
 def sidecar_index(sidecars: DataFrame) -> DataFrame:
-    """(kind, key, json_path, json_base, title) of sidecars (json_path, title); a null title is only in the key index."""
+    """(kind, key, fit, json_path): of sidecars (json_path, title) that offer a key the first by walk order, and the first of
+    those whose file name fits a base name `fit`; fit is empty for the former. A null title is only in the key index."""
     rows = sidecars.filter(N.is_sidecar(F.col("json_path"))).select("json_path", N.base_name(F.col("json_path")).alias("json_base"), "title")
     title = F.lower("title")
     entry = lambda kind, key: F.when(key.isNotNull(), F.struct(F.lit(kind).alias("kind"), key.alias("key")))
     normal = N.normal_base(N.stem(F.col("title")))
-    offers = F.array(entry("title", title), entry("name", N.sidecar_key(F.col("json_base"))), entry("normal", F.when(normal != "", normal)), entry("folder", F.when(title.isNotNull(), N.folder(F.col("json_path")))))
-    return rows.select(F.explode(F.array_compact(offers)).alias("o"), "json_path", "json_base", "title").select("o.*", "json_path", "json_base", "title")
+    offers = F.array(entry("title", title), entry("name", N.sidecar_key(F.col("json_base"))), entry("normal", F.when(normal != "", normal)))
+    fits = F.array_union(F.array(F.lit("")), N.bases_of_sidecar(F.col("json_base")))
+    rows = rows.select(F.explode(F.array_compact(offers)).alias("o"), "json_path", fits.alias("fits")).select("o.*", "json_path", F.explode("fits").alias("fit"))
+    return rows.groupBy("kind", "key", "fit").agg(F.min_by("json_path", N.walk_order(F.col("json_path"))).alias("json_path"))
 
 
 def probes(path: Column) -> Column:
@@ -37,7 +41,7 @@ def probes(path: Column) -> Column:
     fixed += [ask("title", F.concat(low, F.lit(e)), 3, i, F.concat(base, F.lit(e)), motion) for i, e in enumerate((".jpg", ".jpeg"))]
     fixed += [ask("title", F.concat(low_stem, F.lit(e)), 4, i, F.concat(low_stem, F.lit(e)), live) for i, e in enumerate((".heic", ".jpg", ".jpeg", ".png"))]
     normal = N.normal_base(N.stem(base))
-    fixed += [ask("folder", N.folder(path), 6, 0, low_stem, ext != ""), ask("normal", normal, 7, 0, base, normal != "")]
+    fixed += [ask("normal", normal, 7, 0, base, normal != "")]
     keys = F.transform(N.media_keys(base), lambda k, i: F.struct(F.lit("name").alias("kind"), k.alias("key"), F.lit(5).alias("rule"), i.alias("ord"), base.alias("base")))
     return F.concat(F.array_compact(F.array(*fixed)), keys)
 
@@ -45,19 +49,35 @@ def probes(path: Column) -> Column:
 def match_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """media (rel_path) with sidecar_path and rule added; null where no rule finds one.
 
-    Both sides are joined on (kind, key), so a hot key is one that many media files and many sidecars share; offers
-    other than those of folders are first reduced to what can win: the first by walk order and the fitting names.
+    A file asks for each key twice, for the first offer and for the first whose name fits, and each has one answer at
+    most. So the join is no larger than twice the asked keys, and a key that many files ask for is dealt over many tasks.
     """
-    asked = media.select("rel_path", F.explode(probes(F.col("rel_path"))).alias("p")).select("rel_path", "p.*")
-    index = sidecar_index(sidecars)
-    hit = asked.join(index, ["kind", "key"])
-    ext = F.lower(N.extension(N.base_name(F.col("rel_path"))))
-    low = F.lower("title")
-    title_stem = F.substr(low, F.lit(1), F.length(low) - F.length(ext))
-    prefix = F.endswith(low, ext) & F.startswith(title_stem, F.col("base"))
-    hit = hit.filter((F.col("kind") != "folder") | prefix)
-    short = F.when(F.col("kind") == "folder", F.octet_length(title_stem)).otherwise(0)
-    fits = F.when(F.col("kind") == "folder", False).otherwise(N.names_sidecar_of(F.col("json_base"), F.col("base")))
-    rank = F.struct(F.col("rule"), F.col("ord"), short.alias("short"), (~fits).alias("misfit"), N.walk_order(F.col("json_path")).alias("walk"))
+    asked = media.select("rel_path").distinct().select("rel_path", F.explode(probes(F.col("rel_path"))).alias("p")).select("rel_path", "p.*")
+    asked = asked.withColumn("fit", F.explode(F.array_distinct(F.array(F.lit(""), "base")))).drop("base")
+    hit = spread_join(asked, sidecar_index(sidecars), ["kind", "key", "fit"], ["rel_path"])
+    rank = F.struct("rule", "ord", (F.col("fit") == "").alias("misfit"), N.walk_order(F.col("json_path")).alias("walk"))
     best = hit.groupBy("rel_path").agg(F.min_by(F.struct("json_path", "rule"), rank).alias("best"))
-    return media.join(best, "rel_path", "left").select(*[media[c] for c in media.columns], F.col("best.json_path").alias("sidecar_path"), F.col("best.rule").alias("rule"))
+    found = media.join(best, "rel_path", "left").select(*[media[c] for c in media.columns], "best")
+    short = prefix_matches(found.filter("best is null or best.rule > 6").select("rel_path").distinct(), sidecars)
+    out = found.join(short, "rel_path", "left")
+    path = F.coalesce("short_path", "best.json_path")
+    return out.select(*[found[c] for c in media.columns], path.alias("sidecar_path"), F.when(F.col("short_path").isNotNull(), 6).otherwise(F.col("best.rule")).alias("rule"))
+
+
+def prefix_matches(media: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """(rel_path, short_path): the sidecar of the same folder whose title ends with the file's extension and begins with its
+    stem; the shortest title wins, then walk order.
+
+    Titles are cut to the lengths that stems of the same folder and extension have, and joined with the stems by value.
+    """
+    base = N.base_name(F.col("rel_path"))
+    stems = media.select("rel_path", N.folder(F.col("rel_path")).alias("folder"), F.lower(N.extension(base)).alias("ext"), F.lower(N.stem(base)).alias("part")).filter("ext <> ''")
+    lengths = stems.groupBy("folder", "ext").agg(F.collect_set(F.length("part")).alias("lengths"))  # file names are short
+    title = F.lower("title")
+    offers = sidecars.filter(N.is_sidecar(F.col("json_path")) & F.col("title").isNotNull()).select("json_path", N.folder(F.col("json_path")).alias("folder"), F.lower(N.extension(title)).alias("ext"), title.alias("title"))
+    offers = spread_join(offers, lengths, ["folder", "ext"], ["json_path"])
+    offers = offers.withColumn("stem", F.substr("title", F.lit(1), F.length("title") - F.length("ext")))
+    cut = offers.select("folder", "ext", "json_path", "stem", F.explode("lengths").alias("n")).filter(F.col("n") <= F.length("stem"))
+    rank = F.struct(F.octet_length("stem"), N.walk_order(F.col("json_path")))
+    best = cut.groupBy("folder", "ext", F.substr("stem", F.lit(1), F.col("n")).alias("part")).agg(F.min_by("json_path", rank).alias("short_path"))
+    return spread_join(stems, best, ["folder", "ext", "part"], ["rel_path"]).select("rel_path", "short_path")

@@ -53,9 +53,10 @@ def place_group(part: pd.DataFrame) -> pd.DataFrame:
 def output_manifest(photos: DataFrame, existing: DataFrame | None = None, root: str = "") -> DataFrame:
     """photos (src_path, hash, final_album, kind) -> src_path, dst_dir, final_name, dst_path.
 
-    Names that stand alone in their folder, suffixes included, keep their name without leaving the JVM. The rest is
-    placed in groups of names that can compete: equal stems without trailing -suffixes, and equal extensions. A group
-    holds at most the suffixes that exist. existing: (dst_dir, name) that are occupied already.
+    Names can compete if their extensions and their stems without trailing -suffixes are equal. Where no name among those
+    stands twice, none needs a suffix and all are kept without leaving the JVM, however many they are. The others are
+    placed in walk order, one group of names that can compete at a time; such a group is not bounded, since a folder may
+    hold any number of names of one stem. existing: (dst_dir, name) that are occupied already.
     """
     prefix = root.rstrip("/") + "/" if root else ""
     album = F.when(N.trimmed(F.coalesce("final_album", F.lit(""))) != "", F.concat(F.lit(prefix + "Albums/"), N.folder_name(F.col("final_album")))).otherwise(prefix + "Library")
@@ -64,18 +65,19 @@ def output_manifest(photos: DataFrame, existing: DataFrame | None = None, root:
     if existing is not None:
         rows = rows.unionByName(existing.select(F.lit(None).cast("string").alias("src_path"), F.lit(None).cast("string").alias("hash"), "dst_dir", "name", F.lit("").alias("walk_path")))
     root_name = F.concat(F.regexp_replace(N.stem(F.col("name")), r"(-[0-9a-f]{1,8}|-[0-9]+)+\z", ""), N.extension(F.col("name")))
-    rows = rows.withColumn("root", root_name).withColumn("rivals", F.count("*").over(Window.partitionBy("dst_dir", "root")))
-    lone = rows.filter("rivals = 1 and src_path is not null").select("src_path", "dst_dir", F.col("name").alias("final_name"))
+    counted = rows.withColumn("root", root_name).withColumn("same", F.count("*").over(Window.partitionBy("dst_dir", "root", "name")))
+    rows = counted.withColumn("most", F.max("same").over(Window.partitionBy("dst_dir", "root")))
+    lone = rows.filter("most = 1 and src_path is not null").select("src_path", "dst_dir", F.col("name").alias("final_name"))
     walk = F.array_join(N.walk_order(F.col("walk_path")), "\u0000").alias("walk")
-    crowd = rows.filter("rivals > 1").select("src_path", "hash", "dst_dir", "name", "root", walk)
+    crowd = rows.filter("most > 1").select("src_path", "hash", "dst_dir", "name", "root", walk)
     placed = crowd.groupBy("dst_dir", "root").applyInPandas(place_group, "src_path string, dst_dir string, final_name string")
     return lone.unionByName(placed).withColumn("dst_path", F.concat("dst_dir", F.lit("/"), "final_name"))
 
 
-def tag_manifest(entries: DataFrame) -> DataFrame:
+def tag_manifest(entries: DataFrame, label_prefix: str = T.ORIGIN) -> DataFrame:
     """entries (dst_path, kind, meta) -> dst_path, ord, tag, op, value: a row for each tag to write."""
     ext = F.lower(N.extension(N.base_name(F.col("dst_path"))))
-    rows = entries.select("dst_path", F.posexplode(T.tag_list(F.col("meta"), ext, F.col("kind"))).alias("ord", "t"))
+    rows = entries.select("dst_path", F.posexplode(T.tag_list(F.col("meta"), ext, F.col("kind"), label_prefix)).alias("ord", "t"))
     return rows.select("dst_path", "ord", "t.tag", "t.op", "t.value")
 
 

@@ -29,7 +29,8 @@ def register(files: DataFrame) -> DataFrame:
 def cached_hashes(files: DataFrame, cache: DataFrame) -> DataFrame:
     """files (rel_path, size, mtime_ns) with `hash` from a cache (path, size, mtime_ns, hash): only where path, size and
     time agree and the cached hash is not empty."""
-    good = cache.filter(F.coalesce(F.col("hash"), F.lit("")) != "").select(F.col("path").alias("_p"), F.col("size").alias("_s"), F.col("mtime_ns").alias("_m"), "hash").dropDuplicates(["_p"])
+    good = cache.filter(F.coalesce(F.col("hash"), F.lit("")) != "").select(F.col("path").alias("_p"), F.col("size").alias("_s"), F.col("mtime_ns").alias("_m"), "hash")
+    good = good.groupBy("_p", "_s", "_m").agg(F.min("hash").alias("hash"))
     return files.join(good, (F.col("rel_path") == F.col("_p")) & (F.col("size") == F.col("_s")) & (F.col("mtime_ns") == F.col("_m")), "left").drop("_p", "_s", "_m")
 
 

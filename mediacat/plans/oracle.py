@@ -52,7 +52,7 @@ ENTRIES = """SELECT event_id, 'Library/' || CAST(event_id AS STRING) || CASE eve
  event_id % 5 IN (0, 1, 4) OR (event_id % 5 = 2 AND event_id % 10 <> 2) AS fits, event_id % 5 = 0 AS video, CASE WHEN event_id % 4 <> 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') || '+00:00' END AS taken, CASE WHEN event_id % 6 = 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') || '+00:00' END AS creation,
  CASE WHEN event_id % 5 = 1 THEN printf('%.6f', event_id % 90 + 0.25) END AS lat, CASE WHEN event_id % 8 = 0 THEN event_type ELSE '' END AS description, event_id % 9 = 0 AS favorited, event_id % 10 = 0 AS ann, CASE WHEN event_id % 12 = 0 THEN 'app' ELSE '' END AS app,
  array_to_string(list_filter([CASE WHEN event_id % 2 = 0 THEN 'fromSharedAlbum' END, CASE WHEN event_id % 3 = 0 THEN 'webUpload' END, CASE WHEN event_id % 5 = 0 THEN 'mobileUpload' END, CASE WHEN event_id % 7 = 0 THEN 'composition=COLLAGE' END, CASE WHEN event_id % 5 = 0 THEN 'deviceType=' || event_type END], lambda x: x IS NOT NULL), ',') AS parts FROM events"""
-LABEL = "CASE WHEN parts <> '' THEN 'gphotos:' || parts ELSE '' END"
+LABEL = "CASE WHEN parts <> '' THEN 'origin:' || parts ELSE '' END"
 TAGS = f"""list_filter([
  CASE WHEN taken IS NOT NULL THEN {{'tag': 'DateTimeOriginal', 'op': '=', 'value': taken}} END, CASE WHEN taken IS NOT NULL THEN {{'tag': 'CreateDate', 'op': '=', 'value': taken}} END,
  CASE WHEN taken IS NOT NULL AND video THEN {{'tag': 'MediaCreateDate', 'op': '=', 'value': taken}} END, CASE WHEN taken IS NOT NULL AND video THEN {{'tag': 'TrackCreateDate', 'op': '=', 'value': taken}} END,

@@ -209,7 +209,7 @@ def q25_tag_manifest(spark, d):
 
 
 def q26_origin_label(spark, d):
-    return entries(spark, d).select("event_id", T.origin_label(F.col("meta.origin")).alias("label"))
+    return entries(spark, d).select("event_id", T.origin_label(F.col("meta.origin"), T.ORIGIN).alias("label"))
 
 
 def q27_writable_meta(spark, d):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mediacat.functions.dates import CustomPattern
 
@@ -50,16 +52,18 @@ def exclusions_table(spark: SparkSession, names: set[str]) -> DataFrame:
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The hash cache; one that is missing or cannot be read is empty."""
+    """The newest version of the hash cache; one that is missing or cannot be read is empty."""
     try:
-        return spark.read.schema(CACHE_DDL).parquet(path)
+        every = spark.read.schema(f"{CACHE_DDL}, version bigint").parquet(path)
+        newest = every.agg(F.max("version")).first()[0]
     except AnalysisException:
-        return spark.createDataFrame([], CACHE_DDL)
+        newest = None
+    return spark.createDataFrame([], CACHE_DDL) if newest is None else every.filter(F.col("version") == newest).drop("version")
 
 
 def save_cache(files: DataFrame, path: str) -> str:
-    """Writes files (rel_path, size, mtime_ns, hash) to a new folder below path and returns it; the caller reads the
-    newest, so a cache is never replaced while it is read."""
-    to = f"{path.rstrip('/')}/version={uuid.uuid4().hex}"
+    """Writes files (rel_path, size, mtime_ns, hash) as a new version below path and returns its folder. Versions are
+    numbered by time, so a cache is never replaced while it is read."""
+    to = f"{path.rstrip('/')}/version={time.time_ns()}"
     files.filter("hash is not null").selectExpr("rel_path AS path", "size", "mtime_ns", "hash").write.parquet(to)
     return to

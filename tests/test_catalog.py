@@ -222,3 +222,31 @@ def test_stores(tmp_path):
     assert stores.load_patterns(path) == [D.CustomPattern("a", "2006")]
     stores.save_exclusions(path, {"b", ""})
     assert stores.load_exclusions(path) == {"b"}
+
+
+def test_large_folder_is_matched_by_equal_keys(spark):
+    """20,000 files and sidecars of one folder that only the prefix rule settles."""
+    n = 20_000
+    media = spark.range(n).selectExpr("format_string('f/cut_%05d_long.jpg', id) AS rel_path")
+    sidecars = spark.range(n).selectExpr("format_string('f/%05d.json', id) AS json_path", "format_string('Cut_%05d_long name that was cut.JPG', id) AS title")
+    got = match_sidecars(media, sidecars)
+    assert got.filter("rule = 6 and substr(rel_path, 7, 5) = substr(sidecar_path, 3, 5)").count() == n
+
+
+def test_names_without_rivals_stay(spark):
+    rows = spark.range(50_000).selectExpr("format_string('a/IMG-%d.jpg', id) AS src_path", "'00000000ff' AS hash", "CAST(NULL AS STRING) AS final_album", "'unknown' AS kind")
+    got = naming.output_manifest(rows)
+    assert got.filter("final_name = substr(src_path, 3)").count() == 50_000
+    twice = naming.output_manifest(rows.limit(3).unionByName(rows.limit(3).withColumn("src_path", F.expr("concat('b', src_path)")))).collect()
+    assert len({r["dst_path"] for r in twice}) == 6
+
+
+def test_cache_versions(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert stores.load_cache(spark, path).count() == 0
+    for h in ("old", "new"):
+        stores.save_cache(spark.createDataFrame([("a", 1, 2, h), ("b", 1, 2, None)], "rel_path string, size long, mtime_ns long, hash string"), path)
+    assert [tuple(r) for r in stores.load_cache(spark, path).collect()] == [("a", 1, 2, "new")]
+    files = spark.createDataFrame([("a", 1, 2)], "rel_path string, size long, mtime_ns long")
+    stale = spark.createDataFrame([("a", 9, 9, "stale"), ("a", 1, 2, "right"), ("a", 1, 3, "stale")], stores.CACHE_DDL)
+    assert [r["hash"] for r in registry.cached_hashes(files, stale).collect()] == ["right"]
