@@ -20,7 +20,7 @@ from mediacat.llm.words import LONG, CharClasses, Column, Table, bytes_of, disti
 
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 #: Distinct pre-tokens that a worker remembers before it starts anew, and bytes of those longer than LONG.
-TABLE_ROWS, LONG_BYTES = 1_500_000, 1 << 23
+TABLE_ROWS, LONG_BYTES = 400_000, 1 << 23
 NONE = np.int32(2**31 - 1)
 
 
@@ -108,7 +108,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.table, self.start, self.count_of, self.ids = Table(), Column(np.int64), Column(np.int64), Column(np.uint32)
+        self.table, self.start, self.count_of, self.ids = Table(), Column(np.int32), Column(np.int32), Column(np.uint32)
         self.known_ids = 0  # ids that belong to the table; those after them are of one call only
         self.long: dict[bytes, np.ndarray] = {}
         self.long_bytes = 0
@@ -162,6 +162,7 @@ class Encoder:
         """Pre-tokens that are known to be one token each: `count` looks here first."""
         self.proven = Table()
         if words:
+            words = [w for w in words if len(w) <= LONG]
             data, ends = joined(words)
             size = np.array([len(w) for w in words], np.int64)
             _, name, first, _ = distinct(data, ends - size, size)  # one that shares its name with an earlier one is merged instead

@@ -118,7 +118,8 @@ def weight_column(spark: SparkSession, ratio: np.ndarray, text: Column, seed: in
 
     @F.pandas_udf("struct<log_weight: double, n_grams: long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [(lowest_window(shared.value[x]), len(x)) for x in buckets(texts.tolist())]
+        part = texts.tolist()
+        rows = [(lowest_window(shared.value[x]), len(x)) for a, b in text_groups(part) for x in buckets(part[a:b])]
         return pd.DataFrame(rows, columns=["log_weight", "n_grams"]).astype({"log_weight": "float64", "n_grams": "int64"})
 
     noise = (F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(seed)), 12) + F.lit(0.5)) / F.lit(float(2**52))

@@ -98,11 +98,11 @@ class Column:
 
 
 class Table:
-    """Distinct byte strings in rows from 0 on. The index is a large sorted array and a small one that joins it in time."""
+    """Distinct byte strings of at most LONG bytes in rows from 0 on. The index is a large sorted array and a small one that joins it in time."""
 
     def __init__(self) -> None:
-        self.text, self.at, self.size = Column(np.uint8, SPARE), Column(np.int64), Column(np.int64)
-        self.index = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.text, self.at, self.size = Column(np.uint8, SPARE), Column(np.int32), Column(np.uint8)
+        self.index = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
 
     def __len__(self) -> int:
         return self.at.n
@@ -116,13 +116,13 @@ class Table:
                 hit = keys[at] == name
                 row[hit] = rows[at[hit]]
         hit = np.flatnonzero(row >= 0)
-        start, width = self.at.data[row[hit]], self.size.data[row[hit]]
+        start, width = self.at.data[row[hit]].astype(np.int64), self.size.data[row[hit]].astype(np.int64)
         row[hit[~same(data, begin[hit], size[hit], self.text.data, start, width)]] = -2
         return row
 
     def add(self, name: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Adds strings whose names are unknown and distinct; returns their rows."""
-        rows = np.arange(len(self), len(self) + len(name))
+        rows = np.arange(len(self), len(self) + len(name), dtype=np.int32)
         self.at.add(self.text.n + np.cumsum(size) - size)
         self.size.add(size)
         self.text.add(gather(data, begin, size))
