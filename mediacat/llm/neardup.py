@@ -40,6 +40,8 @@ SMALL, BLOCK = 64, 512
 STARS = 2
 #: Rows of leaves that a task compares at once.
 COMPARE_ROWS, COMPARE_BYTES = 8192, 64_000_000
+#: Edges that one task may contract at the end of connected components (16 bytes an end).
+FEW_EDGES = 2000
 #: Ids up to which the list of needed documents is broadcast (16 bytes each).
 MOST_BROADCAST = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -295,6 +297,30 @@ def confirm_dense(dense: DataFrame, docs: DataFrame, classes: DataFrame, k: int,
     return by_cell(dense.join(sets, "set_id").select("cell", "root", "roots", "set_id", "component", "sketch", "items")).mapInArrow(run, "src binary, dst binary")
 
 
+def in_one_task(edges: DataFrame) -> DataFrame:
+    """(src, to) of few edges (src, dst): each vertex with the smallest of its component, if that is another."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[object, object] = {}
+
+        def root(x: object) -> object:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up.setdefault(y, y)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((root(a), root(b)))
+                up[high] = low
+            ids = batch.column(0).type
+        moved = [(x, y) for x in list(up) if (y := root(x)) != x]
+        if moved:
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in moved], type=ids) for i in (0, 1)], names=["src", "to"])
+
+    return edges.select("src", "dst").coalesce(1).mapInArrow(run, f"src {kind}, to {kind}")
+
+
 def children(rows: DataFrame, level: int) -> DataFrame:
     """(node, slot, set_id, sig) -> a row for each child. Roots (level 0) take BRANCH coordinates by their slot, which no
     other root takes; other nodes pick BRANCH different ones by their own hash."""
@@ -354,7 +380,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
 
     stars = s.cut(near_pairs(pivot_pairs(tree, classes, list(range(STARS))), least).distinct(), "stars")
     links = s.cut(confirmed(stars, docs, classes, k, percent, s, hot=True), "links")
-    joined = s.cut(connected_components(links, s, spread=False), "joined")
+    joined = s.cut(connected_components(links, s, spread=False, finish=in_one_task, few=FEW_EDGES), "joined")
 
     leaves = None
     for level in range(1, DEPTH + 1):
@@ -388,7 +414,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
         dense = found.filter("dst is null")
         if not dense.isEmpty():
             links = links.unionByName(confirm_dense(dense, docs, classes, k, percent, least, s))
-    linked = s.cut(connected_components(links, s, spread=False), "linked")
+    linked = s.cut(connected_components(links, s, spread=False, finish=in_one_task, few=FEW_EDGES), "linked")
 
     owner = classes.join(linked, F.col("set_id") == F.col("id")).groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = spread_join(linked, owner, ["component"], ["id"]).select(F.col("id").alias("set_id"), "least")

@@ -30,7 +30,8 @@ class Groups:
         self.up[b] = a
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 25, 10_000])
+def test_components(spark, few):
     rng = random.Random(1)
     path = [(i, i + 1) for i in range(60)]
     star = [(199, 100 + i) for i in range(40)]
@@ -40,9 +41,9 @@ def test_components(spark):
     for a, b in edges:
         if a is not None and b is not None and a != b:
             groups.join(a, b)
-    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark)).collect()}
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark), finish=neardup.in_one_task, few=few).collect()}
     assert got == {x: groups.find(x) for x in groups.up}
-    assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark)).count() == 0
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark), finish=neardup.in_one_task, few=few).count() == 0
 
 
 def brute_near(texts, ids, k, percent):
