@@ -42,7 +42,7 @@ STARS = 2
 COMPARE_ROWS, COMPARE_BYTES = 8192, 64_000_000
 #: Edges that one task may contract at the end of connected components (16 bytes an end).
 FEW_EDGES = 2000
-#: Ids up to which the list of needed documents is broadcast (16 bytes each).
+#: Ids up to which the list of needed documents, and nodes up to which a table of nodes, is broadcast (32 bytes each).
 MOST_BROADCAST = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
@@ -321,38 +321,45 @@ def in_one_task(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").coalesce(1).mapInArrow(run, f"src {kind}, to {kind}")
 
 
-def children(rows: DataFrame, level: int) -> DataFrame:
+def children(rows: DataFrame, level: int, *carried: str) -> DataFrame:
     """(node, slot, set_id, sig) -> a row for each child. Roots (level 0) take BRANCH coordinates by their slot, which no
-    other root takes; other nodes pick BRANCH different ones by their own hash."""
+    other root takes; other nodes pick BRANCH different ones by their own hash. Columns named in carried stay."""
     if level == 0:
         picks = [F.pmod(F.col("slot") * BRANCH + j, F.lit(PATHS)) for j in range(BRANCH)]
     else:
         first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(PATHS))
         picks = [first] + [(first + 1 + (j - 1) * ((PATHS - 1) // (BRANCH - 1)) + F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit((PATHS - 1) // (BRANCH - 1)))) % PATHS for j in range(1, BRANCH)]
     names = [F.struct(F.xxhash64("node", F.lit(level), p, F.get("sig", p.cast("int"))).alias("node"), (F.col("slot") * BRANCH + j).alias("slot")) for j, p in enumerate(picks)]
-    return rows.select(F.explode(F.array(*names)).alias("c"), "set_id").select("c.node", "c.slot", "set_id")
+    return rows.select(F.explode(F.array(*names)).alias("c"), "set_id", *carried).select("c.node", "c.slot", "set_id", *carried)
 
 
-def with_components(tree: DataFrame, joined: DataFrame) -> DataFrame:
+def by_node(rows: DataFrame, table: DataFrame, s: Scratch | None, how: str = "inner") -> DataFrame:
+    """rows joined with a table (node, ...). The table is written and its nodes counted: up to MOST_BROADCAST it is
+    broadcast; beyond that, or without a place to write to, the rows of a node are dealt over many tasks."""
+    if s is not None:
+        table = s.cut(table, "nodes")
+        if table.count() <= MOST_BROADCAST:
+            return rows.join(F.broadcast(table), "node", how)
+    return spread_join(rows, table, ["node"], ["set_id"], how)
+
+
+def with_components(tree: DataFrame, joined: DataFrame, s: Scratch) -> DataFrame:
     """tree with `component` of each class and size `n` of its node, without nodes of one component."""
     known = tree.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select("node", "slot", "set_id", F.coalesce("component", "set_id").alias("component"))
     sizes = known.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return spread_join(known, sizes.select("node", "n"), ["node"], ["set_id"])
+    return by_node(known, sizes.select("node", "n"), s)
 
 
-def pivot_pairs(tree: DataFrame, classes: DataFrame, salts: list[int]) -> DataFrame:
-    """(node, src, dst, x, y): each class, dst, with the classes src that hashes pick in its node, and their sketches. A
-    pivot's sketch is joined to its node first, and a large node's rows are dealt over many tasks."""
-    sketches = classes.select("set_id", "sketch")
-    pick = tree.groupBy("node").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by("set_id", F.xxhash64("set_id", "node", F.lit(i))) for i in salts])).alias("picks"))
-    pick = pick.filter("n > 1").select("node", F.explode("picks").alias("src")).join(sketches.toDF("src", "x"), "src")
-    pick = pick.groupBy("node").agg(F.collect_list(F.struct("src", "x")).alias("picks"))
-    rows = spread_join(tree.select("node", "set_id"), pick, ["node"], ["set_id"]).join(sketches.toDF("set_id", "y"), "set_id")
-    rows = rows.select("node", F.explode("picks").alias("p"), F.col("set_id").alias("dst"), "y").filter("p.src <> dst")
-    return rows.select("node", "p.src", "dst", "p.x", "y")
+def pivot_pairs(tree: DataFrame, salts: list[int]) -> DataFrame:
+    """(node, src, dst, x, y) of (node, set_id, sketch): each class, dst, with the classes src that hashes pick in its node,
+    and their sketches, which the rows bring along. A large node's rows are dealt over many tasks."""
+    pick = tree.groupBy("node").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by(F.struct("set_id", "sketch"), F.xxhash64("set_id", "node", F.lit(i))) for i in salts])).alias("picks"))
+    rows = spread_join(tree.select("node", "set_id", "sketch"), pick.filter("n > 1").select("node", "picks"), ["node"], ["set_id"])
+    rows = rows.select("node", F.explode("picks").alias("p"), F.col("set_id").alias("dst"), F.col("sketch").alias("y")).filter("p.set_id <> dst")
+    return rows.select("node", F.col("p.set_id").alias("src"), "dst", F.col("p.sketch").alias("x"), "y")
 
 
-def alike_nodes(known: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def alike_nodes(known: DataFrame, classes: DataFrame, least: int, s: Scratch) -> DataFrame:
     """Nodes of more than SMALL classes of which a share of ALIKE agrees with a pivot in `least` coordinates, by a
     sample of every eighth class."""
 
@@ -362,7 +369,8 @@ def alike_nodes(known: DataFrame, classes: DataFrame, least: int) -> DataFrame:
             yield record({"node": batch.column(0), "near": ((grid(batch.column(1)) == grid(batch.column(2))).sum(axis=1) >= least).astype(np.int32)}, schema)
 
     sample = known.filter((F.col("n") > SMALL) & (F.xxhash64("set_id", "node") % 8 == 0))
-    near = pivot_pairs(sample, classes, [-1]).select("node", "x", "y").mapInArrow(run, "node long, near int")
+    sample = s.cut(sample.select("node", "set_id").join(classes.select("set_id", "sketch"), "set_id"), "sample")
+    near = pivot_pairs(sample, [-1]).select("node", "x", "y").mapInArrow(run, "node long, near int")
     return near.groupBy("node").agg(F.avg("near").alias("share")).filter(F.col("share") >= ALIKE).select("node", F.lit(True).alias("alike"))
 
 
@@ -375,16 +383,16 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
     trees = trees_for(recall, similarity)
     least = max(1, math.floor(WIDTH * similarity - 4.2 * math.sqrt(WIDTH * similarity * (1 - similarity))))
 
-    roots = classes.select("set_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("slot"))
-    tree = children(roots.withColumn("node", F.lit(0).cast("long")), 0)
+    roots = classes.select("set_id", "sig", "sketch", F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("slot"))
+    tree = children(roots, 0)
 
-    stars = s.cut(near_pairs(pivot_pairs(tree, classes, list(range(STARS))), least).distinct(), "stars")
+    stars = s.cut(near_pairs(pivot_pairs(children(roots, 0, "sketch"), list(range(STARS))), least).distinct(), "stars")
     links = s.cut(confirmed(stars, docs, classes, k, percent, s, hot=True), "links")
     joined = s.cut(connected_components(links, s, spread=False, finish=in_one_task, few=FEW_EDGES), "joined")
 
     leaves = None
     for level in range(1, DEPTH + 1):
-        known = s.cut(with_components(tree, joined), "level")
+        known = s.cut(with_components(tree, joined, s), "level")
         most = known.agg(F.max("n")).first()[0]
         if most is None:
             break
@@ -392,16 +400,15 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
         if last:
             known = known.withColumn("leaf", F.lit(True))
         else:
-            alike = s.cut(alike_nodes(known, classes, math.floor(0.7 * least)), "alike")
-            known = spread_join(known, alike, ["node"], ["set_id"], "left").withColumn("leaf", (F.col("n") <= SMALL) | F.coalesce("alike", F.lit(False)))
+            known = by_node(known, alike_nodes(known, classes, math.floor(0.7 * least), s), s, "left").withColumn("leaf", (F.col("n") <= SMALL) | F.coalesce("alike", F.lit(False)))
         leaf = known.filter("leaf")
         if level == 1:  # all pairs of these roots are compared, so one of the roots that a pair shares is enough
             own = leaf.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "node"))).alias("own"))
             shared_roots = F.transform(F.sequence(F.lit(0), F.lit(trees * BRANCH - 1)), lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0)))
-            leaf = leaf.join(own.select("set_id", shared_roots.alias("roots")), "set_id").withColumn("root", F.col("node"))
+            leaf = s.cut(leaf.join(own.select("set_id", shared_roots.alias("roots")), "set_id").withColumn("root", F.col("node")), "leaf")
         else:
             leaf = leaf.withColumn("roots", F.array_repeat(F.lit(0).cast("long"), trees * BRANCH)).withColumn("root", F.lit(0).cast("long"))
-        part = s.cut(cells(leaf, most > BLOCK), "leaves")
+        part = s.cut(cells(leaf, most > BLOCK, s), "leaves")
         leaves = part if leaves is None else leaves.unionByName(part)
         if last:
             break
@@ -462,7 +469,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 1
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
-def cells(leaf: DataFrame, large: bool = True) -> DataFrame:
+def cells(leaf: DataFrame, large: bool = True, s: Scratch | None = None) -> DataFrame:
     """Leaves (node, n, root, roots, set_id, component) as cells. The classes of a leaf of more than BLOCK are dealt into
     blocks, those of its largest component apart from the others, and every pair of blocks that may hold different
     components becomes a cell. So no task holds more than two blocks of a leaf, and a family that is joined already is
@@ -473,7 +480,7 @@ def cells(leaf: DataFrame, large: bool = True) -> DataFrame:
     crowd = leaf.filter(F.col("n") > BLOCK)
     sizes = crowd.groupBy("node", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("node").agg(F.max(F.struct("m", "component")).alias("main"))
-    rows = spread_join(crowd, main, ["node"], ["set_id"])
+    rows = by_node(crowd, main, s)
     others, inner = (F.ceil(c / BLOCK).cast("int") for c in (F.col("n") - F.col("main.m"), F.col("main.m")))
     inside = F.col("component") == F.col("main.component")
     own = F.when(inside, others + F.pmod(F.xxhash64("set_id", F.lit(5)), inner)).otherwise(F.pmod(F.xxhash64("set_id", F.lit(5)), others)).cast("int")
