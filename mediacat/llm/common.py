@@ -39,10 +39,16 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the file system remove a folder when the driver's JVM ends, whether or not the session was stopped before."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder on its way, so that lineage ends there and a lost executor costs
     no recomputation. Those of `cut` are deleted when the operator is done, those of `keep`, which the result still
-    reads, when the application ends."""
+    reads, when the driver ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
@@ -54,29 +60,21 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         delete(self.spark, self.root)
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        return self._written(df, f"{self.root}/{name}-{next(self.number)}")
+    def cut(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+        return self._written(df, f"{self.root}/{name}-{next(self.number)}", by)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        KEPT.append((self.spark, path))
-        return self._written(df, path)
+        kept = self._written(df, path, by)
+        delete_at_exit(self.spark, path)
+        return kept
 
-    def _written(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
+    def _written(self, df: DataFrame, path: str, by: list[str] | None) -> DataFrame:
+        """by: columns that the table's folders are named by, so that a filter on them reads only its own files."""
+        df.write.parquet(path, partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-KEPT: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _delete_kept() -> None:
-    for spark, path in KEPT:
-        if spark.sparkContext._jsc is not None:  # a stopped session leaves its tables to whoever owns the folder
-            delete(spark, path)
-
-
 def text_groups(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most `most` characters each (a longer text is a range of its own)."""
     begin = size = 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import bpe_codec, jpeg, neardup, packing, quality, revisit, rules, token_counts, toxicity, urls
+from mediacat.llm import bpe_codec, jpeg, kmeans, neardup, packing, quality, revisit, rules, token_counts, topk, toxicity, urls, vacodes
 from mediacat.llm.common import table
 
 URL_RULES = [
@@ -77,8 +77,20 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op12_va_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vacodes.product_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50).drop("scored")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_importance_resampling, op4_compression_bands, op5_revisit_resolution, op6_minhash_dedup, op7_jpeg_thumbnails, op8_url_filters, op9_sum_of_squares_packing, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_importance_resampling, op4_compression_bands, op5_revisit_resolution, op6_minhash_dedup, op7_jpeg_thumbnails, op8_url_filters, op9_sum_of_squares_packing, op10_bpe_round_trip, op11_sort_means, op12_va_codes, op13_block_top_k)}
 
 
 OP5_SQL = r"""
@@ -148,5 +160,51 @@ FROM pages JOIN judged j ON j.url IS NOT DISTINCT FROM pages.url LEFT JOIN passe
 """
 
 
+GOOD_VECTORS = r"""SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"""
+
+
+def _floors(n: int, by: str) -> str:
+    """The list of the floored means of v[1] to v[n] over rows; whole numbers only."""
+    return "[" + ", ".join(f"(sum(v[{i}])::BIGINT - (sum(v[{i}])::BIGINT % count(*) + count(*)) % count(*)) // count(*)" for i in range(1, n + 1)) + f"] AS c, {by}"
+
+
+def op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round as a join of all vectors with all centroids."""
+    steps = [f"v AS MATERIALIZED (SELECT vec_id, x AS v, row_number() OVER () AS rn FROM ({GOOD_VECTORS}))", f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS k, v AS c FROM v WHERE vec_id IS NOT NULL QUALIFY k < {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rn, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d) AS d, arg_min(k, (d, k)) AS k FROM (SELECT v.*, k, CAST(list_sum([(v.v[i] - c.c[i]) * (v.v[i] - c.c[i]) FOR i IN range(1, 65)]) AS BIGINT) AS d FROM v, c{i} c) GROUP BY rn)")
+        if i < rounds:
+            steps.append(f"m{i} AS MATERIALIZED (SELECT {_floors(64, 'k')} FROM a{i} GROUP BY k)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (k))")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)"""
+
+
+def op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Each round as a join of all parts with all entries of their codebook."""
+    width = 64 // parts
+    steps = [f"v AS MATERIALIZED (SELECT *, row_number() OVER () AS rn FROM ({GOOD_VECTORS}))", f"p AS MATERIALIZED (SELECT rn, p, x[{width} * p + 1:{width} * p + {width}] AS v FROM v, range({parts}) t(p))"]
+    steps.append(f"c0 AS MATERIALIZED (SELECT p, e, v AS c FROM p JOIN (SELECT rn, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM v WHERE vec_id IS NOT NULL QUALIFY e < {entries}) USING (rn))")
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rn, p, any_value(v) AS v, min(d) AS d, arg_min(e, (d, e)) AS e FROM (SELECT p.*, e, {' + '.join(f'(v[{j}] - c[{j}]) * (v[{j}] - c[{j}])' for j in range(1, width + 1))} AS d FROM p JOIN c{i} USING (p)) GROUP BY rn, p)")
+        if i < rounds:
+            steps.append(f"m{i} AS MATERIALIZED (SELECT {_floors(width, 'p, e')} FROM a{i} GROUP BY p, e)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (p, e))")
+    return "WITH " + ",\n".join(steps) + f""",
+r AS (SELECT rn, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rn),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN r USING (rn), h"""
+
+
+OP13_SQL = r"""
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rn, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.rn <> c.rn)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_revisit_resolution": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_url_filters": OP8_SQL}
+    return {"op11_sort_means": op11_sql(), "op12_va_codes": op12_sql(), "op13_block_top_k": OP13_SQL, "op5_revisit_resolution": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_url_filters": OP8_SQL}
