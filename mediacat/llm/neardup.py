@@ -6,7 +6,7 @@ own hash there, so similar classes share paths. Nodes of few classes, and nodes
 exhaustively; the others branch again. Independent trees repeat this until the target recall is met. Shortcuts that
 lose no component: links to random classes of each node, confirmed first, join most copies; later only pairs whose
 ends are not yet in one component are compared, and only in the first compared root that both share. Every link is
-confirmed on full shingle sets; a shingle is 64 bits of a mix of its words' names.
+confirmed on full shingle sets; a shingle is 128 bits mixed of its words' cryptographic hashes.
 
 Recall of the branching for a pair of similarity 0.8, measured over random pairs (tests): all of 20,000 where roots are
 compared, at least 0.9999 at every deeper level.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from mediacat.llm.common import Scratch, map_batches, record, text_groups
 from mediacat.llm.components import connected_components
-from mediacat.llm.words import joined, mix, names
+from mediacat.llm.words import bytes_of, distinct, joined, mix
 from mediacat.operators.joins import spread_join
 
 #: Coordinates of a class's minwise vector, those that trees branch on, and bits kept of each for estimates.
@@ -40,13 +40,15 @@ SMALL, BLOCK = 64, 512
 STARS = 2
 #: Rows of leaves that a task compares at once.
 COMPARE_ROWS, COMPARE_BYTES = 8192, 64_000_000
-#: Edges that one task may contract at the end of connected components (16 bytes an end).
-FEW_EDGES = 2000
+#: Edges that one task may contract at the end of connected components (at most 60 MB in Python).
+FEW_EDGES = 100_000
 #: Ids up to which the list of needed documents, and nodes up to which a table of nodes, is broadcast (32 bytes each).
 MOST_BROADCAST = 500_000
+#: Nodes up to which their pivots are broadcast with their sketches (600 bytes a node).
+MOST_PIVOTS = 20_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
-MIX = np.uint64(0xFF51AFD7ED558CCD)
+MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(1, 2**63, WIDTH, dtype=np.uint64)
@@ -64,8 +66,22 @@ def trees_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
 
 
+def word_names(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each word: a cryptographic hash, computed once for each distinct word."""
+    code, _, first, other = distinct(data, begin, size)
+
+    def digests(rows: np.ndarray) -> np.ndarray:
+        found = b"".join(hashlib.blake2b(bytes_of(data, b, n), digest_size=16).digest() for b, n in zip(begin[rows].tolist(), size[rows].tolist(), strict=True))
+        return np.frombuffer(found, np.uint64).reshape(-1, 2)
+
+    out = digests(first)[code]
+    out[other] = digests(other)
+    return out
+
+
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the k-word shingles of each text; fewer words make one shingle, none make none."""
+    """The distinct k-word shingles of each text as sorted rows of two 64-bit numbers; fewer words make one shingle, none
+    make none."""
     out: list[np.ndarray] = []
     for a, b in text_groups(texts):
         part = [(t or "").encode(errors="replace").translate(LOWER) for t in texts[a:b]]
@@ -75,26 +91,32 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
         edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
         begin, stop = edge[::2], edge[1::2]
         first = np.searchsorted(begin, np.append(0, ends + 1))
-        word = names(data, begin, stop - begin)
+        word = word_names(data, begin, stop - begin)
         n = max(0, len(word) - k + 1)
-        wide = np.zeros(n, np.uint64)
+        wide = np.zeros((n, 2), np.uint64)
         for i in range(k):
-            wide = (wide ^ (wide >> np.uint64(31))) * MIX + word[i : i + n]
-        wide = mix(wide)
+            wide = chained(wide, word[i : i + n])
         for row in range(len(part)):
             lo, hi = first[row], first[row + 1]
             if hi - lo >= k:
-                out.append(np.unique(wide[lo : hi - k + 1]))
-            elif hi > lo:
-                h = np.array([hi - lo], np.uint64)
+                x = wide[lo : hi - k + 1]
+                x = x[np.argsort(x[:, 0])]
+                if (x[1:, 0] == x[:-1, 0]).any():
+                    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+                    x = x[np.append(True, (x[1:] != x[:-1]).any(axis=1))]
+                out.append(x)
+            else:
+                h = np.full((min(1, hi - lo), 2), hi - lo, np.uint64)
                 for i in range(lo, hi):
-                    h = (h ^ (h >> np.uint64(31))) * MIX + word[i : i + 1]
+                    h = chained(h, word[i : i + 1])
                 out.append(h)
-            else:
-                out.append(np.zeros(0, np.uint64))
     return out
 
 
+def chained(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix((h ^ (h >> np.uint64(31))) * MIX + word)
+
+
 def set_id(x: np.ndarray) -> bytes | None:
     return hashlib.md5(x.tobytes()).digest() if len(x) else None
 
@@ -104,7 +126,7 @@ def minwise(sets: list[np.ndarray]) -> tuple[list[np.ndarray | None], list[bytes
     full = [x for x in sets if len(x)]
     if not full:
         return [None] * len(sets), [None] * len(sets)
-    flat = np.concatenate(full)
+    flat = np.concatenate([x[:, 0] for x in full])
     at = np.cumsum([0, *map(len, full[:-1])])
     out = np.empty((len(full), WIDTH), np.int32)
     for i in range(WIDTH):
@@ -143,12 +165,12 @@ def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
 
 def alike(x: bytes, y: bytes, percent: int) -> bool:
     """100 * intersection >= percent * union of two full sets."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    a, b = np.frombuffer(x, np.uint64).reshape(-1, 2), np.frombuffer(y, np.uint64).reshape(-1, 2)
     if len(a) > len(b):
         a, b = b, a
     if 100 * len(a) < percent * len(b):
         return False
-    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    both = int((b[np.minimum(np.searchsorted(b[:, 0], a[:, 0]), len(b) - 1)] == a).all(axis=1).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -333,12 +355,12 @@ def children(rows: DataFrame, level: int, *carried: str) -> DataFrame:
     return rows.select(F.explode(F.array(*names)).alias("c"), "set_id", *carried).select("c.node", "c.slot", "set_id", *carried)
 
 
-def by_node(rows: DataFrame, table: DataFrame, s: Scratch | None, how: str = "inner") -> DataFrame:
-    """rows joined with a table (node, ...). The table is written and its nodes counted: up to MOST_BROADCAST it is
+def by_node(rows: DataFrame, table: DataFrame, s: Scratch | None, how: str = "inner", most: int | None = None) -> DataFrame:
+    """rows joined with a table (node, ...). The table is written and its nodes counted: up to `most` (MOST_BROADCAST) it is
     broadcast; beyond that, or without a place to write to, the rows of a node are dealt over many tasks."""
     if s is not None:
         table = s.cut(table, "nodes")
-        if table.count() <= MOST_BROADCAST:
+        if table.count() <= (MOST_BROADCAST if most is None else most):
             return rows.join(F.broadcast(table), "node", how)
     return spread_join(rows, table, ["node"], ["set_id"], how)
 
@@ -350,11 +372,11 @@ def with_components(tree: DataFrame, joined: DataFrame, s: Scratch) -> DataFrame
     return by_node(known, sizes.select("node", "n"), s)
 
 
-def pivot_pairs(tree: DataFrame, salts: list[int]) -> DataFrame:
+def pivot_pairs(tree: DataFrame, salts: list[int], s: Scratch) -> DataFrame:
     """(node, src, dst, x, y) of (node, set_id, sketch): each class, dst, with the classes src that hashes pick in its node,
     and their sketches, which the rows bring along. A large node's rows are dealt over many tasks."""
     pick = tree.groupBy("node").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by(F.struct("set_id", "sketch"), F.xxhash64("set_id", "node", F.lit(i))) for i in salts])).alias("picks"))
-    rows = spread_join(tree.select("node", "set_id", "sketch"), pick.filter("n > 1").select("node", "picks"), ["node"], ["set_id"])
+    rows = by_node(tree.select("node", "set_id", "sketch"), pick.filter("n > 1").select("node", "picks"), s, most=MOST_PIVOTS)
     rows = rows.select("node", F.explode("picks").alias("p"), F.col("set_id").alias("dst"), F.col("sketch").alias("y")).filter("p.set_id <> dst")
     return rows.select("node", F.col("p.set_id").alias("src"), "dst", F.col("p.sketch").alias("x"), "y")
 
@@ -370,7 +392,7 @@ def alike_nodes(known: DataFrame, classes: DataFrame, least: int, s: Scratch) ->
 
     sample = known.filter((F.col("n") > SMALL) & (F.xxhash64("set_id", "node") % 8 == 0))
     sample = s.cut(sample.select("node", "set_id").join(classes.select("set_id", "sketch"), "set_id"), "sample")
-    near = pivot_pairs(sample, [-1]).select("node", "x", "y").mapInArrow(run, "node long, near int")
+    near = pivot_pairs(sample, [-1], s).select("node", "x", "y").mapInArrow(run, "node long, near int")
     return near.groupBy("node").agg(F.avg("near").alias("share")).filter(F.col("share") >= ALIKE).select("node", F.lit(True).alias("alike"))
 
 
@@ -384,9 +406,14 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
     least = max(1, math.floor(WIDTH * similarity - 4.2 * math.sqrt(WIDTH * similarity * (1 - similarity))))
 
     roots = classes.select("set_id", "sig", "sketch", F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("slot"))
-    tree = children(roots, 0)
-
-    stars = s.cut(near_pairs(pivot_pairs(children(roots, 0, "sketch"), list(range(STARS))), least).distinct(), "stars")
+    shared = s.cut(children(roots, 0).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "shared")
+    n_shared = shared.count()
+    if not n_shared:  # no two classes meet
+        return rows.select("doc_id", "n_shingles", "set_id", "key").join(classes.select("set_id", F.col("doc_id").alias("least")), "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "key")
+    tree = children(roots, 0, "sketch")
+    tree = tree.join(F.broadcast(shared), "node") if n_shared <= MOST_BROADCAST else spread_join(tree, shared, ["node"], ["set_id"])
+
+    stars = s.cut(near_pairs(pivot_pairs(tree, list(range(STARS)), s), least).distinct(), "stars")
     links = s.cut(confirmed(stars, docs, classes, k, percent, s, hot=True), "links")
     joined = s.cut(connected_components(links, s, spread=False, finish=in_one_task, few=FEW_EDGES), "joined")
 

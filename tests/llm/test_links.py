@@ -113,6 +113,24 @@ def test_words_of_equal_polynomial_hashes_are_not_linked(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(4)]
 
 
+def test_words_of_equal_chained_names_are_not_linked(spark):
+    """Words of 16 bytes whose chained 64-bit mixes are equal: for any first half there is such a second half."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh0123!.>-") for _ in range(n))
+    texts = ["x y z i-eqh524:yng5by1", "x y z !m3.girer5tfi>-="] + [f"x y z {text(n)}" for n in (16, 24, 64, 65) for _ in range(20)]
+    shingles = neardup.shingle_sets(texts, 4)
+    assert len({x.tobytes() for x in shingles}) == len({x[0, 0] for x in shingles}) == len({x[0, 1] for x in shingles}) == len(texts)
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in got)
+
+
+def test_links_are_confirmed_on_both_numbers_of_a_shingle():
+    x = np.arange(40, dtype=np.uint64).reshape(-1, 2)
+    y = x.copy()
+    y[:, 1] += np.uint64(1)
+    assert neardup.alike(x.tobytes(), x.tobytes(), 80) and not neardup.alike(x.tobytes(), y.tobytes(), 80)
+
+
 def test_recall_of_the_branching(spark):
     """Pairs whose coordinates agree with chance 0.8: the share that some node of a level holds together."""
     rng, n = np.random.default_rng(4), 20_000
