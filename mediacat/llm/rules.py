@@ -14,13 +14,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (bytes from, lowest ratio, highest ratio) for whole texts; the last row whose size is reached holds.
-#: Upper limits lie between prose of the tables (at most 0.82, 0.72, 0.60, 0.53, 0.48 from 256, 512, 1024, 2048, 4096
-#: bytes) and random words of letters and digits (0.91, 0.81, 0.76, 0.74, 0.73). Random hex digits (0.52) stay inside.
-WHOLE_BANDS = ((0, 0.0, 9.0), (256, 0.20, 0.88), (512, 0.20, 0.78), (1024, 0.16, 0.70), (4096, 0.12, 0.68), (16384, 0.10, 0.66))
-#: The same for chunks; the last chunk of a text may be shorter and is judged by its own size.
-CHUNK_BANDS = ((0, 0.0, 9.0), (256, 0.10, 0.88), (512, 0.10, 0.78), (1024, 0.10, 0.70), (4096, 0.10, 0.68))
+#: (bytes, lowest ratio) for whole texts and chunks, linear in the logarithm of the size in between; texts of fewer bytes than
+#: the first have no limits. They lie just under prose: the labelled good texts of the tables reach down to 0.496, 0.462,
+#: 0.448, 0.426, 0.413, 0.402 from 724, 1448, 2896, 5793, 11585, 23170 bytes to the next power of two, while half of the
+#: labelled junk that passes the word rules has at most 0.504, 0.451, 0.417, 0.391, 0.371, 0.365 there. Of longer texts few are
+#: labelled, so their limits are wider.
+LOWEST = ((256, 0.508), (512, 0.506), (1024, 0.482), (2048, 0.453), (4096, 0.436), (8192, 0.416), (16384, 0.400), (32768, 0.360), (65536, 0.340))
+#: (bytes from, highest ratio); the last row whose size is reached holds. The limits lie between prose of the tables (at most
+#: 0.82, 0.72, 0.60, 0.53, 0.48 from 256, 512, 1024, 2048, 4096 bytes) and random words of letters and digits (0.91, 0.81,
+#: 0.76, 0.74, 0.73). Random hex digits (0.52) stay inside.
+HIGHEST = ((0, 9.0), (256, 0.88), (512, 0.78), (1024, 0.70), (4096, 0.68), (16384, 0.66))
 CHUNK_BYTES = 4096
+#: The lowest ratio of a chunk, in parts of that of a text of its size: a part varies more than a whole.
+CHUNK_LOW = 0.94
 #: Share of the judged chunks (those of a size that has limits) that may lie outside their band.
 CHUNK_SHARE = 0.2
 LEVEL = 3
@@ -45,8 +51,12 @@ def repeated_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def band(size: int, bands: tuple[tuple[int, float, float], ...]) -> tuple[float, float]:
-    return next((low, high) for least, low, high in reversed(bands) if size >= least)
+def band(size: int) -> tuple[float, float]:
+    """Lowest and highest ratio that a whole text or chunk of this size may have."""
+    if size < LOWEST[0][0]:
+        return 0.0, HIGHEST[0][1]
+    low = np.interp(np.log2(size), [np.log2(n) for n, _ in LOWEST], [ratio for _, ratio in LOWEST])
+    return float(low), next(ratio for least, ratio in reversed(HIGHEST) if size >= least)
 
 
 def ratios(data: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, int, int, int]:
@@ -56,9 +66,9 @@ def ratios(data: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, int,
     if len(data) > CHUNK_BYTES:
         for at in range(0, len(data), CHUNK_BYTES):
             part = data[at : at + CHUNK_BYTES]
-            least, most = band(len(part), CHUNK_BANDS)
+            least, most = band(len(part))
             ratio = len(squeeze.compress(part)) / len(part)
-            n, low, high = n + (len(part) >= CHUNK_BANDS[1][0]), low + (ratio < least), high + (ratio > most)
+            n, low, high = n + (len(part) >= LOWEST[0][0]), low + (ratio < CHUNK_LOW * least), high + (ratio > most)
     return whole, n, low, high
 
 
@@ -72,7 +82,7 @@ def judge(text: str | None, squeeze: zstandard.ZstdCompressor) -> tuple:
     repeats = repeated_words(words)
     base = len(words) < 50 or 100 * repeats > 50 * len(words)
     whole, n, low, high = ratios(data, squeeze)
-    least, most = band(len(data), WHOLE_BANDS)
+    least, most = band(len(data))
     kept = not base and least <= whole <= most and low + high <= CHUNK_SHARE * n
     return len(words), word_chars, n_symbols, len(lines) - len(set(lines)), repeats, base, whole, n, low, high, kept
 

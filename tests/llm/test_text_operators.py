@@ -340,16 +340,33 @@ def brute_rules(text):
     base = len(words) < 50 or 100 * len(inside) > 50 * len(words)
     data, z = text.encode(), zstandard.ZstdCompressor(level=3)
     whole = len(z.compress(data)) / len(data) if data else 1.0
-    least, most = [b[1:] for b in rules.WHOLE_BANDS if len(data) >= b[0]][-1]
+
+    def limits(n):
+        if n < 256:
+            return 0, 9
+        steps = [(a, b) for a, b in zip(rules.LOWEST, rules.LOWEST[1:], strict=False) if a[0] <= n < b[0]]
+        low = rules.LOWEST[-1][1] if not steps else steps[0][0][1] + (steps[0][1][1] - steps[0][0][1]) * math.log(n / steps[0][0][0]) / math.log(steps[0][1][0] / steps[0][0][0])
+        return low, [high for size, high in rules.HIGHEST if size <= n][-1]
+
+    least, most = limits(len(data))
     parts = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
     bad = 0
     for p in parts:
-        low, high = [b[1:] for b in rules.CHUNK_BANDS if len(p) >= b[0]][-1]
-        bad += not low <= len(z.compress(p)) / len(p) <= high
+        low, high = limits(len(p))
+        bad += not 0.94 * low <= len(z.compress(p)) / len(p) <= high
     kept = not base and least <= whole <= most and bad <= 0.2 * sum(len(p) >= 256 for p in parts)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), base, kept
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_bands_reject_junk_and_keep_good_texts(spark, folder):
+    """Labels only measure here; no score reads them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{n}.parquet") for n in ("documents", "labels"))
+    judged = rules.apply_rules(docs).filter("not base_failed").join(labels, "doc_id")
+    share = {r["quality"]: r["kept"] / r["n"] for r in judged.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert share[1] >= 0.995 and share[0] <= 0.5, share
+
+
 def test_rules_equal_brute_force(spark):
     rng = random.Random(4)
     prose = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(40, 2000))) for _ in range(12)]
@@ -370,9 +387,9 @@ def test_bands_reject_repetition_and_noise():
     rng = random.Random(1)
     repeated = " ".join(f"w{i}" for i in range(60)) + " "
     long_loop = "".join(repeated[: 100 + i % 7] for i in range(400))
-    assert rules.ratios(long_loop.encode(), z)[0] < rules.band(len(long_loop), rules.WHOLE_BANDS)[0]
+    assert rules.ratios(long_loop.encode(), z)[0] < rules.band(len(long_loop))[0]
     noise = bytes(rng.randrange(33, 127) for _ in range(20_000))
-    assert rules.ratios(noise, z)[0] > rules.band(len(noise), rules.WHOLE_BANDS)[1]
+    assert rules.ratios(noise, z)[0] > rules.band(len(noise))[1]
 
 
 def test_bands_reject_partial_noise_and_repetition():
