@@ -164,18 +164,17 @@ def kept_share(labels: DataFrame, slack: float) -> float:
     return min(1.0, share + max(slack, 2 * math.sqrt(share * (1 - share) / n)))
 
 
-def weighed(docs: DataFrame, labels: DataFrame, s: Scratch, columns: list[str], name: str, most_target: int = 20_000, share: float | None = None, slack: float = 0.01, seed: int = 0) -> tuple[DataFrame, float | None]:
-    """The named columns of docs with the weight struct of each text as `name`, written once, and the least sample_key
+def weighed(docs: DataFrame, labels: DataFrame, s: Scratch, columns: list[str], most_target: int = 20_000, share: float | None = None, slack: float = 0.01, seed: int = 0) -> tuple[Column, DataFrame, float | None]:
+    """The weight struct of each text, a written table of the named columns and `w`, that struct, and the least sample_key
     that stays (None: all stay).
 
     Equal texts have equal keys and share their fate, so a tie at the edge stays whole. Null and empty texts weigh 0.
     With no labelled good text all ratios are 0. Every document stays if none is labelled.
     """
     weight = weight_column(docs.sparkSession, fit(docs, labels, most_target), F.col("text"), seed)
-    rows = s.keep(docs.select(*columns, weight.alias(name)), "quality-weights")
-    keys = rows.select(F.col(f"{name}.sample_key").alias("key"))
+    rows = (s.keep if columns else s.cut)(docs.select(*columns, weight.alias("w")), "quality-weights")
     wanted = kept_share(labels, slack) if share is None else share
-    return rows, top_k_threshold(keys, "key", math.ceil(wanted * keys.count()))
+    return weight, rows, top_k_threshold(rows.select(F.col("w.sample_key").alias("key")), "key", math.ceil(wanted * rows.count()))
 
 
 def score(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
@@ -184,14 +183,14 @@ def score(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
     Repeated rows and null ids give a row each; an empty table gives an empty result; other columns are ignored.
     """
     with Scratch(docs.sparkSession) as s:
-        rows, edge = weighed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, s, ["doc_id"], "w", **settings)
+        _, rows, edge = weighed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, s, ["doc_id"], **settings)
     kept = F.lit(True) if edge is None else F.col("w.sample_key") >= F.lit(edge)
     return rows.select("doc_id", "w.log_weight", "w.n_grams", "w.sample_key", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
-    """The rows of docs, with all their columns, that importance resampling keeps."""
-    name = next(n for n in (f"_weight{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    """The rows of docs, with all their columns, that importance resampling keeps. Only weights are written: a text is
+    weighed once to find the edge and once more where the result is read, which costs less than another copy of all texts."""
     with Scratch(docs.sparkSession) as s:
-        rows, edge = weighed(docs, labels, s, docs.columns, name, **settings)
-    return (rows if edge is None else rows.filter(F.col(f"{name}.sample_key") >= F.lit(edge))).drop(name)
+        weight, _, edge = weighed(docs, labels, s, [], **settings)
+    return docs if edge is None else docs.filter(weight["sample_key"] >= F.lit(edge))
