@@ -78,5 +78,5 @@ def test_empty_tables(spark, folder, tmp_path):
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert corpus_pipeline.ORACLE_SQL is None and set(entry.oracle_sql()) <= names
