@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.functions.names import walk_order
+from mediacat.operators.joins import spread_join
+from mediacat.sources.scratch import Scratch
 
 
 def content_key(content_hash: Column, path: Column) -> Column:
@@ -40,12 +44,31 @@ def hash_files(files: DataFrame, cache: DataFrame, hasher: Column) -> DataFrame:
     return found.filter("hash is not null").unionByName(found.filter("hash is null").drop("hash").withColumn("hash", hasher))
 
 
-def size_groups(files: DataFrame, hasher: Column) -> DataFrame:
-    """files (rel_path, size) with `grp`: files of a size of their own are never hashed; others share a group by hash."""
-    sized = files.withColumn("n_same", F.count("*").over(Window.partitionBy("size")))
-    lone = sized.filter("n_same = 1").withColumn("grp", F.concat(F.lit("size:"), F.col("size").cast("string")))
-    rest = sized.filter("n_same > 1").withColumn("grp", F.coalesce(hasher, F.concat(F.lit("nohash:"), F.col("rel_path"))))
-    return lone.unionByName(rest).drop("n_same")
+def shared(files: DataFrame, keys: list[str]) -> DataFrame:
+    """files with `is_shared`: whether another row has the same keys, null keys being equal. The rows of a key are counted by
+    partial aggregates and dealt over many tasks."""
+    bound = [f"_{k}" for k in keys]
+    dealt = files.withColumns({f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in keys})
+    twice = dealt.groupBy(*bound).agg(F.count("*").alias("n")).filter("n > 1").select(*bound, F.lit(True).alias("is_shared"))
+    return spread_join(dealt, twice, bound, ["rel_path"], "left").drop(*bound).withColumn("is_shared", F.coalesce("is_shared", F.lit(False)))
+
+
+def size_groups(files: DataFrame, hasher: Column, sketch: Column | None = None) -> DataFrame:
+    """files (rel_path, size) with `grp`. Files of a size of their own are never read; with a sketch (a hash of a few bytes, such
+    as `content.edge_hash`) those of a size and sketch of their own are not hashed whole either; the others share a group
+    by hash."""
+    columns = files.columns
+    sized = shared(files, ["size"])
+    lone = sized.filter("NOT is_shared").withColumn("grp", F.concat(F.lit("size:"), F.col("size").cast("string")))
+    rest = sized.filter("is_shared").drop("is_shared")
+    parts = [lone.select(*columns, "grp")]
+    if sketch is not None:
+        with Scratch(files.sparkSession) as s:
+            rest = shared(s.keep(rest.withColumn("sketch", sketch), "sketches"), ["size", "sketch"])  # written, so that a file is read once for it
+        parts.append(rest.filter("NOT is_shared").withColumn("grp", F.concat_ws(":", F.lit("part"), "size", "sketch", F.when(F.col("sketch").isNull(), F.col("rel_path")))).select(*columns, "grp"))
+        rest = rest.filter("is_shared")
+    parts.append(rest.withColumn("grp", F.coalesce(hasher, F.concat(F.lit("nohash:"), F.col("rel_path")))).select(*columns, "grp"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merge_duplicates(photos: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from mediacat.functions.sidecars import sidecar, title
 from mediacat.operators import albums as A
 from mediacat.operators import dating, naming, registry
 from mediacat.operators.matching import match_sidecars
-from mediacat.sources import content, stores
+from mediacat.sources import content, copies, stores, tagtool
+from mediacat.sources.scratch import Scratch
 from mediacat.sources.tree import read_tree
 
 
@@ -60,14 +61,15 @@ def dates_only(spark: SparkSession, root: str, settings: Settings) -> DataFrame:
 
 def _propose(spark: SparkSession, root: str, photos: DataFrame, sidecars: DataFrame, settings: Settings) -> DataFrame:
     excluded = stores.exclusions_table(spark, settings.exclusions) if settings.exclusions else None
-    tags = content.exif_tags(photos.select(F.col("src_path").alias("rel_path")), root) if settings.read_tags else None
+    tags = tagtool.exif_tags(photos.select(F.col("src_path").alias("rel_path")), root) if settings.read_tags else None
     return dating.propose_dates(photos, sidecars, settings.as_of_year, settings.patterns, excluded, tags)
 
 
 def catalog(spark: SparkSession, root: str, settings: Settings, cache: DataFrame | None = None, target: str = "") -> Catalog:
     media, sidecars = scan(spark, root, settings)
     cache = cache if cache is not None else spark.createDataFrame([], stores.CACHE_DDL)
-    hashed = registry.hash_files(media, cache, content.content_hash(root, F.col("rel_path"))).persist()  # used by cache, registry and review
+    with Scratch(spark) as s:  # written, since cache, registry and review read it and no file should be hashed twice
+        hashed = s.keep(registry.hash_files(media, cache, content.content_hash(root, F.col("rel_path"))), "hashed")
     unique = registry.register(hashed)
     proposals = _propose(spark, root, unique, sidecars, settings)
     dated = dating.apply_dates(proposals).withColumn("grp", registry.content_key(F.col("hash"), F.col("src_path")))
@@ -95,7 +97,14 @@ def apply(found: Catalog, source: str, target: str, dry_run: bool = True, confir
         return found.manifest.select("dst_path", F.lit(None).cast("string").alias("error"))
     if confirm.strip().upper() != "APPLY":
         raise PermissionError("a real run needs confirm='APPLY'")
-    return content.copy_files(found.manifest, source, target)
+    return copies.copy_files(found.manifest, source, target)
+
+
+def apply_tags(found: Catalog, copied: DataFrame, target: str, journal: str, settings: Settings) -> DataFrame:
+    """Writes the tags of the files that `apply` has copied without an error, in batches of settings.tag_batch, and returns
+    (dst_path, error); see tagtool.write_tags."""
+    good = copied.filter("error IS NULL").select("dst_path")
+    return tagtool.write_tags(found.tags.join(good, "dst_path"), target, journal, settings.tag_batch)
 
 
 def parse_index_list(text: str, n: int) -> list[int]:

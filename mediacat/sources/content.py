@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
-import shutil
-import subprocess
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
@@ -36,6 +32,26 @@ def content_hash(root: str, path: Column) -> Column:
     return run(path)
 
 
+def edge_hash(root: str, path: Column, size: int = 4096) -> Column:
+    """SHA-256 in hex of the first and last bytes of a file; null if it cannot be read."""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series) -> pd.Series:
+        def one(rel: str | None) -> str | None:
+            try:
+                with open(os.path.join(root, rel), "rb") as f:
+                    digest = hashlib.sha256(f.read(size))
+                    f.seek(max(0, os.fstat(f.fileno()).st_size - size))
+                    digest.update(f.read(size))
+                    return digest.hexdigest()
+            except (OSError, TypeError):
+                return None
+
+        return paths.map(one)
+
+    return run(path)
+
+
 def file_head(root: str, path: Column, size: int = 12) -> Column:
     """The first bytes of a file; null if it cannot be read."""
 
@@ -68,52 +84,3 @@ def file_text(root: str, path: Column) -> Column:
         return paths.map(one)
 
     return run(path)
-
-
-EXIF_DDL = "rel_path string, date_time_original string, create_date string, media_create_date string, track_create_date string"
-
-
-def exif_tags(files: DataFrame, root: str, tool: str = "exiftool", batch: int = 100) -> DataFrame:
-    """Date tags of files (rel_path) by an external tool, a process a batch; all null where the tool is missing or fails."""
-    fields = ("DateTimeOriginal", "CreateDate", "MediaCreateDate", "TrackCreateDate")
-
-    def read(paths: list[str]) -> list[dict]:
-        if not shutil.which(tool):
-            return [{} for _ in paths]
-        args = [tool, "-json", "-charset", "filename=utf8", *[f"-{f}" for f in fields], "--", *[os.path.join(root, p) for p in paths]]
-        try:
-            found = {os.path.relpath(x["SourceFile"], root): x for x in json.loads(subprocess.run(args, capture_output=True, timeout=600, check=False).stdout or b"[]")}
-        except (OSError, ValueError, subprocess.TimeoutExpired):
-            found = {}
-        return [found.get(os.path.normpath(p), {}) for p in paths]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            paths = part["rel_path"].tolist()
-            rows = [x for i in range(0, len(paths), batch) for x in read(paths[i : i + batch])]
-            yield pd.DataFrame({"rel_path": paths} | {c: [r.get(f) for r in rows] for c, f in zip(("date_time_original", "create_date", "media_create_date", "track_create_date"), fields, strict=True)}, dtype=object)
-
-    return files.select("rel_path").mapInPandas(run, EXIF_DDL)
-
-
-def copy_files(manifest: DataFrame, source: str, target: str) -> DataFrame:
-    """Copies manifest rows (src_path, dst_path) in tasks and returns (dst_path, error). A copy is written beside its place
-    and renamed, so a task that runs again does no harm; modification times are not kept."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            errors = []
-            for src, dst in zip(part["src_path"], part["dst_path"], strict=True):
-                to = os.path.join(target, dst)
-                try:
-                    os.makedirs(os.path.dirname(to), exist_ok=True)
-                    shutil.copyfile(os.path.join(source, src), f"{to}.part{os.getpid()}")
-                    with open(f"{to}.part{os.getpid()}", "rb+") as f:
-                        os.fsync(f.fileno())
-                    os.replace(f"{to}.part{os.getpid()}", to)
-                    errors.append(None)
-                except OSError as e:
-                    errors.append(str(e))
-            yield pd.DataFrame({"dst_path": part["dst_path"], "error": pd.Series(errors, dtype=object, index=part.index)})
-
-    return manifest.select("src_path", "dst_path").mapInPandas(run, "dst_path string, error string")
