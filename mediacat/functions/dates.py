@@ -6,20 +6,18 @@ expressions as well.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mediacat.functions.layouts import layout_timestamp
 from mediacat.functions.names import trimmed
+from mediacat.functions.patterns import PatternError, compiles, to_java
 
 # Accuracy ranks, lower is better.
 FROM_SIDECAR, FROM_NAME, FROM_TAGS, NO_DATE = 1, 2, 3, 99
 
-CENTURY, MONTH, DAY = "(20|19|18)[0-9]{2}", "(0[1-9]|1[0-2])", "[0-3][0-9]"
-
-
 @dataclass(frozen=True)
 class NamePattern:
     """A regular expression, how to parse its match, and a literal that must stand in the match in this very case."""
@@ -31,12 +29,12 @@ class NamePattern:
 
 # The built-in name patterns in order; the first whose leftmost match parses wins.
 NAME_PATTERNS = (
-    NamePattern(f"{CENTURY}{MONTH}{DAY}-[0-9]{{6}}", "yyyyMMdd-HHmmss"),
-    NamePattern(f"{CENTURY}{MONTH}{DAY}_[0-9]{{6}}", "yyyyMMdd_HHmmss"),
-    NamePattern(f"{CENTURY}-{MONTH}-{DAY}-[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}", "yyyy-MM-dd-HH-mm-ss"),
-    NamePattern(f"{CENTURY}-{MONTH}-{DAY}-[0-9]{{6}}", "yyyy-MM-dd-HHmmss"),
-    NamePattern(f"{CENTURY}{MONTH}{DAY}[0-9]{{7,}}", "first14"),
-    NamePattern(f"{CENTURY}_{MONTH}_{DAY}_[0-9]{{2}}_[0-9]{{2}}_[0-9]{{2}}", "yyyy_MM_dd_HH_mm_ss"),
+    NamePattern("(20|19|18)[0-9]{2}(0[1-9]|1[0-2])[0-3][0-9]-[0-9]{6}", "yyyyMMdd-HHmmss"),
+    NamePattern("(20|19|18)[0-9]{2}(0[1-9]|1[0-2])[0-3][0-9]_[0-9]{6}", "yyyyMMdd_HHmmss"),
+    NamePattern("(20|19|18)[0-9]{2}-(0[1-9]|1[0-2])-[0-3][0-9]-[0-9]{2}-[0-9]{2}-[0-9]{2}", "yyyy-MM-dd-HH-mm-ss"),
+    NamePattern("(20|19|18)[0-9]{2}-(0[1-9]|1[0-2])-[0-3][0-9]-[0-9]{6}", "yyyy-MM-dd-HHmmss"),
+    NamePattern("(20|19|18)[0-9]{2}(0[1-9]|1[0-2])[0-3][0-9][0-9]{7,}", "first14"),
+    NamePattern("(20|19|18)[0-9]{2}_(0[1-9]|1[0-2])_[0-3][0-9]_[0-9]{2}_[0-9]{2}_[0-9]{2}", "yyyy_MM_dd_HH_mm_ss"),
     NamePattern("(IMG|VID)-[0-9]{8}-WA[0-9]+", "whatsapp"),
     NamePattern("Snapchat-([0-9]{10})", "seconds"),
     NamePattern("PXL_[0-9]{8}_[0-9]{6}", "yyyyMMdd_HHmmss", "PXL_"),
@@ -68,67 +66,35 @@ def name_date(name: Column) -> Column:
     return F.coalesce(*[_value(F.regexp_substr(name, F.lit("(?i)" + p.regex)), p) for p in NAME_PATTERNS])
 
 
-# Elements of date layouts given by example, longest first, and the pattern letters they stand for.
-LAYOUT_PARTS = {
-    "January": "MMMM", "Monday": "EEEE", "-07:00": "xxx", "Z07:00": "XXX", "-0700": "xx", "Z0700": "XX", "2006": "yyyy", "Jan": "MMM", "Mon": "EEE", "-07": "x",
-    "01": "MM", "02": "dd", "15": "HH", "03": "hh", "04": "mm", "05": "ss", "06": "yy", "PM": "a", "1": "M", "2": "d", "3": "h", "4": "m", "5": "s",
-}
-UNSUPPORTED = ("MST", "pm", "_2", "002", ".000", ",000", ".999", ",999")
-
-
-def java_layout(example: str) -> str:
-    """Pattern letters for a layout given by example (2006-01-02 15:04:05); ValueError for elements without one."""
-    out, at = [], 0
-    while at < len(example):
-        if bad := next((u for u in UNSUPPORTED if example.startswith(u, at)), None):
-            raise ValueError(f"layout element {bad!r} is not supported")
-        part = next((k for k in sorted(LAYOUT_PARTS, key=len, reverse=True) if example.startswith(k, at)), None)
-        if part:
-            out.append(LAYOUT_PARTS[part])
-            at += len(part)
-        else:
-            c = example[at]
-            out.append("''" if c == "'" else f"'{c}'" if c.isalpha() or c in "[]{}#" else c)
-            at += 1
-    return "".join(out)
-
-
 def layout_date(text: Column, layout: str) -> Column:
     """A text by a layout given by example, or by UNIX or UNIXMS (any case); null if it does not parse whole."""
     kind = layout.strip().upper()
     if kind in ("UNIX", "UNIXMS"):
         n = F.when(trimmed(text).rlike(r"\A[+-]?[0-9]+\z"), trimmed(text).try_cast("bigint"))
         return F.timestamp_seconds(n) if kind == "UNIX" else F.timestamp_millis(n)
-    literal_checks = [w for w in re.findall(r"'([^']+)'", java_layout(layout))]
-    value = parsed(text, java_layout(layout))
-    for w in literal_checks:
-        value = F.when(F.contains(text, F.lit(w)), value)
-    return value
+    return layout_timestamp(text, layout)
 
 
 @dataclass(frozen=True)
 class CustomPattern:
+    """A user's pattern, in RE2 syntax, and the layout of what it finds."""
+
     regex: str
     layout: str
 
-    @property
-    def java(self) -> str:
-        return self.regex.replace("(?P<", "(?<")
-
     def usable(self) -> bool:
-        """Blank or malformed entries are passed over, as are layouts that have no pattern letters."""
+        """Blank entries and those that are not RE2 syntax or that the JVM does not compile are passed over."""
         if not self.regex.strip() or not self.layout.strip():
             return False
         try:
-            re.compile(self.regex)
-            return self.layout.strip().upper() in ("UNIX", "UNIXMS") or bool(java_layout(self.layout))
-        except (re.error, ValueError):
+            return compiles(to_java(self.regex)[0])
+        except PatternError:
             return False
 
     def target(self, name: Column) -> Column:
         """The first group if there is one, else the whole match; null without a match."""
-        group = 1 if re.compile(self.regex).groups else 0
-        return F.when(name.rlike(self.java), F.regexp_extract(name, self.java, group))
+        java, groups = to_java(self.regex)
+        return F.when(name.rlike(java), F.regexp_extract(name, java, min(groups, 1)))
 
     def date(self, name: Column) -> Column:
         return layout_date(self.target(name), self.layout)

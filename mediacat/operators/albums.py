@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.names import trimmed
@@ -45,6 +45,24 @@ def select_albums(albums: list[str], spec: str | None) -> list[str]:
     return list(picked)
 
 
+def selected_albums(albums: DataFrame, spec: str | None) -> DataFrame:
+    """(ord, album): `select_albums` over a table (album) of distinct names. The user's items are joined with the albums that
+    they name, so the driver sees no album; an item that names none fails the query."""
+    text, ddl = (spec or "").strip(), "ord int, place int, key string"
+    if text.lower() == "all":
+        return albums.select(F.row_number().over(Window.orderBy("album")).alias("ord"), "album")
+    items = [p.strip() for p in text.split(",") if p.strip()]
+    places = [int(p) if p.lstrip("+-").isdecimal() and p.isascii() else None for p in items]
+    asked = albums.sparkSession.createDataFrame([(i, n, None if n is not None else p.lower()) for i, (n, p) in enumerate(zip(places, items, strict=True))], ddl)
+    first = albums.orderBy("album").limit(max([0, *(n for n in places if n is not None)]))  # no further than the user's largest number
+    first = first.select(F.row_number().over(Window.orderBy("album")).alias("place"), F.col("album").alias("by_place"))
+    named = albums.groupBy(F.lower("album").alias("key")).agg(F.max("album").alias("by_name"))
+    found = asked.join(first, "place", "left").join(named, "key", "left")
+    missing = F.raise_error(F.concat(F.lit("no such album: "), F.coalesce("key", F.col("place").cast("string")))).cast("string")
+    picked = found.select("ord", F.coalesce("by_place", "by_name", missing).alias("album")).groupBy("album").agg(F.min("ord").alias("at"))
+    return picked.select(F.row_number().over(Window.orderBy("at")).alias("ord"), "album")
+
+
 def final_album(albums: Column, priority: list[str]) -> Column:
     """The first selected album that a photo has; null for none."""
     if not priority:

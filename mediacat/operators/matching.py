@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.functions import names as N
-from mediacat.operators.joins import spread_join
+from mediacat.sources.scratch import Scratch
 
 
 def sidecar_index(sidecars: DataFrame) -> DataFrame:
@@ -50,18 +50,23 @@ def match_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """media (rel_path) with sidecar_path and rule added; null where no rule finds one.
 
     A file asks for each key twice, for the first offer and for the first whose name fits, and each has one answer at
-    most. So the join is no larger than twice the asked keys, and a key that many files ask for is dealt over many tasks.
+    most. So the join is no larger than twice the asked keys. Its sides are shuffled as they are, so that Spark can split a
+    key that many files ask for; the offers are written before, what each file found after it, so each part of the
+    plan runs once.
     """
-    asked = media.select("rel_path").distinct().select("rel_path", F.explode(probes(F.col("rel_path"))).alias("p")).select("rel_path", "p.*")
-    asked = asked.withColumn("fit", F.explode(F.array_distinct(F.array(F.lit(""), "base")))).drop("base")
-    hit = spread_join(asked, sidecar_index(sidecars), ["kind", "key", "fit"], ["rel_path"])
-    rank = F.struct("rule", "ord", (F.col("fit") == "").alias("misfit"), N.walk_order(F.col("json_path")).alias("walk"))
-    best = hit.groupBy("rel_path").agg(F.min_by(F.struct("json_path", "rule"), rank).alias("best"))
-    found = media.join(best, "rel_path", "left").select(*[media[c] for c in media.columns], "best")
-    short = prefix_matches(found.filter("best is null or best.rule > 6").select("rel_path").distinct(), sidecars)
-    out = found.join(short, "rel_path", "left")
-    path = F.coalesce("short_path", "best.json_path")
-    return out.select(*[found[c] for c in media.columns], path.alias("sidecar_path"), F.when(F.col("short_path").isNotNull(), 6).otherwise(F.col("best.rule")).alias("rule"))
+    with Scratch(media.sparkSession) as s:
+        index = s.cut(sidecar_index(sidecars), "index")
+        asked = media.select("rel_path", F.explode(probes(F.col("rel_path"))).alias("p")).select("rel_path", "p.*")
+        asked = asked.withColumn("fit", F.explode(F.array_distinct(F.array(F.lit(""), "base")))).drop("base")
+        rank = F.struct("rule", "ord", (F.col("fit") == "").alias("misfit"), N.walk_order(F.col("json_path")).alias("walk"))
+        best = asked.join(index, ["kind", "key", "fit"]).groupBy("rel_path").agg(F.min_by(F.struct("json_path", "rule"), rank).alias("_best"))
+        found = s.keep(media.join(best, "rel_path", "left").select(*[media[c] for c in media.columns], "_best"), "found")
+    open_ones = found.filter("_best is null or _best.rule > 6")
+    short = prefix_matches(open_ones.select("rel_path").distinct(), sidecars)
+    closed = found.filter("_best.rule <= 6").select(*media.columns, F.col("_best.json_path").alias("sidecar_path"), F.col("_best.rule").alias("rule"))
+    rest = open_ones.join(short, "rel_path", "left")
+    path = F.coalesce("short_path", "_best.json_path")
+    return closed.unionByName(rest.select(*media.columns, path.alias("sidecar_path"), F.when(F.col("short_path").isNotNull(), 6).otherwise(F.col("_best.rule")).alias("rule")))
 
 
 def prefix_matches(media: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -72,12 +77,12 @@ def prefix_matches(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """
     base = N.base_name(F.col("rel_path"))
     stems = media.select("rel_path", N.folder(F.col("rel_path")).alias("folder"), F.lower(N.extension(base)).alias("ext"), F.lower(N.stem(base)).alias("part")).filter("ext <> ''")
-    lengths = stems.groupBy("folder", "ext").agg(F.collect_set(F.length("part")).alias("lengths"))  # file names are short
+    with Scratch(media.sparkSession) as s:
+        lengths = s.keep(stems.groupBy("folder", "ext").agg(F.collect_set(F.length("part")).alias("lengths")), "lengths")  # file names are short
     title = F.lower("title")
     offers = sidecars.filter(N.is_sidecar(F.col("json_path")) & F.col("title").isNotNull()).select("json_path", N.folder(F.col("json_path")).alias("folder"), F.lower(N.extension(title)).alias("ext"), title.alias("title"))
-    offers = spread_join(offers, lengths, ["folder", "ext"], ["json_path"])
-    offers = offers.withColumn("stem", F.substr("title", F.lit(1), F.length("title") - F.length("ext")))
+    offers = offers.join(lengths, ["folder", "ext"]).withColumn("stem", F.substr("title", F.lit(1), F.length("title") - F.length("ext")))
     cut = offers.select("folder", "ext", "json_path", "stem", F.explode("lengths").alias("n")).filter(F.col("n") <= F.length("stem"))
     rank = F.struct(F.octet_length("stem"), N.walk_order(F.col("json_path")))
     best = cut.groupBy("folder", "ext", F.substr("stem", F.lit(1), F.col("n")).alias("part")).agg(F.min_by("json_path", rank).alias("short_path"))
-    return spread_join(stems, best, ["folder", "ext", "part"], ["rel_path"]).select("rel_path", "short_path")
+    return stems.join(best, ["folder", "ext", "part"]).select("rel_path", "short_path")

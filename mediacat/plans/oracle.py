@@ -111,4 +111,6 @@ ORACLE = {
     "q25_tag_manifest": f"SELECT dst_path, CAST(i - 1 AS INTEGER) AS ord, tags[i].tag AS tag, tags[i].op AS op, tags[i].value AS value FROM (SELECT dst_path, tags, unnest(range(1, len(tags) + 1)) AS i FROM (SELECT dst_path, {TAGS} AS tags FROM ({ENTRIES}) WHERE fits))",
     "q26_origin_label": f"SELECT event_id, {LABEL} AS label FROM ({ENTRIES})",
     "q27_writable_meta": f"SELECT event_id, taken IS NOT NULL OR creation IS NOT NULL OR lat IS NOT NULL OR description <> '' OR favorited OR ann OR app <> '' OR parts <> '' AS writable FROM ({ENTRIES})",
+    "q28_custom_patterns": "SELECT doc_id, " + ", ".join(f"CASE WHEN regexp_matches(name, '{p}') THEN regexp_extract(name, '{p}', 1) ELSE '-' END AS p{i}" for i, p in enumerate(Q.CUSTOM, 1)) + f" FROM ({NAMED})",
+    "q29_layouts": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN epoch_us(ts) // 1000 * 1000 WHEN 1 THEN epoch_us(ts) // 1000000 * 1000000 WHEN 2 THEN epoch_us(ts) // 1000000 * 1000000 WHEN 3 THEN epoch_us(ts) // 60000000 * 60000000 WHEN 4 THEN epoch_us(ts) // 10000 * 10000 WHEN 5 THEN epoch_us(ts) // 3600000000 * 3600000000 END AS micros FROM events",
 }

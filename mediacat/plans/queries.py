@@ -46,6 +46,12 @@ EXT = "CASE doc_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.heif'
 SHOT = "source || '/' || lang || '/' || CASE WHEN doc_id % 5 = 0 THEN 'shot.JPEG' ELSE 'IMG_' || CAST(doc_id % 50 AS STRING) || '.jpeg' END"
 PRIORITY = ["src3", "src1", "src9", "src7"]
 SPEC = " 3, SRC1 ,2,src5,3, "
+CUSTOM = [r"(?P<a_b>[0-9]{8})", r"[^[]([0-9]{8})", r"\pL+[_-](\d+)\.[[:alpha:]]+\z", r"(?i)img(?U).+(\d+)", r"\b(\w+?)\.(?:jpe?g|HEIC)$", r"(?s)\Q-\E(?P<x>[[:digit:]-]{3,}?)\x30"]
+#: A layout, and how Spark writes a moment of the table that way (null parts of a day are lost).
+LAYOUTS = [
+    ("2006-01-02 15:04:05.000", "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"), ("_2 Jan 2006 3:04:05pm", "concat(lpad(day(ts), 2, ' '), date_format(ts, ' MMM yyyy h:mm:ss'), lower(date_format(ts, 'a')))"), ("2006.002 15:4:5", "date_format(ts, 'yyyy.DDD H:m:s')"),
+    ("Mon, 02 January 06 03:04 PM MST", "date_format(ts, \"EEE, dd MMMM yy hh:mm a 'UTC'\")"), ("2006-01-02T15:04:05-0700", "date_format(ts + INTERVAL 90 MINUTES, \"yyyy-MM-dd'T'HH:mm:ss.SS'+0130'\")"), ("1/2/06,3PM", "date_format(ts, 'M/d/yy,ha')"), ("2006-01-02", "concat(date_format(ts, 'yyyy-MM-dd'), 'x')"),
+]
 PREVIEW = D.CustomPattern(r"VID_(\d{8}_\d{6})", "20060102_150405")
 
 
@@ -170,8 +176,7 @@ def q19_distinct_albums(spark, d):
 
 
 def q20_album_select(spark, d):
-    names = [r["album"] for r in q19_distinct_albums(spark, d).collect()]  # album names, for a selection by a user
-    return spark.createDataFrame(list(enumerate(albums.select_albums(names, SPEC), 1)), "ord int, album string")
+    return albums.selected_albums(q19_distinct_albums(spark, d), SPEC)
 
 
 def q21_final_album(spark, d):
@@ -216,5 +221,22 @@ def q27_writable_meta(spark, d):
     return entries(spark, d).select("event_id", T.has_writable_meta(F.col("meta")).alias("writable"))
 
 
+def q28_custom_patterns(spark, d):
+    rows = named(spark, d)
+    return rows.select("doc_id", *[F.coalesce(p.target(F.col("name")), F.lit("-")).alias(f"p{i}") for i, p in enumerate(map(D.CustomPattern, CUSTOM, CUSTOM), 1)])
+
+
+def q29_layouts(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    kind = F.pmod("event_id", F.lit(len(LAYOUTS)))
+    text, epoch = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    for i, (layout, written) in enumerate(LAYOUTS):
+        text = F.when(kind == i, F.expr(written)).otherwise(text)
+    rows = e.withColumn("text", text)
+    for i, (layout, _) in enumerate(LAYOUTS):
+        epoch = F.when(kind == i, D.layout_date(F.col("text"), layout)).otherwise(epoch)
+    return rows.select("event_id", F.unix_micros(epoch).alias("micros"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "q" and k[1:3].isdigit()}

@@ -111,9 +111,6 @@ def test_best_date(spark):
 
 
 def test_layouts(spark):
-    assert D.java_layout("20060102_150405") == "yyyyMMdd_HHmmss"
-    with pytest.raises(ValueError):
-        D.java_layout("2006 MST")
     assert values(spark, ["20190203", "2019020", "20190231"], lambda c: D.layout_date(c, "20060102").cast("string")) == ["2019-02-03 00:00:00", None, None]
     assert values(spark, ["1500000000", "x"], lambda c: D.layout_date(c, " unix ").cast("long")) == [1500000000, None]
     p = D.CustomPattern(r"x(?P<d>\d{8})", "20060102")
@@ -147,6 +144,16 @@ def test_album_selection():
             albums.select_albums(names, bad)
 
 
+def test_album_selection_as_a_join(spark):
+    names = ["2019", "Fam", "Trip", "fam"]
+    table = spark.createDataFrame([(n,) for n in reversed(names)], "album string")
+    for spec in (" ", "ALL", "4, 1,4,,trip", "FAM", "fam,2,trip"):
+        assert [r["album"] for r in albums.selected_albums(table, spec).orderBy("ord").collect()] == albums.select_albums(names, spec)
+    for bad in ("0", "5", "2019x", "nope"):
+        with pytest.raises(Exception, match="no such album"):
+            albums.selected_albums(table, bad).collect()
+
+
 def test_collisions(spark):
     rows = [("a/x.jpg", "aaaaaaaa1", None), ("b/x.jpg", "bbbbbbbb1", None), ("c/x.jpg", None, None), ("d/x.jpg", None, None), ("e/x-bbbbbbbb.jpg", "c", None), ("f/y.jpg", "d", "My/Trip"), ("g/z.jpg", "eeeeeeee1", None)]
     df = spark.createDataFrame([(*r, "unknown") for r in rows], "src_path string, hash string, final_album string, kind string")
@@ -233,6 +240,13 @@ def test_large_folder_is_matched_by_equal_keys(spark):
     assert got.filter("rule = 6 and substr(rel_path, 7, 5) = substr(sidecar_path, 3, 5)").count() == n
 
 
+def test_cascade_takes_few_exchanges(spark):
+    media = spark.createDataFrame([(p,) for p in MEDIA], "rel_path string")
+    sides = spark.createDataFrame(list(SIDECARS.items()), "json_path string, title string")
+    plan = match_sidecars(media, sides)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 10, plan
+
+
 def test_names_without_rivals_stay(spark):
     rows = spark.range(50_000).selectExpr("format_string('a/IMG-%d.jpg', id) AS src_path", "'00000000ff' AS hash", "CAST(NULL AS STRING) AS final_album", "'unknown' AS kind")
     got = naming.output_manifest(rows)
