@@ -1,17 +1,16 @@
-"""Helpers that several operators share: tables, tables written on the way, bounded Arrow batches."""
+"""Helpers that several operators share: tables and bounded Arrow batches; scratch tables come from the catalog part."""
 
 from __future__ import annotations
 
-import atexit
-import itertools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from mediacat.sources.scratch import Scratch, delete, shared_dir
+
+__all__ = ["BATCH_CHARS", "Scratch", "delete", "map_batches", "record", "shared_dir", "table", "text_groups"]
+
 #: Characters of text that one numpy pass inside a task works on.
 BATCH_CHARS = 1 << 20
 
@@ -20,61 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only a local session, where driver and executors are one
-    machine, may leave it unset; it gets a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="mediacat-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared file system."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def delete_at_exit(spark: SparkSession, path: str) -> None:
-    """Has the file system remove a folder when the driver's JVM ends, whether or not the session was stopped before."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-
-
-class Scratch:
-    """Tables that an operator writes to the shared folder on its way, so that lineage ends there and a lost executor costs
-    no recomputation. Those of `cut` are deleted when the operator is done, those of `keep`, which the result still
-    reads, when the driver ends."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.number = itertools.count()
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        delete(self.spark, self.root)
-
-    def cut(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-        return self._written(df, f"{self.root}/{name}-{next(self.number)}", by)
-
-    def keep(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        kept = self._written(df, path, by)
-        delete_at_exit(self.spark, path)
-        return kept
-
-    def _written(self, df: DataFrame, path: str, by: list[str] | None) -> DataFrame:
-        """by: columns that the table's folders are named by, so that a filter on them reads only its own files."""
-        df.write.parquet(path, partitionBy=by)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
 def text_groups(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most `most` characters each (a longer text is a range of its own)."""
     begin = size = 0
