@@ -36,8 +36,10 @@ BRANCH, DEPTH = 2, 4
 #: counts as alike if this share of its classes is near its pivot.
 ALIKE = 0.2
 SMALL, BLOCK = 64, 512
-#: Random classes of each root that the others are linked to first.
-STARS = 2
+#: Random classes of each root that the others are linked to first; roots that hold the same classes pick the same.
+STARS = 3
+#: Shingles up to which both numbers of each are compared.
+FEW_SHINGLES = 64
 #: Rows of leaves that a task compares at once.
 COMPARE_ROWS, COMPARE_BYTES = 8192, 64_000_000
 #: Edges that one task may contract at the end of connected components (at most 60 MB in Python).
@@ -149,35 +151,44 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(set_id, items) for the classes in needed (doc_id, set_id), from the texts of their representatives."""
-    schema = pa.schema([("set_id", pa.binary()), ("items", pa.binary())])
+    """(set_id, side, items) for the classes in needed (doc_id, set_id, side), from the texts of their representatives."""
+    schema = pa.schema([("set_id", pa.binary()), ("side", pa.int32()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wanted = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            rows = [(w, x.tobytes()) for w, x in zip(wanted, shingle_sets(texts, k), strict=True) if set_id(x) == w]
-            yield record({"set_id": [r[0] for r in rows], "items": [r[1] for r in rows]}, schema)
+            wanted, sides, texts = (batch.column(i).to_pylist() for i in range(3))
+            rows = [(w, s, packed(x)) for w, s, x in zip(wanted, sides, shingle_sets(texts, k), strict=True) if set_id(x) == w]
+            yield record({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
 
     few = needed.count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("set_id", "text")
-    return map_batches(rows, run, "set_id binary, items binary").dropDuplicates(["set_id"])
+    rows = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("set_id", "side", "text")
+    return map_batches(rows, run, "set_id binary, side int, items binary").dropDuplicates(["set_id"])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A set for comparison: both numbers of every shingle of a small set, one of a larger one, where a false link would need
+    dozens of equal numbers at once."""
+    return b"2" + x.tobytes() if len(x) <= FEW_SHINGLES else b"1" + np.ascontiguousarray(x[:, 0]).tobytes()
 
 
 def alike(x: bytes, y: bytes, percent: int) -> bool:
-    """100 * intersection >= percent * union of two full sets."""
-    a, b = np.frombuffer(x, np.uint64).reshape(-1, 2), np.frombuffer(y, np.uint64).reshape(-1, 2)
+    """100 * intersection >= percent * union of two packed sets."""
+    a, b = (np.frombuffer(s, np.uint64, offset=1).reshape(-1, int(s[:1])) for s in (x, y))
     if len(a) > len(b):
         a, b = b, a
     if 100 * len(a) < percent * len(b):
         return False
-    both = int((b[np.minimum(np.searchsorted(b[:, 0], a[:, 0]), len(b) - 1)] == a).all(axis=1).sum())
+    width = min(a.shape[1], b.shape[1])
+    both = int((b[np.minimum(np.searchsorted(b[:, 0], a[:, 0]), len(b) - 1), :width] == a[:, :width]).all(axis=1).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, s: Scratch, hot: bool) -> DataFrame:
-    """The pairs (src, dst) of classes with 100 * intersection >= percent * union of their full sets. hot: one src may have
-    very many pairs."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, s: Scratch) -> DataFrame:
+    """The pairs (src, dst) of classes with 100 * intersection >= percent * union of their full sets. A set is only sent to
+    the side of the join where it stands. One src may have very many pairs: both sides of each join are shuffled as they
+    are written, so that Spark can split them."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("set_id"), F.lit(1).alias("side")), F.struct(F.col("dst").alias("set_id"), F.lit(2).alias("side")))).alias("e")).select("e.*")
+    ends = ends.groupBy("set_id").agg(F.bit_or("side").alias("side"))
     needed = s.cut(classes.select("set_id", "doc_id").join(ends, "set_id"), "needed")
     sets = s.cut(full_sets(docs, needed, k), "sets")
     schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
@@ -188,8 +199,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
             keep = [i for i in range(len(src)) if alike(x[i], y[i], percent)]
             yield record({"src": [src[i] for i in keep], "dst": [dst[i] for i in keep]}, schema)
 
-    one, two = sets.select(F.col("set_id").alias("src"), F.col("items").alias("x")), sets.select(F.col("set_id").alias("dst"), F.col("items").alias("y"))
-    rows = (spread_join(pairs, one, ["src"], ["dst"]) if hot else pairs.join(one, "src")).join(two, "dst")
+    one = sets.filter("side & 1 > 0").select(F.col("set_id").alias("src"), F.col("items").alias("x"))
+    two = sets.filter("side & 2 > 0").select(F.col("set_id").alias("dst"), F.col("items").alias("y"))
+    rows = pairs.join(one, "src").join(two, "dst")
     return map_batches(rows.select("src", "dst", "x", "y"), run, "src binary, dst binary")
 
 
@@ -291,7 +303,7 @@ def compare(leaves: DataFrame, least: int) -> DataFrame:
 def confirm_dense(dense: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, least: int, s: Scratch) -> DataFrame:
     """Links (src, dst) in cells of many alike classes, confirmed on full sets inside the task; of links within one cell
     only those that join components further are returned."""
-    needed = s.cut(classes.select("set_id", "doc_id").join(dense.select("set_id").distinct(), "set_id"), "needed")
+    needed = s.cut(classes.select("set_id", "doc_id", F.lit(3).alias("side")).join(dense.select("set_id").distinct(), "set_id"), "needed")
     sets = s.cut(full_sets(docs, needed, k), "sets")
     schema = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
 
@@ -316,7 +328,7 @@ def confirm_dense(dense: DataFrame, docs: DataFrame, classes: DataFrame, k: int,
                     dst.append(ids[j])
             yield record({"src": src, "dst": dst}, schema)
 
-    return by_cell(dense.join(sets, "set_id").select("cell", "root", "roots", "set_id", "component", "sketch", "items")).mapInArrow(run, "src binary, dst binary")
+    return by_cell(dense.join(sets.drop("side"), "set_id").select("cell", "root", "roots", "set_id", "component", "sketch", "items")).mapInArrow(run, "src binary, dst binary")
 
 
 def in_one_task(edges: DataFrame) -> DataFrame:
@@ -375,7 +387,7 @@ def with_components(tree: DataFrame, joined: DataFrame, s: Scratch) -> DataFrame
 def pivot_pairs(tree: DataFrame, salts: list[int], s: Scratch) -> DataFrame:
     """(node, src, dst, x, y) of (node, set_id, sketch): each class, dst, with the classes src that hashes pick in its node,
     and their sketches, which the rows bring along. A large node's rows are dealt over many tasks."""
-    pick = tree.groupBy("node").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by(F.struct("set_id", "sketch"), F.xxhash64("set_id", "node", F.lit(i))) for i in salts])).alias("picks"))
+    pick = tree.groupBy("node").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by(F.struct("set_id", "sketch"), F.xxhash64("set_id", F.lit(i))) for i in salts])).alias("picks"))
     rows = by_node(tree.select("node", "set_id", "sketch"), pick.filter("n > 1").select("node", "picks"), s, most=MOST_PIVOTS)
     rows = rows.select("node", F.explode("picks").alias("p"), F.col("set_id").alias("dst"), F.col("sketch").alias("y")).filter("p.set_id <> dst")
     return rows.select("node", F.col("p.set_id").alias("src"), "dst", F.col("p.sketch").alias("x"), "y")
@@ -414,7 +426,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
     tree = tree.join(F.broadcast(shared), "node") if n_shared <= MOST_BROADCAST else spread_join(tree, shared, ["node"], ["set_id"])
 
     stars = s.cut(near_pairs(pivot_pairs(tree, list(range(STARS)), s), least).distinct(), "stars")
-    links = s.cut(confirmed(stars, docs, classes, k, percent, s, hot=True), "links")
+    links = s.cut(confirmed(stars, docs, classes, k, percent, s), "links")
     joined = s.cut(connected_components(links, s, spread=False, finish=in_one_task, few=FEW_EDGES), "joined")
 
     leaves = None
@@ -444,7 +456,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int, recall: float, s: Scratch
     if leaves is not None:
         found = s.cut(compare(leaves.join(classes.select("set_id", "sketch"), "set_id"), least), "pairs")
         pairs = found.filter("dst is not null").select(F.least("set_id", "dst").alias("src"), F.greatest("set_id", "dst").alias("dst")).distinct()
-        links = links.unionByName(confirmed(s.cut(pairs, "pairs"), docs, classes, k, percent, s, hot=False))
+        links = links.unionByName(confirmed(s.cut(pairs, "pairs"), docs, classes, k, percent, s))
         dense = found.filter("dst is null")
         if not dense.isEmpty():
             links = links.unionByName(confirm_dense(dense, docs, classes, k, percent, least, s))

@@ -128,7 +128,12 @@ def test_links_are_confirmed_on_both_numbers_of_a_shingle():
     x = np.arange(40, dtype=np.uint64).reshape(-1, 2)
     y = x.copy()
     y[:, 1] += np.uint64(1)
-    assert neardup.alike(x.tobytes(), x.tobytes(), 80) and not neardup.alike(x.tobytes(), y.tobytes(), 80)
+    assert neardup.alike(neardup.packed(x), neardup.packed(x), 80) and not neardup.alike(neardup.packed(x), neardup.packed(y), 80)
+    large = np.arange(400, dtype=np.uint64).reshape(-1, 2)
+    for cut in (161, 160, 159, 60, 50):  # across the size up to which both numbers are kept
+        one, two = neardup.packed(large), neardup.packed(large[:cut])
+        assert neardup.alike(one, two, 80) == neardup.alike(two, one, 80) == (100 * cut >= 80 * 200)
+        assert neardup.alike(neardup.packed(large[:70]), neardup.packed(large[: min(cut, 60)]), 80) == (min(cut, 60) >= 56)
 
 
 def test_recall_of_the_branching(spark):
