@@ -1,7 +1,7 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash cuts every text into chunks at places that its content settles. Chunks that several documents hold are
-encoded once and joined back; the rest is encoded in place. At every join the encoded chunk is trusted only between
+A rolling hash cuts every text into chunks at places that its content settles. Equal texts are encoded once. Chunks that
+several of the different texts hold are encoded once and joined back; the rest is encoded in place. At every join the encoded chunk is trusted only between
 two of its places where a blank follows a visible character (pre-tokens always part there) and where its own tokens
 part too; what lies before, after and between is encoded again. A chunk whose tokens do not decode to the text it
 stands for is not used. So the ids are those of the whole text.
@@ -20,35 +20,32 @@ from pyspark.sql import functions as F
 
 from mediacat.llm.common import Scratch, map_batches, record, text_groups
 from mediacat.llm.pieces import Encoder, encoder
-from mediacat.llm.words import mix
 from mediacat.operators.joins import spread_join
 
 #: Characters under the rolling hash, bits that must be 0 at a cut, and least characters of a chunk.
 WINDOW, CUT_BITS, LEAST = 16, 8, 64
-#: Texts up to which the list of those with shared chunks is broadcast (16 bytes each).
+#: Texts up to which the list of those to encode is broadcast (24 bytes each).
 MOST_BROADCAST = 500_000
+#: Stands for a null id where rows are looked up by id and text; one of the same text with that id gives the same tokens.
+NO_ID = -1
 #: A blank after a visible ASCII character.
 PART = re.compile("(?<=[!-~]) ")
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = pa.schema([("key", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+DDL = "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def chunks_of(text: str) -> tuple[np.ndarray, list[int]]:
     """Bounds of the chunks of a text (n + 1 numbers) and 64 bits of a cryptographic hash of each."""
-    h = np.frombuffer(text.encode("utf-32-le", errors="replace"), np.uint32).astype(np.uint64)
-    n = len(h)
-    places = np.zeros(0, np.int64)
+    h = np.frombuffer(text.encode("utf-32-le", errors="replace"), np.uint32)
+    n, bounds = len(h), [0]
     if n >= WINDOW:
-        h = mix(h)
+        h = h * np.uint32(0x9E3779B1)
         for k in (1, 2, 4, 8):  # hashes of 2, 4, 8 and 16 characters from each place
-            h = h[:-k] * np.uint64(0x9E3779B97F4A7C15) + (h[k:] ^ h[k:] >> np.uint64(31))
-        places = np.flatnonzero(mix(h) >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
-    bounds = [0]
-    while True:  # the next place at least LEAST characters on
-        k = np.searchsorted(places, bounds[-1] + LEAST)
-        if k == len(places):
-            break
-        bounds.append(int(places[k]))
+            h = (h[:-k] ^ h[:-k] >> np.uint32(15)) * np.uint32(0x85EBCA6B) + h[k:]
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        for p in (np.flatnonzero(h < np.uint32(1 << 32 - CUT_BITS)) + WINDOW).tolist():
+            if p - bounds[-1] >= LEAST:  # the next place at least LEAST characters on
+                bounds.append(p)
     if bounds[-1] < n:
         bounds.append(n)
     parts = [text[a:b].encode(errors="replace") for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -121,24 +118,32 @@ def codec(path: str) -> Codec:
 
 
 def find_chunks(rows: DataFrame) -> DataFrame:
-    """(key, start, stop, chunk) of every chunk of every row (key, text)."""
-    schema = pa.schema([("key", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("chunk", pa.int64())])
+    """(doc_id, key, start, stop, chunk) of every chunk of every row (doc_id, key, text); a text without characters has one
+    row without a chunk, so that every row of the input has one that starts at 0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("chunk", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    at, name = chunks_of(text)
-                    for column, values in zip(out, ([key] * len(name), at[:-1].tolist(), at[1:].tolist(), name), strict=True):
-                        column += values
+            out: list[list] = [[] for _ in schema]
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, name = chunks_of(text) if text else (np.zeros(2, np.int64), [None])
+                for column, values in zip(out, ([doc_id] * len(name), [key] * len(name), at[:-1].tolist(), at[1:].tolist(), name), strict=True):
+                    column += values
             yield record(dict(zip(schema.names, out, strict=True)), schema)
 
-    return map_batches(rows, run, "key binary, start int, stop int, chunk long")
+    return map_batches(rows, run, "doc_id long, key binary, start int, stop int, chunk long")
+
+
+def looked_up(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """rows (at, key, text) joined with few (at, key, ...), which has a row for a text. If few is small, its keys are
+    broadcast first, so that no other text is shuffled. The join sorts, so that it can spill."""
+    if few.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(few.select("at", "key")), ["at", "key"], "left_semi")
+    return rows.join(few.hint("merge"), ["at", "key"])
 
 
 def encode_shared(rows: DataFrame, owners: DataFrame, path: str) -> DataFrame:
-    """(chunk, ids): every shared chunk encoded alone, from the text of the document that owns it."""
+    """(chunk, ids): every shared chunk encoded alone, from the text that owns it."""
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,56 +157,44 @@ def encode_shared(rows: DataFrame, owners: DataFrame, path: str) -> DataFrame:
             for a, b in text_groups(parts):
                 yield record({"chunk": names[a:b], "ids": [x.astype("<u4").tobytes() for x in enc.encode(parts[a:b])]}, schema)
 
-    return map_batches(matched(rows, owners, ["key", "doc_id"]).select("text", "own"), run, "chunk long, ids binary").dropDuplicates(["chunk"])
-
-
-def matched(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    """Rows with a partner in few; its keys are broadcast first where their number is small, so that the texts of the
-    others are not shuffled. Rows of one key are dealt over many tasks."""
-    names = {c: f"_{c}" for c in on}
-    few = few.filter(" and ".join(f"{c} is not null" for c in on))
-    if few.count() <= MOST_BROADCAST:
-        keys = few.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
-        rows = rows.join(F.broadcast(keys), [F.col(c) == F.col(n) for c, n in names.items()], "left_semi")
-    return spread_join(rows, few, on, ["doc_id"])
+    return map_batches(looked_up(rows, owners).select("text", "own"), run, "chunk long, ids binary").dropDuplicates(["chunk"])
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded again.
 
     A null or empty text has no tokens. Repeated rows and null ids give a row each; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. Texts are read for their chunks, for the shared chunks and for the whole ids.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.unhex(F.md5("text")))
+    at = F.coalesce("doc_id", F.lit(NO_ID)).alias("at")
     with Scratch(docs.sparkSession) as s:
-        chunks = s.cut(find_chunks(rows.select("key", "text")), "chunks")
-        shared = chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "stop")).alias("own")).filter("n > 1")
-        first = rows.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-        owners = shared.select("chunk", "own.*").groupBy("key").agg(F.collect_list(F.struct("start", "stop", "chunk")).alias("own"))
-        encoded = s.cut(encode_shared(rows, s.cut(owners.join(first, "key"), "owners"), path), "encoded")
-        plan = spread_join(chunks.distinct(), encoded, ["chunk"], ["key", "start"])
-        plan = s.cut(plan.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan")), "plan")
-        return s.keep(coded(rows, plan, path), "round-trip")
-
-
-def coded(rows: DataFrame, plan: DataFrame, path: str) -> DataFrame:
-    """The result of rows (doc_id, text, key) with the chunks of plan (key, plan) reused."""
+        chunks = s.cut(find_chunks(rows.select("doc_id", "key", "text")), "chunks")
+        texts = chunks.filter("start = 0").groupBy("key").agg(F.min(at).alias("at"))
+        shared = chunks.filter("chunk is not null").groupBy("chunk").agg(F.min(F.struct("key", "start", "stop", at)).alias("own"), F.max(F.struct("key", "start")).alias("last"))
+        shared = shared.filter("own.key != last.key OR own.start != last.start").select("chunk", "own.*")
+        owners = s.cut(shared.groupBy("at", "key").agg(F.collect_list(F.struct("start", "stop", "chunk")).alias("own")), "owners")
+        rows = rows.select(at, "key", "text")
+        encoded = s.cut(encode_shared(rows, owners, path), "encoded")
+        plan = spread_join(chunks.select("key", "start", "stop", "chunk").distinct(), encoded, ["chunk"], ["key", "start"])
+        plan = plan.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan"))
+        done = s.cut(coded(looked_up(rows, s.cut(texts.join(plan, "key", "left"), "plan")), path), "coded")
+        ids = chunks.filter("start = 0").select("doc_id", "key")
+        return s.keep(spread_join(ids, done, ["key"], ["doc_id"]).drop("key"), "round-trip")
+
+
+def coded(rows: DataFrame, path: str) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each text of rows (key, text, plan), with the chunks of its plan reused."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in text_groups(texts):
                 plans = [[(x["start"], x["stop"], np.frombuffer(x["ids"], "<u4")) for x in p or ()] for p in batch.column(2).slice(a, b - a).to_pylist()]
                 ids = own.encode(texts[a:b], plans)
                 back = [own.decode(x).decode("utf-8", errors="replace").encode() for x in ids]
-                yield record({"doc_id": doc_ids.slice(a, b - a), "n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]}, SCHEMA)
-
-    if plan.count() <= MOST_BROADCAST:
-        bare = rows.join(F.broadcast(plan.select("key")), "key", "left_anti").withColumn("plan", F.lit(None).cast(plan.schema["plan"].dataType))
-        parts = [matched(rows, plan, ["key"]), bare]
-    else:
-        parts = [spread_join(rows, plan, ["key"], ["doc_id"], "left")]
-    done = [map_batches(x.select("doc_id", "text", "plan"), run, DDL) for x in parts]
-    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
+                yield record({"key": keys.slice(a, b - a), "n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]}, SCHEMA)
+
+    return map_batches(rows.select("key", "text", "plan"), run, DDL).dropDuplicates(["key"])

@@ -518,8 +518,8 @@ def test_round_trip(spark, libraries, monkeypatch, most):
     monkeypatch.setattr(bpe_codec, "MOST_BROADCAST", most)
     rng = random.Random(9)
     shared = " ".join("".join(rng.choice("abcdefgh'") for _ in range(rng.randrange(1, 8))) for _ in range(600))
-    texts = [*ODD, *[f"{i} {'é' * i}{shared}{'!' * i}" for i in range(12)], shared, shared]
-    ids = [*range(len(texts) - 1), None]
+    texts = [*ODD, *[f"{i} {'é' * i}{shared}{'!' * i}" for i in range(12)], *[shared] * 4, "of no id " + shared, "of the stand-in " + shared]
+    ids = [*range(len(texts) - 5), 0, 0, None, None, bpe_codec.NO_ID]  # an id of several texts, repeated rows, null ids
     got = sorted((tuple(r) for r in bpe_codec.round_trip(documents(spark, texts, ids), BYTE).collect()), key=repr)
     lib = libraries[BYTE][1]
     want = []
@@ -535,6 +535,6 @@ def test_shared_chunks_are_encoded_once(spark):
     rng = random.Random(10)
     shared = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(600))
     rows = documents(spark, [f"{i} {shared}" for i in range(9)]).select("doc_id", "text").withColumn("key", F.unhex(F.md5("text")))
-    chunks = bpe_codec.find_chunks(rows.select("key", "text"))
+    chunks = bpe_codec.find_chunks(rows.select("doc_id", "key", "text"))
     often = {r["chunk"]: r["n"] for r in chunks.groupBy("chunk").agg(F.count("*").alias("n")).collect()}
     assert sum(n == 9 for n in often.values()) > 5
