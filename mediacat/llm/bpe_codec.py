@@ -24,7 +24,7 @@ from mediacat.operators.joins import spread_join
 
 #: Characters under the rolling hash, bits that must be 0 at a cut, and least characters of a chunk.
 WINDOW, CUT_BITS, LEAST = 16, 8, 64
-#: Texts up to which the list of those to encode is broadcast (24 bytes each).
+#: Texts to encode, or shared chunks, up to which their list is broadcast (24 bytes each).
 MOST_BROADCAST = 500_000
 #: Stands for a null id where rows are looked up by id and text; one of the same text with that id gives the same tokens.
 NO_ID = -1
@@ -177,7 +177,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         owners = s.cut(shared.groupBy("at", "key").agg(F.collect_list(F.struct("start", "stop", "chunk")).alias("own")), "owners")
         rows = rows.select(at, "key", "text")
         encoded = s.cut(encode_shared(rows, owners, path), "encoded")
-        plan = spread_join(chunks.select("key", "start", "stop", "chunk").distinct(), encoded, ["chunk"], ["key", "start"])
+        places = chunks.select("key", "start", "stop", "chunk")
+        if encoded.count() <= MOST_BROADCAST:  # so that chunks of one text only are not shuffled
+            places = places.join(F.broadcast(encoded.select("chunk")), "chunk", "left_semi")
+        plan = spread_join(s.cut(places.distinct(), "places"), encoded, ["chunk"], ["key", "start"])
         plan = plan.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan"))
         done = s.cut(coded(looked_up(rows, s.cut(texts.join(plan, "key", "left"), "plan")), path), "coded")
         ids = chunks.filter("start = 0").select("doc_id", "key")
