@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.functions import names as N
@@ -13,6 +13,7 @@ from mediacat.functions.sidecars import sidecar, title
 from mediacat.operators import albums as A
 from mediacat.operators import dating, naming, registry
 from mediacat.operators.matching import match_sidecars
+from mediacat.operators.reports import scan_counts
 from mediacat.sources import content, copies, stores, tagtool
 from mediacat.sources.scratch import Scratch
 from mediacat.sources.tree import read_tree
@@ -33,13 +34,14 @@ class Settings:
 
 @dataclass
 class Catalog:
-    """The tables of a run; nothing is written until `apply`."""
+    """The tables of a run; nothing is written until `apply`. counts: the scan summary, taken while media was written."""
 
     media: DataFrame
     proposals: DataFrame
     photos: DataFrame
     manifest: DataFrame
     tags: DataFrame
+    counts: dict[str, int]
 
 
 def scan(spark: SparkSession, root: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -68,8 +70,10 @@ def _propose(spark: SparkSession, root: str, photos: DataFrame, sidecars: DataFr
 def catalog(spark: SparkSession, root: str, settings: Settings, cache: DataFrame | None = None, target: str = "") -> Catalog:
     media, sidecars = scan(spark, root, settings)
     cache = cache if cache is not None else spark.createDataFrame([], stores.CACHE_DDL)
+    seen = Observation()
     with Scratch(spark) as s:  # written, since cache, registry and review read it and no file should be hashed twice
-        hashed = s.keep(registry.hash_files(media, cache, content.content_hash(root, F.col("rel_path"))), "hashed")
+        hashed = registry.hash_files(media, cache, content.content_hash(root, F.col("rel_path")))
+        hashed = s.keep(hashed.observe(seen, *scan_counts()), "hashed")
     unique = registry.register(hashed)
     proposals = _propose(spark, root, unique, sidecars, settings)
     dated = dating.apply_dates(proposals).withColumn("grp", registry.content_key(F.col("hash"), F.col("src_path")))
@@ -78,7 +82,7 @@ def catalog(spark: SparkSession, root: str, settings: Settings, cache: DataFrame
     photos = A.assign_albums(merged, A.select_albums(albums, settings.album_spec)).withColumn("kind", N.file_kind(content.file_head(root, F.col("src_path"))))
     manifest = naming.output_manifest(photos.select("src_path", "hash", "final_album", "kind"), root=target)
     entries = manifest.join(photos.select("src_path", "kind", entry_meta()), "src_path").select("dst_path", "kind", "meta")
-    return Catalog(hashed, proposals, photos, manifest, naming.tag_manifest(entries))
+    return Catalog(hashed, proposals, photos, manifest, naming.tag_manifest(entries), seen.get)
 
 
 def entry_meta():

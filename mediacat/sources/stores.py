@@ -7,11 +7,10 @@ import os
 import time
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mediacat.functions.dates import CustomPattern
+from mediacat.sources.scratch import delete
 
 CACHE_DDL = "path string, size bigint, mtime_ns bigint, hash string"
 
@@ -52,18 +51,42 @@ def exclusions_table(spark: SparkSession, names: set[str]) -> DataFrame:
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the hash cache; one that is missing or cannot be read is empty."""
-    try:
-        every = spark.read.schema(f"{CACHE_DDL}, version bigint").parquet(path)
-        newest = every.agg(F.max("version")).first()[0]
-    except AnalysisException:
-        newest = None
-    return spark.createDataFrame([], CACHE_DDL) if newest is None else every.filter(F.col("version") == newest).drop("version")
-
-
-def save_cache(files: DataFrame, path: str) -> str:
-    """Writes files (rel_path, size, mtime_ns, hash) as a new version below path and returns its folder. Versions are
-    numbered by time, so a cache is never replaced while it is read."""
-    to = f"{path.rstrip('/')}/version={time.time_ns()}"
+    """The current version of the hash cache, the newest that has a commit record; a cache without one is empty."""
+    found = _versions(spark, path)
+    return spark.read.schema(CACHE_DDL).parquet(_folder(path, found[-1])) if found else spark.createDataFrame([], CACHE_DDL)
+
+
+def save_cache(files: DataFrame, path: str, keep: int = 2) -> str:
+    """Writes files (rel_path, size, mtime_ns, hash) as a new version below path and returns its folder.
+
+    A version counts once its commit record exists, an empty file named by the version, so a cache is never replaced while
+    it is read and a failed save is never read. Of older versions the newest keep - 1 stay, for those who still read them.
+    """
+    spark, version = files.sparkSession, time.time_ns()
+    to = _folder(path, version)
     files.filter("hash is not null").selectExpr("rel_path AS path", "size", "mtime_ns", "hash").write.parquet(to)
+    fs, record = _file_system(spark, _record(path, version))
+    fs.createNewFile(record)
+    for old in _versions(spark, path)[: -max(keep, 1)]:  # the record goes first, so that nobody starts to read the version
+        delete(spark, _record(path, old))
+        delete(spark, _folder(path, old))
     return to
+
+
+def _folder(path: str, version: int) -> str:
+    return f"{path.rstrip('/')}/version={version}"
+
+
+def _record(path: str, version: int) -> str:
+    return f"{path.rstrip('/')}/_committed/{version}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions, oldest first."""
+    fs, where = _file_system(spark, f"{path.rstrip('/')}/_committed")
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []

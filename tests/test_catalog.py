@@ -12,7 +12,9 @@ from mediacat.functions import names as N
 from mediacat.functions.sidecars import sidecar, title
 from mediacat.operators import albums, dating, naming, registry
 from mediacat.operators.matching import match_sidecars
+from mediacat.operators.reports import scan_summary
 from mediacat.plans import catalog
+from mediacat.plans.review import DateReview
 from mediacat.sources import stores
 from mediacat.sources.tree import read_tree
 
@@ -216,9 +218,10 @@ def test_real_tree(spark, tmp_path):
         catalog.apply(found, root, target, dry_run=False)
     assert catalog.apply(found, root, target, dry_run=False, confirm="apply").filter("error is not null").count() == 0
     assert os.path.exists(os.path.join(target, "Albums/c%20[1]/x.png"))
-    cache = stores.save_cache(found.media, str(tmp_path / "cache"))
-    again = catalog.catalog(spark, root, settings, stores.load_cache(spark, cache))
-    assert again.photos.count() == 3
+    assert found.counts == scan_summary(found.media).first().asDict() and found.counts["n_files"] == 4
+    stores.save_cache(found.media, str(tmp_path / "cache"))
+    cache = stores.load_cache(spark, str(tmp_path / "cache"))
+    assert cache.count() == 4 and catalog.catalog(spark, root, settings, cache).photos.count() == 3
     assert catalog.dates_only(spark, root, settings).count() == 4
 
 
@@ -261,6 +264,41 @@ def test_cache_versions(spark, tmp_path):
     for h in ("old", "new"):
         stores.save_cache(spark.createDataFrame([("a", 1, 2, h), ("b", 1, 2, None)], "rel_path string, size long, mtime_ns long, hash string"), path)
     assert [tuple(r) for r in stores.load_cache(spark, path).collect()] == [("a", 1, 2, "new")]
+    for i in range(20):
+        stores.save_cache(spark.createDataFrame([("a", 1, 2, f"h{i}")], "rel_path string, size long, mtime_ns long, hash string"), path)
+    assert [r["hash"] for r in stores.load_cache(spark, path).collect()] == ["h19"]
+    assert len(os.listdir(os.path.join(path, "_committed"))) in (2, 4) and sum(x.startswith("version=") for x in os.listdir(path)) == 2  # with checksums
+    broken = spark.createDataFrame([("a", 1, 2, "x")], "rel_path string, size long, mtime_ns long, hash string").withColumn("hash", F.raise_error(F.lit("boom")).cast("string"))
+    with pytest.raises(Exception, match="boom"):
+        stores.save_cache(broken, path)
+    assert [r["hash"] for r in stores.load_cache(spark, path).collect()] == ["h19"]
     files = spark.createDataFrame([("a", 1, 2)], "rel_path string, size long, mtime_ns long")
     stale = spark.createDataFrame([("a", 9, 9, "stale"), ("a", 1, 2, "right"), ("a", 1, 3, "stale")], stores.CACHE_DDL)
     assert [r["hash"] for r in registry.cached_hashes(files, stale).collect()] == ["right"]
+
+
+@pytest.mark.parametrize("first", [[], [D.CustomPattern("cam([0-9]{8})", "20060102")]])
+def test_review_rounds_equal_one_run(spark, first):
+    names = ["cam20200102.jpg", "x/cam20200102.jpg", "on 03-04-2019.jpg", "IMG_20190509_154733.jpg", "t1500000000.jpg", "lost.jpg", "skip 05-06-2018.jpg", "sub/skip 05-06-2018.jpg", "side on 01-01-2001.jpg", "IMG_20190509_154733 on 02-02-2002.jpg"]
+    photos = spark.createDataFrame([(n, f"{n}.json" if n.startswith("side") else None) for n in names], "src_path string, json_path string")
+    sides = spark.createDataFrame([("side on 01-01-2001.jpg.json", '{"photoTakenTime":{"timestamp":"1500000000"}}')], "json_path string, raw string").select("json_path", sidecar(F.col("raw")).alias("meta"))
+    tags = spark.createDataFrame([("lost.jpg", "2011:01:01 00:00:00"), ("t1500000000.jpg", "2012:01:01 00:00:00")], "rel_path string, date_time_original string").selectExpr("*", *[f"CAST(NULL AS STRING) AS {c}" for c in ("create_date", "media_create_date", "track_create_date")])
+    further = [D.CustomPattern("on ([0-9-]{10})", "02-01-2006"), D.CustomPattern("(", "2006"), D.CustomPattern("^t([0-9]+)", "UNIX"), D.CustomPattern("([0-9]{2}-[0-9]{2}-[0-9]{4})", "01-02-2006")]
+    rounds = DateReview(dating.propose_dates(photos, sides, 2024, first, None, tags), 2024, first)
+    assert rounds.counts["rows"] == len(names) and rounds.counts["unknown"] == rounds.counts["open_unknown"] == rounds.unknown().count()
+    rounds.exclude(["skip 05-06-2018.jpg", ""])
+    for p in further:
+        before, met = rounds.counts, rounds.open.count()
+        apart = {os.path.dirname(f.removeprefix("file://")) for part in rounds.settled for f in part.inputFiles() if "is_open=false" in f}
+        for folder in apart:  # settled rows are out of reach while a pattern is added
+            os.rename(folder, folder + ".away")
+        got = rounds.add(p)
+        for folder in apart:
+            os.rename(folder + ".away", folder)
+        assert got == before if not p.usable() else got["rows"] == met
+    hidden = spark.createDataFrame([("skip 05-06-2018.jpg",)], "base string")
+    once = dating.propose_dates(photos, sides, 2024, [*first, *further], hidden, tags)
+    shown = ("src_path", "excluded", "sidecar_time", "name_time", "tag_time", "proposed", "accuracy")
+    assert sorted(map(str, rounds.proposals().select(*shown).collect())) == sorted(map(str, once.select(*shown).collect()))
+    left = {"lost.jpg"} if first else {"lost.jpg", "cam20200102.jpg", "x/cam20200102.jpg"}
+    assert rounds.counts["unknown"] == len(left) and {r["src_path"] for r in rounds.unknown().collect()} == left
