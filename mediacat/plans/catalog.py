@@ -95,18 +95,19 @@ def entry_meta():
     ).alias("meta")
 
 
-def apply(found: Catalog, source: str, target: str, dry_run: bool = True, confirm: str = "") -> DataFrame:
-    """The copies to make (dry run), or the outcome of making them; a real run needs confirm='APPLY' in any case."""
+def apply(found: Catalog, source: str, target: str, dry_run: bool = True, confirm: str = "", seen: Observation | None = None) -> DataFrame:
+    """The copies to make (dry run), or the outcome of making them; a real run needs confirm='APPLY' in any case. A real run's
+    counts, `files` and `failed`, go to `seen`."""
     if dry_run:
         return found.manifest.select("dst_path", F.lit(None).cast("string").alias("error"))
     if confirm.strip().upper() != "APPLY":
         raise PermissionError("a real run needs confirm='APPLY'")
-    return copies.copy_files(found.manifest, source, target)
+    return copies.copy_files(found.manifest, source, target, seen)
 
 
 def apply_tags(found: Catalog, copied: DataFrame, target: str, journal: str, settings: Settings) -> DataFrame:
     """Writes the tags of the files that `apply` has copied without an error, in batches of settings.tag_batch, and returns
-    (dst_path, error); see tagtool.write_tags."""
+    (dst_path, error); see tagtool.write_tags. Counts of the run: tagtool.last_run."""
     good = copied.filter("error IS NULL").select("dst_path")
     return tagtool.write_tags(found.tags.join(good, "dst_path"), target, journal, settings.tag_batch)
 

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from mediacat.sources.scratch import local_uri
@@ -95,13 +96,13 @@ def put_in_place(staged: DataFrame, stage: str, target: str) -> DataFrame:
     return staged.select("dst_path", "staged", "error").mapInPandas(run, OUTCOME_DDL)
 
 
-def copy_files(manifest: DataFrame, source: str, target: str) -> DataFrame:
+def copy_files(manifest: DataFrame, source: str, target: str, seen: Observation | None = None) -> DataFrame:
     """Copies manifest rows (src_path, dst_path) and returns the outcome (dst_path, error), a table that is written once, so
     reading it copies nothing again.
 
     If the job fails, nothing appears below target and its staged copies are removed. The stage is a hidden folder of
     target, so that putting a copy in place is a rename. Files that cannot be read come back with their error;
-    modification times are not kept.
+    modification times are not kept. `seen` gets the counts `files` and `failed` while the outcome is written.
     """
     spark = manifest.sparkSession
     spark.dataSource.register(CopySink)
@@ -117,6 +118,9 @@ def copy_files(manifest: DataFrame, source: str, target: str) -> DataFrame:
         attempts = json.load(f)["attempts"]
     lists = [local_uri(os.path.join(stage, a, "list.json")) for a in attempts]
     staged = spark.read.schema(STAGED_DDL).json(lists) if lists else spark.createDataFrame([], STAGED_DDL)
-    put_in_place(staged, stage, target).write.parquet(f"file://{os.path.abspath(home)}/outcome")
+    outcome = put_in_place(staged, stage, target)
+    if seen is not None:
+        outcome = outcome.observe(seen, F.count(F.lit(1)).alias("files"), F.count("error").alias("failed"))
+    outcome.write.parquet(f"file://{os.path.abspath(home)}/outcome")
     shutil.rmtree(stage, ignore_errors=True)
     return spark.read.schema(OUTCOME_DDL).parquet(local_uri(os.path.join(home, "outcome")))

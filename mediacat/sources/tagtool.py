@@ -193,6 +193,12 @@ class TagWriter(DataSourceWriter):
             json.dump({"batches": sum(m.batches for m in done), "failed": sum(m.failed for m in done)}, f)
 
 
+def last_run(journal: str) -> dict[str, int]:
+    """Counts of the last run of a journal that ended well: `batches` that it sent and files that `failed` in them."""
+    with open(os.path.join(journal, "_committed"), encoding="utf-8") as f:
+        return json.load(f)
+
+
 def batches_of(rows: Iterator[Row]) -> Iterator[tuple[str, list[tuple[str, list[str]]]]]:
     """Name and files (path, arguments) of each batch of rows that are sorted by bucket and batch."""
     name, files = None, []

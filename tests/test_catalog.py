@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from mediacat.functions import dates as D
@@ -216,7 +217,9 @@ def test_real_tree(spark, tmp_path):
     assert paths["c%20[1]/x.jpg"] == "Albums/c%20[1]/x.png" and paths["Google Photos/Photos from 2017/.hid 1.png"] == "Albums/Trip/.hid 1.jpg"
     with pytest.raises(PermissionError):
         catalog.apply(found, root, target, dry_run=False)
-    assert catalog.apply(found, root, target, dry_run=False, confirm="apply").filter("error is not null").count() == 0
+    seen = Observation()
+    assert catalog.apply(found, root, target, dry_run=False, confirm="apply", seen=seen).filter("error is not null").count() == 0
+    assert seen.get == {"files": 3, "failed": 0}
     assert os.path.exists(os.path.join(target, "Albums/c%20[1]/x.png"))
     assert found.counts == scan_summary(found.media).first().asDict() and found.counts["n_files"] == 4
     stores.save_cache(found.media, str(tmp_path / "cache"))

@@ -11,7 +11,7 @@ import sys
 import time
 
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Observation, Row
 from pyspark.sql import functions as F
 
 from mediacat.operators import naming, registry
@@ -94,12 +94,14 @@ def test_copies_are_made_once(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "o [1]")
     touch(source, [f"f{i}" for i in range(20)])
     rows = spark.createDataFrame([(f"f{i}", f"Library/{i % 3}/g{i}") for i in range(20)] + [("lost", "Library/lost")], "src_path string, dst_path string").repartition(3)
-    out = copies.copy_files(rows, source, target)
+    seen, none = Observation(), Observation()
+    out = copies.copy_files(rows, source, target, seen)
+    assert seen.get == {"files": 21, "failed": 1}
     assert out.count() == 21 and [r["dst_path"] for r in out.filter("error is not null").collect()] == ["Library/lost"]
     assert files_below(target) == sorted(f"Library/{i % 3}/g{i}" for i in range(20))
     touch(target, ["Library/0/g0"], b"changed")
     assert out.count() == 21 and open(os.path.join(target, "Library/0/g0"), "rb").read() == b"changed"
-    assert copies.copy_files(rows.limit(0), source, str(tmp_path / "none")).count() == 0
+    assert copies.copy_files(rows.limit(0), source, str(tmp_path / "none"), none).count() == 0 and none.get == {"files": 0, "failed": 0}
 
 
 def test_failed_copies_leave_nothing(spark, tmp_path):
@@ -146,8 +148,11 @@ def test_tags_are_written_in_batches(spark, tmp_path, tool):
     assert sorted(a[-1] for a in sent) == sorted(os.path.join(tmp_path, n) for n in names)
     assert sent[0][:-1] == ["-CreateDate=2020:01:01", "-XMP:Subject+=Ann", "#[CSTR]-XMP:Description=two\\nlines \\\\ \\$x"]
     assert sum(x.startswith("start") for x in log()) <= 4
+    first = tagtool.last_run(str(tmp_path / "j [1]"))
+    assert first["failed"] == 1 and first["batches"] >= len(names) / 4
     assert tagtool.write_tags(tag_rows(spark, names), str(tmp_path), str(tmp_path / "j [1]"), size=4, tool=path, buckets=4).count() == len(names)
     assert len(written(log)) == len(names)  # the same journal: nothing is sent again
+    assert tagtool.last_run(str(tmp_path / "j [1]")) == {"batches": 0, "failed": 0}
 
 
 def test_a_task_that_fails_sends_no_answered_batch_again(tmp_path, tool):
