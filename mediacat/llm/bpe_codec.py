@@ -172,15 +172,20 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     with Scratch(docs.sparkSession) as s:
         chunks = s.cut(find_chunks(rows.select("doc_id", "key", "text")), "chunks")
         texts = chunks.filter("start = 0").groupBy("key").agg(F.min(at).alias("at"))
-        shared = chunks.filter("chunk is not null").groupBy("chunk").agg(F.min(F.struct("key", "start", "stop", at)).alias("own"), F.max(F.struct("key", "start")).alias("last"))
-        shared = shared.filter("own.key != last.key OR own.start != last.start").select("chunk", "own.*")
-        owners = s.cut(shared.groupBy("at", "key").agg(F.collect_list(F.struct("start", "stop", "chunk")).alias("own")), "owners")
+        place = F.xxhash64("key", "start")  # one number a place; equal ones of two places cost a reuse, nothing else
+        shared = chunks.filter("chunk is not null").groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        shared = s.cut(shared.filter("first != last").select("chunk"), "shared")
+        places = chunks.select("doc_id", "key", "start", "stop", "chunk")
+        if shared.count() <= MOST_BROADCAST:  # so that chunks of one text only are not shuffled
+            places = places.join(F.broadcast(shared), "chunk", "left_semi")
+        else:
+            places = spread_join(places, shared, ["chunk"], ["key", "start"])
+        places = s.cut(places.groupBy("key", "start", "stop", "chunk").agg(F.min(at).alias("at")), "places")
+        own = places.groupBy("chunk").agg(F.min(F.struct("key", "start", "stop", "at")).alias("own")).select("chunk", "own.*")
+        owners = s.cut(own.groupBy("at", "key").agg(F.collect_list(F.struct("start", "stop", "chunk")).alias("own")), "owners")
         rows = rows.select(at, "key", "text")
         encoded = s.cut(encode_shared(rows, owners, path), "encoded")
-        places = chunks.select("key", "start", "stop", "chunk")
-        if encoded.count() <= MOST_BROADCAST:  # so that chunks of one text only are not shuffled
-            places = places.join(F.broadcast(encoded.select("chunk")), "chunk", "left_semi")
-        plan = spread_join(s.cut(places.distinct(), "places"), encoded, ["chunk"], ["key", "start"])
+        plan = spread_join(places.drop("at"), encoded, ["chunk"], ["key", "start"])
         plan = plan.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan"))
         done = s.cut(coded(looked_up(rows, s.cut(texts.join(plan, "key", "left"), "plan")), path), "coded")
         ids = chunks.filter("start = 0").select("doc_id", "key")
