@@ -60,6 +60,7 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(enc.alphabet)}
         size = max([*enc.vocab.values(), *enc.library.get_added_tokens_decoder()]) + 1
         self.bytes = [b""] * size
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"  # of ids on their way from task to task
         for token, i in enc.vocab.items():
             self.bytes[i] = bytes(byte_of[c] for c in token)
         for i, token in enc.library.get_added_tokens_decoder().items():
@@ -134,11 +135,13 @@ def find_chunks(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "doc_id long, key binary, start int, stop int, chunk long")
 
 
-def looked_up(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """rows (at, key, text) joined with few (at, key, ...), which has a row for a text. If few is small, its keys are
-    broadcast first, so that no other text is shuffled. The join sorts, so that it can spill."""
+def looked_up(rows: DataFrame, few: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """rows (at, key, text) joined with few, which has a row (at, key, ...) for a text, and with what more has for it. If few
+    is small, its keys are broadcast first, so that no other text is shuffled. The join sorts, so that it can spill."""
     if few.count() <= MOST_BROADCAST:
         rows = rows.join(F.broadcast(few.select("at", "key")), ["at", "key"], "left_semi")
+    if more is not None:
+        few = few.join(more.hint("merge"), ["at", "key"], "left")
     return rows.join(few.hint("merge"), ["at", "key"])
 
 
@@ -147,7 +150,8 @@ def encode_shared(rows: DataFrame, owners: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        own_codec = codec(path)
+        enc = own_codec.enc
         for batch in batches:
             names, parts = [], []
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -155,7 +159,7 @@ def encode_shared(rows: DataFrame, owners: DataFrame, path: str) -> DataFrame:
                     names.append(x["chunk"])
                     parts.append(text[x["start"] : x["stop"]])
             for a, b in text_groups(parts):
-                yield record({"chunk": names[a:b], "ids": [x.astype("<u4").tobytes() for x in enc.encode(parts[a:b])]}, schema)
+                yield record({"chunk": names[a:b], "ids": [x.astype(own_codec.dtype).tobytes() for x in enc.encode(parts[a:b])]}, schema)
 
     return map_batches(looked_up(rows, owners).select("text", "own"), run, "chunk long, ids binary").dropDuplicates(["chunk"])
 
@@ -171,7 +175,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     at = F.coalesce("doc_id", F.lit(NO_ID)).alias("at")
     with Scratch(docs.sparkSession) as s:
         chunks = s.cut(find_chunks(rows.select("doc_id", "key", "text")), "chunks")
-        texts = chunks.filter("start = 0").groupBy("key").agg(F.min(at).alias("at"))
+        texts = s.cut(chunks.filter("start = 0").groupBy("key").agg(F.min(at).alias("at")), "texts")
         place = F.xxhash64("key", "start")  # one number a place; equal ones of two places cost a reuse, nothing else
         shared = chunks.filter("chunk is not null").groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         shared = s.cut(shared.filter("first != last").select("chunk"), "shared")
@@ -185,9 +189,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         owners = s.cut(own.groupBy("at", "key").agg(F.collect_list(F.struct("start", "stop", "chunk")).alias("own")), "owners")
         rows = rows.select(at, "key", "text")
         encoded = s.cut(encode_shared(rows, owners, path), "encoded")
-        plan = spread_join(places.drop("at"), encoded, ["chunk"], ["key", "start"])
-        plan = plan.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan"))
-        done = s.cut(coded(looked_up(rows, s.cut(texts.join(plan, "key", "left"), "plan")), path), "coded")
+        plan = spread_join(places, encoded, ["chunk"], ["key", "start"])  # the least id of a place is that of its text
+        plan = plan.groupBy("at", "key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan"))
+        done = s.cut(coded(looked_up(rows, texts, plan), path), "coded")
         ids = chunks.filter("start = 0").select("doc_id", "key")
         return s.keep(spread_join(ids, done, ["key"], ["doc_id"]).drop("key"), "round-trip")
 
@@ -200,7 +204,7 @@ def coded(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in text_groups(texts):
-                plans = [[(x["start"], x["stop"], np.frombuffer(x["ids"], "<u4")) for x in p or ()] for p in batch.column(2).slice(a, b - a).to_pylist()]
+                plans = [[(x["start"], x["stop"], np.frombuffer(x["ids"], own.dtype)) for x in p or ()] for p in batch.column(2).slice(a, b - a).to_pylist()]
                 ids = own.encode(texts[a:b], plans)
                 back = [own.decode(x).decode("utf-8", errors="replace").encode() for x in ids]
                 yield record({"key": keys.slice(a, b - a), "n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]}, SCHEMA)
