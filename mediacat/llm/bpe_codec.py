@@ -168,7 +168,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded again.
 
     A null or empty text has no tokens. Repeated rows and null ids give a row each; an empty table gives an empty
-    result; other columns are ignored. Texts are read for their chunks, for the shared chunks and for the whole ids.
+    result; other columns are ignored. Texts are read for their chunks, for the shared chunks and, with and
+    without shared chunks, for the whole ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5("text")))
@@ -191,7 +192,14 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encoded = s.cut(encode_shared(rows, owners, path), "encoded")
         plan = spread_join(places, encoded, ["chunk"], ["key", "start"])  # the least id of a place is that of its text
         plan = plan.groupBy("at", "key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "ids"))).alias("plan"))
-        done = s.cut(coded(looked_up(rows, texts, plan), path), "coded")
+        sharing = s.cut(places.select("at", "key").distinct(), "sharing")
+        alone = s.cut(texts.join(sharing, ["at", "key"], "left_anti"), "alone")
+        if alone.count() <= MOST_BROADCAST:  # so that texts that share no chunk are encoded where they are read
+            single = rows.join(F.broadcast(alone.select("at", "key")), ["at", "key"], "left_semi")
+            whole = looked_up(rows, sharing, plan).unionByName(single, allowMissingColumns=True)
+        else:
+            whole = looked_up(rows, texts, plan)
+        done = s.cut(coded(whole, path), "coded")
         ids = chunks.filter("start = 0").select("doc_id", "key")
         return s.keep(spread_join(ids, done, ["key"], ["doc_id"]).drop("key"), "round-trip")
 
