@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mediacat.llm import neardup, revisit, urls
 from mediacat.llm.common import Scratch, shared_dir
 from mediacat.llm.components import connected_components
-from mediacat.llm.queries import URL_RULES
+from mediacat.llm.queries import URL_RULES, op8_url_filters
 
 
 class Groups:
@@ -243,6 +243,17 @@ def test_url_filters(spark):
     assert urls.filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    """The word of each rule, written out here: alone, on a subdomain, and where a longer rule overrules it."""
+    want = {
+        "http://com/en/": ("com/en/", "block"), "http://x.example.com/en/6": ("com/en/", "block"), "http://x.example.com/en/77": ("example.com/en/7", "allow"), "http://net/de/": ("net/de/", "allow"), "http://x.net/de/8": ("net/de/", "allow"), "http://x.example.net/de/7": ("net/de/", "allow"),
+        "http://x.example.net/de/81": ("example.net/de/8", "block"), "http://x.org/es/": ("org/es/", "block"), "http://x.org/en/": (None, "allow"),
+    }
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in op8_url_filters(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_propagation_over_hubs_chains_and_a_giant_component(spark):
     """100,000 edges: a hub, long chains and a giant random component, against union-find."""
     rng = random.Random(5)
