@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mediacat.functions.layouts import layout_timestamp
-from mediacat.functions.names import trimmed
+from mediacat.functions.names import bound, trimmed
 from mediacat.functions.patterns import PatternError, compiles, to_java
 
 # Accuracy ranks, lower is better.
@@ -108,14 +108,18 @@ def custom_date(name: Column, patterns: list[CustomPattern]) -> Column:
 def best_name_date(name: Column, patterns: list[CustomPattern], excluded: Column) -> Column:
     """Custom patterns first, then the built-in ones; none at all for excluded names.
 
-    The name is bound by `transform`, so that the long expression is not compiled again wherever the date is used.
+    The name is bound, so that the long expression is not compiled again wherever the date is used.
     """
-    found = F.get(F.transform(F.array(name), lambda n: F.coalesce(custom_date(n, patterns), name_date(n))), 0)
+    found = bound(name, lambda n: F.coalesce(custom_date(n, patterns), name_date(n)))
     return F.when(~F.coalesce(excluded, F.lit(False)), found)
 
 
 def epoch_of(value: Column) -> Column:
     """Seconds of a JSON timestamp (variant): text of a whole number, or a number, cut off; null for anything else."""
+    return bound(value, _epoch)
+
+
+def _epoch(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     text = trimmed(F.try_variant_get(value, "$", "string"))
     whole = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint"))

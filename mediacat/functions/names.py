@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ WRITABLE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".gif", ".webp
 HEIC_BRANDS = ("heic", "heix", "heif", "hevc", "heim", "heis")
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once a row however often `use` names it.
+
+    A column that is used twice is else written twice into the plan, and where that grows too long to be compiled, every
+    copy is run: nested ones many times over.
+    """
+    return F.get(F.transform(F.array(x), lambda v: use(v)), 0)
+
+
 def trimmed(x: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")

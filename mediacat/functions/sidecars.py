@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mediacat.functions.dates import epoch_of
-from mediacat.functions.names import trimmed
+from mediacat.functions.names import bound, trimmed
 
 # The parts of a sidecar that are read.
 SIDECAR_DDL = """title STRING, description STRING, favorited BOOLEAN, url STRING,
@@ -25,9 +25,8 @@ def _json(raw: Column) -> Column:
 
 def title(raw: Column) -> Column:
     """Title of a sidecar; null if it is missing, empty or not a text, or the record is malformed."""
-    variant = F.try_parse_json(raw)
-    kind = F.schema_of_variant(F.try_variant_get(variant, "$.title", "variant"))
-    return F.when(kind == "STRING", F.nullif(F.try_variant_get(variant, "$.title", "string"), F.lit("")))
+    text = lambda found: F.when(F.schema_of_variant(found) == "STRING", F.nullif(F.try_variant_get(found, "$", "string"), F.lit("")))
+    return bound(F.try_variant_get(F.try_parse_json(raw), "$.title", "variant"), text)
 
 
 def sidecar(raw: Column) -> Column:
@@ -35,11 +34,17 @@ def sidecar(raw: Column) -> Column:
 
     taken_epoch and creation_epoch are seconds or null; geo is null unless latitude, longitude or altitude differs from
     0; people are trimmed, blanks dropped, order and repeats kept. A text field that holds no text makes the record
-    malformed. Keys are compared with case.
+    malformed. Keys are compared with case. A record is read once by each of the two parsers.
     """
-    variant = F.try_parse_json(raw)
-    empty = F.is_variant_null(variant)
-    j = _json(F.when(F.coalesce(empty, F.lit(False)), F.lit("{}")).otherwise(raw))
+
+    def parsed(raw: Column) -> Column:
+        return bound(F.try_parse_json(raw), lambda v: bound(_json(F.when(F.coalesce(F.is_variant_null(v), F.lit(False)), F.lit("{}")).otherwise(raw)), lambda j: _metadata(v, j)))
+
+    return bound(raw, parsed)
+
+
+def _metadata(variant: Column, j: Column) -> Column:
+    """The struct, from a record as a variant and as the parts of SIDECAR_DDL."""
     odd = F.lit(False)
     for name in TEXT_FIELDS:
         kind = F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant"))

@@ -101,6 +101,14 @@ def test_sidecar_records(spark):
     assert values(spark, [full, '{"title":""}', '{"title":5}', "x"], title) == ["a", None, None, None]
 
 
+def test_json_is_parsed_once(spark):
+    """Each parser stands once in the plan, whatever number of fields is asked for."""
+    raw = spark.range(3).select(F.col("id").cast("string").alias("raw"))
+    count = lambda rows: [rows._jdf.queryExecution().optimizedPlan().toString().lower().count(x) for x in ("parsejson(", "from_json(")]
+    assert count(raw.select(sidecar(F.col("raw")).alias("m")).select("m.*", F.col("m.geo.lat").alias("lat"))) == [1, 1]
+    assert count(raw.select(title(F.col("raw")))) == count(raw.select(D.epoch_of(F.try_parse_json("raw")))) == [1, 0]
+
+
 def test_tag_dates(spark):
     cases = {"2019-01-02T03:04:05+0200": "2019-01-02 01:04:05", "2019-01-02T03:04:05": "2019-01-02 03:04:05", "2019:01:02 03:04:05": "2019-01-02 03:04:05", "0000-00-00T00:00:00": None, "": None, "2019:01:02": None, "2019:01:02 03:04:05.25": "2019-01-02 03:04:05"}
     assert values(spark, cases, lambda c: D.tag_date(c).cast("string")) == list(cases.values())
